@@ -211,10 +211,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start += int(cuts[-1])
 
 
+def _dealt(manifest: DataFrame, *columns: str) -> DataFrame:
+    """The shards dealt out one to a partition; a manifest is too small for Spark to do so by size."""
+    return manifest.repartition(max(1, manifest.count()), "shard").select(*columns)
+
+
 def read_digest(manifest: DataFrame) -> DataFrame:
     """Read all shards of a manifest: ``(doc_id, start, n_tokens, ids_crc32)`` of each document."""
-    paths = manifest.select("path", "start", "shard").repartition("shard").select("path", "start")
-    return paths.mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(manifest, "path", "start").mapInArrow(_reader, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _ids_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,4 +231,4 @@ def _ids_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Read all shards of a manifest: ``(doc_id, ids array<int>)``."""
-    return manifest.select("path", "shard").repartition("shard").select("path").mapInArrow(_ids_reader, "doc_id long, ids array<int>")
+    return _dealt(manifest, "path").mapInArrow(_ids_reader, "doc_id long, ids array<int>")
