@@ -208,16 +208,16 @@ def oracle_sql() -> str:
     base = "doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_stutter"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM d),
+w AS (SELECT doc_id, [x FOR x IN string_split_regex(text, '[\\x20\\x09-\\x0D]+') IF x <> ''] AS ws FROM d),
 grams AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') AS g
           FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM twice) GROUP BY doc_id),
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM ln
-          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+          WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
 base AS (
-  SELECT d.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+  SELECT d.doc_id, lang, source, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
     len([i FOR i IN range(2, len(ws) + 1) IF ws[i] = ws[i - 1]]) AS n_stutter,
@@ -231,8 +231,8 @@ picked AS (
     CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q1 WHEN l.docs >= {LEAST_DOCS} THEN l.q1 ELSE a.q1 END AS u1,
     CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q3 WHEN l.docs >= {LEAST_DOCS} THEN l.q3 ELSE a.q3 END AS u3
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
-limits AS (SELECT lang, source, measure, u1 - greatest({REACH} * (u3 - u1), {margin}) AS low, u3 + greatest({REACH} * (u3 - u1), {margin}) AS high FROM picked)
+limits AS (SELECT lang AS l_lang, source AS l_source, measure, u1 - greatest({REACH} * (u3 - u1), {margin}) AS low, u3 + greatest({REACH} * (u3 - u1), {margin}) AS high FROM picked)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
-FROM base LEFT JOIN limits ON base.lang IS NOT DISTINCT FROM limits.lang AND base.source IS NOT DISTINCT FROM limits.source
+FROM base LEFT JOIN limits ON lang IS NOT DISTINCT FROM l_lang AND source IS NOT DISTINCT FROM l_source
 GROUP BY {base}
 """
