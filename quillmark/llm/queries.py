@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import common, minhash_dedup, packing, quality, token_output
+from quillmark.llm import common, minhash_dedup, mixing, packing, pii, quality, token_output, token_rollup, toxicity
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +15,31 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_digest(manifest)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance and draw of each document under the default targets."""
+    return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts with pseudonyms, and what was found in each."""
+    return pii.pseudonymise_documents(common.table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_documents(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return minhash_dedup.group_near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals after a load, a recount and a deletion of copies."""
+    return token_rollup.maintain(common.table(spark, sf_dir, "documents"), common.new_folder(spark, "rollup"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
@@ -31,8 +51,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op6_minhash_dedup, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_token_output, op2_mixing, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality": quality.oracle_sql()}
+    return {"op2_mixing": mixing.oracle_sql(), "op7_token_rollup": token_rollup.oracle_sql(), "op10_quality": quality.oracle_sql()}
