@@ -124,6 +124,8 @@ class Pseudonyms:
 
     def _secret(self, value: str) -> str:
         m = re.fullmatch(r"(?s)(AKIA|.*[=:\s\"'])(.+)", value)
+        if re.fullmatch("[0-9a-f]+", m[2]):
+            return m[1] + self._mixed(m[2], [_DIGITS + "abcdef"] * len(m[2]), f"hex{len(m[2])}")
         return m[1] + self._classes(m[2], "secret")
 
     def _card(self, value: str) -> str | None:

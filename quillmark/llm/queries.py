@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import common, minhash_dedup, mixing, packing, pii, quality, token_output, token_rollup, toxicity
+from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, token_output, token_rollup, toxicity
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return embedding_dedup.link_embeddings(common.table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts with pseudonyms, and what was found in each."""
     return pii.pseudonymise_documents(common.table(spark, sf_dir, "documents"))
@@ -51,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_mixing, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_token_output, op2_mixing, op3_embedding_dedup, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
