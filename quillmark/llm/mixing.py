@@ -83,6 +83,28 @@ def chance(seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def _cell_probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None, budget: float, sweeps: int) -> DataFrame:
+    cells = common.written(cells, "cells")
+    chosen = {d: (targets or {}).get(d) for d in DIMENSIONS}
+    raked = rake(cells, {d: tempered(cells, d) if t is None else t for d, t in chosen.items()}, sweeps)
+    return common.written(calibrated(raked, budget).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DIMENSIONS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
+
+
+def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, seed: int = 17) -> DataFrame:
+    """The drawn rows of ``docs``, all columns; the same draw as ``mix``. Texts are not shuffled where the cells are few."""
+    drawn = _cell_probabilities(_cells(profiled(docs)), targets, budget, sweeps)
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    keys = F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), shape_topic(text, words).alias("topic"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), keys.alias("k"), chance(seed).alias("u"))
+    on = [F.col(f"k.{d}") == F.col(f"c_{d}") for d in DIMENSIONS]
+    return rows.join(drawn, on[0] & on[1] & on[2]).filter("u < probability").select("row.*")
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, sweeps: int = SWEEPS, topic: Column | None = None, seed: int = 17) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability_ppm, sampled`` of each document.
 
@@ -92,10 +114,7 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: fl
     common. An empty table gives no rows. Other columns are not read.
     """
     rows = common.written(profiled(docs, topic), "profiled")
-    cells = common.written(rows.groupBy(*DIMENSIONS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "cells")
-    chosen = {d: (targets or {}).get(d) for d in DIMENSIONS}
-    raked = rake(cells, {d: tempered(cells, d) if t is None else t for d, t in chosen.items()}, sweeps)
-    drawn = common.written(calibrated(raked, budget).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
+    drawn = _cell_probabilities(_cells(rows), targets, budget, sweeps)
     on = [F.col(d) == F.col(f"c_{d}") for d in DIMENSIONS]
     both = rows.join(drawn, on[0] & on[1] & on[2], "left").withColumn("p", F.coalesce("probability", F.lit(0.0)))
     return both.select("doc_id", *DIMENSIONS, "n_tokens", F.floor(F.col("p") * 1e6 + 0.5).cast("long").alias("probability_ppm"), (chance(seed) < F.col("p")).alias("sampled"))

@@ -236,27 +236,56 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
     return {f: surety[f] for f, n in given.items() if n >= max(2, 0.1 * size[f])}
 
 
+class Scorer:
+    """Scores, lexicon hits and restored tokens of texts under a fitted model."""
+
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float], base: float):
+        self.decode, self.base = Decoder(model), base
+        self.names, self.weights = pa.array(list(lexicon), pa.string()), np.array([*(math.log1p(-min(p, 0.999)) for p in lexicon.values()), 0.0])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        who, tokens, changed = restored_tokens(texts, self.decode)
+        coded = tokens.dictionary_encode()
+        best = np.zeros(len(coded.dictionary))
+        for f in features(coded.dictionary):
+            place = pc.fill_null(pc.index_in(f, value_set=self.names), len(self.names)).to_numpy()
+            best = np.minimum(best, self.weights[place])
+        worst = best[coded.indices.to_numpy()]
+        logs = np.bincount(who, weights=worst, minlength=len(texts))
+        hits = np.bincount(who[worst < 0], minlength=len(texts)).astype(np.int64)
+        return 1 - (1 - self.base) * np.exp(logs), hits, changed
+
+
 def _scorer(model: np.ndarray, lexicon: dict[str, float], base: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = Decoder(model)
-        names, weights = pa.array(list(lexicon), pa.string()), np.array([*(math.log1p(-min(p, 0.999)) for p in lexicon.values()), 0.0])
+        scorer = Scorer(model, lexicon, base)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for a, b in common.byte_slices(texts):
-                who, tokens, changed = restored_tokens(texts.slice(a, b - a), decode)
-                coded = tokens.dictionary_encode()
-                best = np.zeros(len(coded.dictionary))
-                for f in features(coded.dictionary):
-                    place = pc.fill_null(pc.index_in(f, value_set=names), len(names)).to_numpy()
-                    best = np.minimum(best, weights[place])
-                worst = best[coded.indices.to_numpy()]
-                logs = np.bincount(who, weights=worst, minlength=b - a)
-                hits = np.bincount(who[worst < 0], minlength=b - a).astype(np.int64)
-                yield pa.record_batch([ids.slice(a, b - a), pa.array(1 - (1 - base) * np.exp(logs)), pa.array(hits), pa.array(changed)], names=["doc_id", "score", "n_hits", "n_restored"])
+                yield pa.record_batch([ids.slice(a, b - a), *map(pa.array, scorer(texts.slice(a, b - a)))], names=["doc_id", "score", "n_hits", "n_restored"])
 
     return score
 
 
+def _sieve(model: np.ndarray, lexicon: dict[str, float], base: float, threshold: float, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model, lexicon, base)
+        for batch in batches:
+            for a, b in common.byte_slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(scorer(part.column(at))[0] < threshold))
+
+    return keep
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000, base: float = 0.01) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under the threshold; texts are not shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = language_model(texts)
+    lexicon = fit_lexicon(texts, labels, model, max_train)
+    return docs.mapInArrow(_sieve(model, lexicon, base, threshold, docs.columns.index("text")), docs.schema)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000, base: float = 0.01) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_hits, n_restored`` of each document.
 
