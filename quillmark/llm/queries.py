@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, token_output, token_rollup, toxicity
+from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, suffix_dedup, token_output, token_rollup, toxicity
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintain(common.table(spark, sf_dir, "documents"), common.new_folder(spark, "rollup"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without repeated strings of 400 bytes."""
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens."""
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
@@ -56,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_mixing, op3_embedding_dedup, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_token_output, op2_mixing, op3_embedding_dedup, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op8_suffix_dedup, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
