@@ -105,7 +105,7 @@ def age(year: Column, birth: Column) -> Column:
 
 def pattern_parts(c: Column) -> Column:
     """X-17: the parts of a cell that holds several patterns, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"[;|\\/]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[;|\\/]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def word_halves(c: Column) -> Column:

@@ -25,7 +25,8 @@ class Store(NamedTuple):
 def _terms(df: DataFrame, key: str, weight: Column) -> DataFrame:
     """``space, key, term, n``: term counts of ``df(key, pattern)``."""
     spaces = [("char", char_ngrams(F.col("pattern"))), ("word", word_ngrams(F.col("pattern")))]
-    each = F.explode(F.flatten(F.array(*(F.transform(t, lambda x, s=s: F.struct(F.lit(s).alias("space"), x.alias("term"))) for s, t in spaces))))
+    tagged = lambda s, terms: F.transform(terms, lambda x: F.struct(F.lit(s).alias("space"), x.alias("term")))
+    each = F.explode(F.flatten(F.array(*(tagged(s, t) for s, t in spaces))))
     return df.select(F.col(key), weight.alias("k"), each.alias("t")).groupBy(F.col("t.space").alias("space"), key, F.col("t.term").alias("term")).agg(F.sum("k").alias("n"))
 
 

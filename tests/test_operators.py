@@ -1,0 +1,191 @@
+import json
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmark.operators import corrections as C
+from quillmark.operators import detect as D
+from quillmark.operators import evaluate as E
+from quillmark.operators import registry as R
+from quillmark.operators import sequence as W
+from quillmark.operators import signals as S
+from quillmark.operators import suggest as G
+from quillmark.sources import io
+
+ROWS = "row_id long, delegate_id string, pattern string, date date, j int, offset_ long, class string, namens string"
+
+
+def occurrences(spark, rows):
+    import datetime as dt
+
+    return spark.createDataFrame([(i, p, n, dt.date(1780, 1, d), 1780, i, "delegate", "Holland") for i, p, n, d in rows], ROWS)
+
+
+@pytest.mark.parametrize(("fused", "left", "right"), [("vanden bempden van hoorn", "vanden bempden", "van hoorn"), ("changuion geelvinck", "changuion", "geelvinck"), ("ubingh sminia", "ubingh", "sminia"), ("d'ablaing van giessenburgh", "d'ablaing", "van giessenburgh")])
+def test_known_fused_names(spark, fused, left, right):
+    rows = [(1, "1", left, 1), (2, "9", fused, 1), (3, "2", right, 1)] + [(10 + k, str(p), n, 2 + k) for k, (p, n) in enumerate([(1, left), (1, left), (2, right), (2, right), (9, "zz"), (9, "zz"), (9, "zz")])]
+    m = occurrences(spark, rows)
+    table = D.anchor_table(m)
+    found, rejected = D.detect_concat(m, table)
+    got = D.with_anchors(found, table.anchors).collect()
+    assert [(r.pattern, r.left_anchor, r.right_anchor, r.case) for r in got] == [(fused, left, right, "A")]
+    assert D.best_split_scores(m, table).first()["best"] == 0.0
+    assert rejected.filter("row_id = 2").count() == 0
+
+
+def test_concat_rejections(spark):
+    m = occurrences(spark, [(1, "1", "aaaa bbbb cccc", 1), (2, "2", "qqqq wwww eeee", 2), (3, "3", "zz", 2), (4, "1", "aaaa", 3), (5, "1", "aaaa", 4), (6, "2", "qqqq", 5), (7, "2", "qqqq", 6), (8, "3", "zz", 7)])
+    got = {(r.row_id, r.reason) for r in D.detect_concat(m, D.anchor_table(m))[1].collect()}
+    assert got == {(1, "no_neighbors"), (2, "score_too_high")}
+
+
+def test_fragments(spark):
+    m = occurrences(spark, [(i, "1", "wassenaer", i) for i in range(1, 5)] + [(6, "1", "wasse", 6), (7, "1", "naer", 7), (8, "2", "wasse", 8)])
+    got = D.detect_fragments(m, D.anchor_table(m)).collect()
+    assert [(r.fragment_a, r.fragment_b, r.joined, r.score) for r in got] == [("naer", "wasse", "wassenaer", 0.0)]
+
+
+def test_compound_score(spark):
+    m = occurrences(spark, [(1, "1", "wassenaer", 1), (2, "1", "wassenaer", 2), (3, "2", "wassenaar", 3), (4, "2", "zuylen", 4), (5, "2", "zuylen", 5)])
+    got = {r.pattern: r.compound_score for r in D.compound_scores(m, D.anchor_table(m).anchors).collect()}
+    assert got == {"wassenaer": 0.0, "zuylen": 0.0, "wassenaar": pytest.approx(1 / 9)}
+
+
+def test_headers_and_presidents(spark):
+    m = occurrences(spark, [(1, "1", "Lunae den 4", 1), (2, "1", "aa", 1), (3, "2", None, 1)])
+    assert [r.row_id for r in D.clean_rows(m).collect()] == [2]
+    assert D.clean_rows(m.withColumn("class", F.lit("president"))).count() == 0
+
+
+def test_ghosts_on_a_tie(spark):
+    syn = spark.createDataFrame([("1", "a", ["x", "y"], 3, 3), ("2", "a", ["x", "y"], 1, 3)], "delegate_id string, anchor string, patterns array<string>, freq_a long, freq_b long")
+    assert {(r.delegate_id, r.ghost) for r in S.ghost_patterns(syn).collect()} == {("1", "y"), ("2", "x")}
+
+
+def test_modal_takes_the_smallest_on_ties(spark):
+    m = occurrences(spark, [(1, "1", "b", 1), (2, "1", "a", 2), (3, "2", None, 3)])
+    assert [tuple(r) for r in S.modal_patterns(m).collect()] == [("1", "a")]
+
+
+def test_gaps(spark):
+    m = spark.createDataFrame([("1", 1700, 1), ("1", 1720, 2), ("1", None, 3), ("2", 1700, 4)], "delegate_id string, j int, row_id long")
+    got = W.timeline_gaps(m, 10).collect()
+    assert [(r.delegate_id, r.from_year, r.to_year, r.gap) for r in got] == [("1", 1700, 1720, 20)]
+    assert {r.row_id for r in C.gap_boundary_rows(m, 10, "start").collect()} == {1}
+    assert C.split_candidates(m, 10, C.split_candidates(m, 10)).count() == 1
+
+
+def test_fold_and_tiers(spark):
+    c = spark.createDataFrame([(1, "staged", "a", "1"), (1, "active", "b", "1"), (2, "staged", "c", "1"), (2, "staged", "d", "2"), (9, "active", "z", "1")], "row_id long, tier string, to_id string, updated_at string")
+    assert {(r.row_id, r.to_id) for r in C.fold(c).collect()} == {(1, "b"), (2, "d"), (9, "z")}
+    o = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "row_id long, delegate_id string")
+    assert {tuple(r) for r in C.apply_corrections(o, C.fold(c)).collect()} == {(1, "b"), (2, "d"), (3, None)}
+    assert C.clear(c, "staged").count() == 2
+    assert C.clear(c, None, o).count() == 1
+    assert {r.tier for r in C.move_tier(c, "active", "staged").collect()} == {"staged"}
+    assert C.revise(c, c.filter("row_id = 1 AND tier = 'staged'").withColumn("to_id", F.lit("q"))).filter("to_id = 'q'").count() == 1
+
+
+def test_decisions(spark):
+    old = spark.createDataFrame([("p", "1", True)], "pattern string, delegate_id string, valid boolean")
+    new = spark.createDataFrame([("p", "1", False), ("q", "2", True)], old.schema)
+    assert {tuple(r) for r in C.add_decisions(old, new, ["pattern", "delegate_id"]).collect()} == {("p", "1", False), ("q", "2", True)}
+    ids = spark.createDataFrame([("1",), ("3",)], "delegate_id string")
+    assert {r[0] for r in C.toggle(spark.createDataFrame([("1",), ("2",)], "delegate_id string"), ids).collect()} == {"2", "3"}
+
+
+def test_lookup_by_containment(spark):
+    ids = spark.createDataFrame([("12",), ("7",), ("99",)], "delegate_id string")
+    authority = spark.createDataFrame([("12", None), ("12", "A"), ("3712", "B"), ("475", "C"), ("675", "D")], "id_persoon string, naam string")
+    assert {r.delegate_id: r.naam for r in R.authority_lookup(ids, authority, ["naam"]).collect()} == {"12": "A", "7": "B", "99": None}
+
+
+def test_person_edits_insert_and_update(spark):
+    p = spark.createDataFrame([("1", "a", "x"), ("2", "b", None)], "delegate_id string, fullname string, provincie string")
+    e = spark.createDataFrame([("1", None, "y"), ("3", "c", None)], p.schema)
+    assert {tuple(r) for r in R.apply_person_edits(p, e).collect()} == {("1", "a", "y"), ("2", "b", None), ("3", "c", None)}
+
+
+def test_sweep_and_labels(spark):
+    s = spark.createDataFrame([(0.1, True), (0.3, False), (0.2, True), (0.9, False)], "score double, label boolean")
+    assert E.best_threshold(E.threshold_sweep(s, [0.15, 0.25, 0.5])).first().threshold == 0.25
+    v = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "q"), ("b", "p")], "pattern string, label string")
+    assert {tuple(r) for r in E.majority_label(v).collect()} == {("a", "y"), ("b", "p")}
+    zone = spark.createDataFrame([(f"p{i}", i / 40) for i in range(40)], "pattern string, score double")
+    picked = E.stratified_sample(zone, 8)
+    assert picked.count() == 8 and picked.groupBy("quartile").count().filter("count = 2").count() == 4
+
+
+def test_suggestions_equal_plain_tfidf(spark):
+    m = spark.createDataFrame([(1, "1", "van hoorn", 1780, "Holland"), (2, "1", "van hoorn", 1781, "Holland"), (3, "2", "bempden", 1700, "Utrecht"), (4, "2", "bempdeu a", 1701, "Utrecht"), (5, "added_1", "hoorn", 1780, "Holland")], "row_id long, delegate_id string, pattern string, j int, namens string")
+    docs = {"1": ["van hoorn", "van hoorn"], "2": ["bempden", "bempdeu a"]}
+
+    def terms(p):
+        out = []
+        for w in p.split():
+            w = f" {w} "
+            for n in (2, 3, 4):
+                if len(w) <= n:
+                    out.append(("c", w))
+                    break
+                out += [("c", w[i : i + n]) for i in range(len(w) - n + 1)]
+        words = p.split()
+        return out + [("w", x) for x in words] + [("w", f"{a} {b}") for a, b in zip(words, words[1:])]
+
+    tf = {d: Counter(t for p in ps for t in terms(p)) for d, ps in docs.items()}
+    df = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log((1 + 2) / (1 + n)) + 1 for t, n in df.items()}
+
+    def weights(c, space):
+        w = {t: (1 + math.log(n)) * idf[t] for t, n in c.items() if t in idf and t[0] == space}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1
+        return {t: x / norm for t, x in w.items()}
+
+    q = Counter(terms("van hoorm"))
+    want = {d: sum(k * sum(x * weights(c, s).get(t, 0) for t, x in weights(q, s).items()) for s, k in (("c", 0.6), ("w", 0.4))) for d, c in tf.items()}
+    asked = spark.createDataFrame([(10, "van hoorm", 1785, "Holland"), (11, "van hoorm", 1900, "Holland"), (12, None, 1780, "x"), (13, "van hoorm", None, "Utrecht")], "row_id long, pattern string, j int, namens string")
+    store = G.build_store(m)
+    got = {r.delegate_id: r.score for r in G.pattern_scores(asked.filter("pattern IS NOT NULL"), store).collect()}
+    assert got == {d: pytest.approx(s) for d, s in want.items() if s > 0}
+    best = {r.row_id: (r.person_1, r.score_1) for r in G.suggest(asked, store).collect()}
+    assert best[10] == ("1", round(want["1"], 3)) and best[11] == (None, 0.0) and best[12] == (None, 0.0) and best[13] == (None, 0.0)
+
+
+def test_json_sources(spark, tmp_path):
+    def put(name, value):
+        (tmp_path / name).write_text(json.dumps(value))
+        return str(tmp_path / name)
+
+    got = io.read_corrections(spark, put("c.json", {"1": "5.0", "2": {"to_id": "6", "source": "x"}, "bad": "7"}), "active").collect()
+    assert {(r.row_id, r.to_id, r.source) for r in got} == {(1, "5", None), (2, "6", "x")}
+    assert {tuple(r) for r in io.read_id_set(spark, put("s.json", ["1", {"id": "2", "reason": "r"}])).collect()} == {("1", None), ("2", "r")}
+    assert [tuple(r) for r in io.read_dismissals(spark, put("d.json", [["p", "1"], ["q"]])).collect()] == [("p", "1")]
+    assert [tuple(r) for r in io.read_validity(spark, put("v.json", {"1|a|b|1780.0": True})).collect()] == [("1", "a|b", 1780, True)]
+    assert [tuple(r) for r in io.read_province_order(spark, put("o.json", ["B", "A"])).orderBy("prov_rank").collect()] == [(0, "B"), (1, "A")]
+    edits = io.wide_edits(io.read_person_edits(spark, put("e.json", {"1": {"fullname": "x"}})), ["fullname"])
+    assert [tuple(r) for r in edits.collect()] == [("1", "x")]
+    (tmp_path / "r.csv").write_text("from_id, to_id\n 1 ,2\n1,3\n,4\n")
+    assert [tuple(r) for r in io.read_remappings_csv(spark, str(tmp_path / "r.csv")).collect()] == [("1", "2")]
+    assert io.read_first(spark, [str(tmp_path / "none.parquet"), str(tmp_path / "r.csv")])[1].endswith("r.csv")
+    with pytest.raises(FileNotFoundError):
+        io.read_first(spark, [str(tmp_path / "none.parquet")])
+
+
+def test_writers(spark, tmp_path):
+    o = spark.createDataFrame([(1, "x"), (2, "y")], "row_id long, delegate_id string")
+    c = spark.createDataFrame([(1, "active", "b", "1")], "row_id long, tier string, to_id string, updated_at string")
+    io.write_corrected(o, c, str(tmp_path / "o"))
+    io.write_changed(o, c, str(tmp_path / "n"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {(1, "b"), (2, "y")}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "n")).collect()] == [(1, "x", "b")]
+    io.write_staged(c, c.withColumn("to_id", F.lit("z")).withColumn("updated_at", F.lit("2")), str(tmp_path / "s"))
+    assert [r.to_id for r in spark.read.json(str(tmp_path / "s")).collect()] == ["z"]
+
+
+def test_null_and_empty_inputs(spark):
+    m = occurrences(spark, [(1, None, None, 1)])
+    assert R.drop_null_ids(m).count() == 0
+    assert S.pattern_frequency(m.limit(0)).count() == 0
+    assert C.fold(spark.createDataFrame([], "row_id long, tier string, to_id string")).count() == 0
