@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import common
@@ -140,6 +140,27 @@ def _similar(a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
+def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``rep, n, rep2, n2``: pairs of ``nodes(rep, n, c)`` of different ``c`` that share a rare shingle, exactly enough.
+
+    With all shingles ordered by how many nodes have them, two sets of sizes n and m whose similarity
+    is ``percent`` share at least o = percent * (n + m) / (100 + percent) of them, so among the first
+    n - o + 1 of the one and m - o + 1 of the other is a common shingle.
+    """
+    flat = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "c", F.explode("shingles").alias("shingle"))
+    flat = common.written(flat, "flat")
+    df = flat.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = flat.join(df, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")))
+    # The partner has percent / 100 of n at least, which bounds the prefix of n.
+    prefix = common.written(ranked.filter(f"df > 1 AND 100 * (place - 1) <= (100 - {percent}) * n").select("rep", "n", "c", "shingle", "place"), "prefix")
+    mixed = prefix.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("shingle")
+    left = prefix.join(mixed, "shingle", "left_semi")
+    right = left.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
+    need = f"{percent} * (n + n2)"
+    near = f"(100 + {percent}) * (n - place + 1) >= {need} AND (100 + {percent}) * (n2 - place2 + 1) >= {need}"
+    return left.join(right, "shingle").filter(f"c < c2 AND {near}").select("rep", "n", "rep2", "n2")
+
+
 def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = 3) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: groups of documents linked by shingle similarity.
 
@@ -147,8 +168,10 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
     confirmed on full sets. Steps: signatures and a 128-bit key of each set, without a shuffle; equal
     sets fold into one representative (the smallest id); representatives that share a band are
     candidates. In each of a few rounds every bucket pairs a leader with the members that are not yet
-    in its component, so a bucket of any size gives one pair a member and not all pairs; what is still
-    apart in a shared bucket after that is compared pair by pair. Hence no candidate is lost.
+    in its component, so a bucket of any size gives one pair a member and not all pairs. Buckets that
+    still hold several components then go through an exact prefix filter: two sets that are similar
+    enough share one of their rarest shingles, so only such pairs of different components are
+    compared. Hence no candidate is lost, and a large family of looser copies isn't paired out.
 
     A null or wordless text has no shingles and is alone. Rows with a null ``doc_id`` are linked with
     nothing and have a null component (they are kept). Rows that repeat an id are one node. An empty
@@ -181,9 +204,7 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
         if turn < leader_rounds:
             near = placed.join(split.select("band", "lead"), "band").filter("c <> lead.c").select("rep", "n", F.col("lead.rep").alias("rep2"), F.col("lead.n").alias("n2"))
         else:
-            rest = placed.join(split.select("band"), "band")
-            other = rest.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-            near = rest.join(other, "band").filter("c < c2").select("rep", "n", "rep2", "n2")
+            near = _rare_pairs(placed.join(split.select("band"), "band", "left_semi").select("rep", "n", "c").distinct(), sets, percent)
         near = near.filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
         pairs = near.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         if tested is not None:
