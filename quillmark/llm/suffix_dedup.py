@@ -60,7 +60,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(7):
         key = key << np.uint64(9) | np.roll(text, -j).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     slots = np.arange(n)
     key, rank, h = key[order], np.empty(n, np.int64), 7
     moved = order
@@ -72,9 +72,16 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         slots, moved = slots[~alone], moved[~alone]
         if h >= depth or not len(slots):
             return order
-        key = rank[moved].astype(np.uint64) << np.uint64(32) | rank[(moved + h) % n].astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        moved, key = moved[by], key[by]
+        after = moved + h
+        after[after >= n] -= n
+        if n <= 1 << 21:  # ranks and place fit one number, and sorting numbers beats sorting places
+            key = rank[moved] << 42 | rank[after] << 21 | np.arange(len(moved))
+            key.sort()
+            moved, key = moved[key & (1 << 21) - 1], key >> 21
+        else:
+            key = rank[moved] << 32 | rank[after]
+            by = np.argsort(key)
+            moved, key = moved[by], key[by]
         order[slots] = moved
         h *= 2
 
@@ -91,6 +98,7 @@ def long_prefix_runs(text: np.ndarray, order: np.ndarray, least: int) -> np.ndar
     stable = np.argsort(bwt, kind="stable")
     to_first = np.empty(n, np.int64)
     to_first[stable] = np.arange(n)
+    head = bwt[stable]
     open_ = np.ones(n + 1, bool)
     open_[0] = open_[n] = False
     left, right = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
@@ -100,8 +108,15 @@ def long_prefix_runs(text: np.ndarray, order: np.ndarray, least: int) -> np.ndar
         whose = np.repeat(np.arange(len(size)), size)
         rows = np.arange(ends[-1]) - np.repeat(ends - size - left, size)
         f = to_first[rows]
-        by = np.argsort(f, kind="stable")
-        f, whose, sign = f[by], whose[by], bwt[rows[by]]
+        if len(f) * 16 > n:
+            owner = np.full(n, -1, np.int64)
+            owner[f] = whose
+            f = np.flatnonzero(owner >= 0)
+            whose = owner[f]
+        else:
+            by = np.argsort(f)
+            f, whose = f[by], whose[by]
+        sign = head[f]
         new = np.ones(len(f), bool)
         new[1:] = (np.diff(f) != 1) | (whose[1:] != whose[:-1]) | (sign[1:] != sign[:-1])
         at = np.flatnonzero(new)
