@@ -3,7 +3,8 @@
 In each pass every vector gets the concatenated signs of its projections on random directions. Spark
 orders the vectors by these strings across the cluster; each is compared with a bounded window of the
 next ones. A pair at cosine c shares a long prefix in some pass with a chance that grows with the
-number of passes, and the union of the verified pairs of all passes gives links and components.
+number of passes, and the union of the verified pairs of all passes gives the components. The links of
+a vector are then counted by comparing it with all vectors of its component, block by block.
 """
 
 from __future__ import annotations
@@ -13,13 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
 #: Passes, neighbours compared with each vector in a pass, and signs in a string.
 PASSES, WINDOW, BITS = 24, 32, 48
+#: Vectors in a block of a large component; components up to this size are compared in one task.
+BLOCK = 8192
+#: Components up to this size are compared many at a time.
+_FEW = 32
 
 
 def directions(dims: int, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -83,18 +88,73 @@ def _linker(window: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _pairer(window: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs that no common ball proves, with the number of copies of each end."""
+def _unit(column: pa.Array) -> np.ndarray:
+    x = _vectors(column)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, where each tile begins) from rows sorted by tile, their first four columns; no tile is cut."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        keys = [rows.column(k).to_numpy() for k in range(4)]
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(held[-1].column(k)[-1] == batch.column(k)[0] == batch.column(k)[-1] for k in range(4)):
+            held.append(batch)
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        at = starts(rows)
+        if len(at) > 1:
+            yield rows.slice(0, int(at[-1])), at[:-1]
+        held = [rows.slice(int(at[-1]))]
+    if held:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield rows, starts(rows)
+
+
+def _counter(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many vectors, copies counted, each row is linked with in its tile: one block, or one with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, j, rows in _windows(batches, window, least):
-            ids, copies = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-            ball = rows.column(6).fill_null(-1).to_numpy()
-            has = rows.column(6).is_valid().to_numpy(zero_copy_only=False)
-            new = ~(has[i] & has[j] & (ball[i] == ball[j]))
-            i, j = i[new], j[new]
-            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-            yield pa.record_batch([pa.array(ids[i]), pa.array(ids[j]), pa.array(copies[i]), pa.array(copies[j])], names=["a", "b", "na", "nb"])
+        for rows, at in _whole_tiles(batches):
+            dims, ti, tj, block, copies = (rows.column(k).to_numpy() for k in (1, 2, 3, 4, 6))
+            n, got = copies.astype(np.float64), np.zeros(rows.num_rows)
+            sizes = np.diff(np.append(at, rows.num_rows))
+            tile = np.repeat(np.arange(len(at)), sizes)
+            few = (sizes <= _FEW)[tile] & (ti == tj)
+            for d in np.unique(dims[few]).tolist():
+                rest = np.flatnonzero(few & (dims == d))
+                x, t = _unit(rows.column(7).take(pa.array(rest))), tile[rest]
+                for step in range(1, _FEW):
+                    i = np.flatnonzero(t[:-step] == t[step:])
+                    if not len(i):
+                        break
+                    i = i[np.einsum("ij,ij->i", x[i], x[i + step]) >= least]
+                    got[rest[i]] += n[rest[i + step]]
+                    got[rest[i + step]] += n[rest[i]]
+            for a, size in zip(at.tolist(), sizes.tolist(), strict=True):
+                if few[a]:
+                    continue
+                x = _unit(rows.column(7).slice(a, size))
+                same = ti[a] == tj[a]
+                left, right = (np.arange(size),) * 2 if same else (np.flatnonzero(block[a : a + size] == k) for k in (ti[a], tj[a]))
+                y = x[right].T
+                for k in range(0, len(left), 512):
+                    part = left[k : k + 512]
+                    near = (x[part] @ y >= least).astype(np.float64)
+                    if same:
+                        near[np.arange(len(part)), part] = 0.0
+                    else:
+                        got[a + right] += n[a + part] @ near
+                    got[a + part] += near @ n[a + right]
+            yield pa.record_batch([rows.column(5), pa.array(got.astype(np.int64))], names=["id", "k"])
 
     return run
 
@@ -104,13 +164,46 @@ def _cosine(a: str, b: str) -> F.Column:
     return dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b)))
 
 
-def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = 3, ball_rounds: int = 4) -> DataFrame:
+def _balls(members: DataFrame, least: float, rounds: int) -> DataFrame:
+    """``members`` with ``ball``: round by round, the smallest id that has no ball yet leads in each component."""
+    half = math.sqrt((1 + least) / 2) + 1e-9
+    names = ["component", "dims", "rep", "n", "embedding"]
+    open_, out = members, None
+    for _ in range(rounds):
+        lead = open_.groupBy("component", "dims").agg(F.min_by(F.struct(F.col("rep").alias("l_rep"), F.col("embedding").alias("lead")), F.col("rep")).alias("l")).select(F.col("component").alias("c"), F.col("dims").alias("d"), "l.*")
+        near = common.written(open_.join(lead, (F.col("component") == F.col("c")) & (F.col("dims") == F.col("d"))).withColumn("inside", (F.col("embedding") == F.col("lead")) | (_cosine("embedding", "lead") >= half)).select(*names, F.col("l_rep").alias("ball"), "inside"), "balls")
+        got = near.filter("inside").select(*names, "ball")
+        out = got if out is None else out.unionByName(got)
+        open_ = near.filter("NOT inside").select(*names)
+    rest = open_.withColumn("ball", F.lit(None).cast("long"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def _tiles(members: DataFrame, block: int) -> DataFrame:
+    """The rows of each pair of blocks that must be compared: all of a component but those of one ball.
+
+    A block has about ``block`` vectors of one ball, or of none, so no task gets more than two of them
+    however large a component is.
+    """
+    kinds = members.groupBy("component", "dims", "ball").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))
+    w = Window.partitionBy("component", "dims")
+    upto = F.sum("k").over(w.orderBy(F.col("ball").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    kinds = kinds.select(F.col("component").alias("c"), F.col("dims").alias("d"), F.col("ball").alias("kind"), "k", (upto - F.col("k")).cast("int").alias("first"), F.sum("k").over(w).cast("int").alias("blocks"))
+    on = (F.col("component") == F.col("c")) & (F.col("dims") == F.col("d")) & F.col("ball").eqNullSafe(F.col("kind"))
+    own = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("k"))).cast("int")
+    rows = members.join(kinds, on).withColumn("block", own)
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("ball").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("k")))
+    return rows.withColumn("j", F.explode(other)).select("component", "dims", F.least("block", "j").alias("ti"), F.greatest("block", "j").alias("tj"), "block", "rep", "n", "embedding")
+
+
+def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = 3, ball_rounds: int = 4, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors(vec_id, embedding)``.
 
-    Equal vectors fold into one with a count. A first round of passes finds components. Vectors within
-    half the linking angle of a leader of their component are all linked with each other (angles add
-    up), so such a ball is counted by its size and never paired; a second round counts the verified
-    pairs that no ball proves. Thus a group of any size costs a window a vector.
+    Equal vectors fold into one with a count. The passes find components. All vectors of a component
+    are then compared, so ``n_links`` is exact for the components found. In components of more than
+    ``block`` vectors, those within half the linking angle of a leader are all linked with each other
+    (angles add up), so such a ball is counted by its size. What no ball settles is compared block by
+    block: a component of m vectors makes up to m * m / ``block`` rows, and m * m / 2 cosines.
 
     Vectors that are null or zero or hold null or non-finite components link with nothing; nor do
     vectors of different lengths, nor rows with a null ``vec_id`` (null component, kept). Equal ids are
@@ -125,34 +218,26 @@ def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int = PASSES
     hashed = "pass int, dims int, key long, "
     kind = dict(folded.dtypes)["embedding"]
 
-    def passed(df: DataFrame, more: str, to: Callable, schema: str) -> DataFrame:
-        long = df.mapInArrow(_hasher(passes, bits, seed), f"{hashed}rep long, embedding {kind}{more}")
-        return long.repartitionByRange("pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep").mapInArrow(to(window, least), schema)
-
-    forest = common.written(passed(folded.select("rep", "embedding"), "", _linker, "a long, b long"), "forest")
+    long = folded.select("rep", "embedding").mapInArrow(_hasher(passes, bits, seed), f"{hashed}rep long, embedding {kind}")
+    ordered = long.repartitionByRange("pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep")
+    forest = common.written(ordered.mapInArrow(_linker(window, least), "a long, b long"), "forest")
     comps = common.written(common.connected_components(forest), "comps")
 
-    # Balls: round by round, the smallest id that has no ball yet leads in each component.
-    half = math.sqrt((1 + least) / 2) + 1e-9
-    open_ = comps.join(folded, F.col("node") == F.col("rep")).select("rep", "n", "embedding", "component")
-    balls = None
-    for _ in range(ball_rounds):
-        lead = open_.groupBy("component").agg(F.min_by(F.struct(F.col("rep").alias("ball"), F.col("embedding").alias("lead")), F.col("rep")).alias("l")).select(F.col("component").alias("c"), "l.*")
-        near = common.written(open_.join(lead, F.col("component") == F.col("c")).withColumn("inside", (F.col("rep") == F.col("ball")) | F.coalesce((F.size("embedding") == F.size("lead")) & (_cosine("embedding", "lead") >= half), F.lit(False))).drop("c", "lead"), "balls")
-        got = near.filter("inside").select("rep", "n", "ball")
-        balls = got if balls is None else balls.unionByName(got)
-        open_ = near.filter("NOT inside").select("rep", "n", "embedding", "component")
-    sizes = balls.groupBy("ball").agg(F.sum("n").alias("ball_n"))
-    placed = folded.join(balls.select(F.col("rep").alias("b_rep"), "ball"), F.col("rep") == F.col("b_rep"), "left").select("rep", "embedding", "n", "ball")
-    in_comps = placed.join(comps.select("node"), F.col("rep") == F.col("node"), "left_semi")
-    pairs = passed(in_comps, ", n long, ball long", _pairer, "a long, b long, na long, nb long").distinct()
-    sides = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("nb").alias("k")), F.struct(F.col("b").alias("id"), F.col("na").alias("k"))))
-    across = pairs.select(sides.alias("s")).groupBy(F.col("s.id").alias("id")).agg(F.sum("s.k").alias("across"))
-    by_rep = (
-        placed.join(sizes, "ball", "left").join(across, F.col("rep") == F.col("id"), "left")
-        .select("rep", "embedding", (F.coalesce("ball_n", "n") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
-        .join(comps, F.col("rep") == F.col("node"), "left").select("embedding", "links", F.coalesce("component", "rep").alias("comp"))
-    )
+    members = comps.join(folded, F.col("node") == F.col("rep")).select("component", F.size("embedding").alias("dims"), "rep", "n", "embedding")
+    sized = common.written(members.withColumn("large", F.count("*").over(Window.partitionBy("component", "dims")) > block), "members")
+    names = ["component", "dims", "rep", "n", "embedding"]
+    large = sized.filter("large").select(*names)
+    small = sized.filter("NOT large").select(*names)
+    in_balls = common.written(_balls(large, least, ball_rounds if large.head(1) else 0), "in_balls")
+    sizes = in_balls.filter("ball IS NOT NULL").groupBy("component", "dims", "ball").agg(F.sum("n").alias("ball_n"))
+    one = F.lit(0)
+    tiles = small.select("component", "dims", one.alias("ti"), one.alias("tj"), one.alias("block"), "rep", "n", "embedding").unionByName(_tiles(in_balls, block))
+    by_tile = tiles.repartition("component", "dims", "ti", "tj").sortWithinPartitions("component", "dims", "ti", "tj")
+    across = by_tile.mapInArrow(_counter(least), "id long, k long").groupBy("id").agg(F.sum("k").alias("across"))
+    all_members = in_balls.join(sizes, ["component", "dims", "ball"], "left").select("rep", "embedding", "component", F.coalesce("ball_n", "n").alias("own")).unionByName(small.select("rep", "embedding", "component", F.col("n").alias("own")))
+    in_comps = all_members.join(across, F.col("rep") == F.col("id"), "left").select("embedding", (F.col("own") - 1 + F.coalesce("across", F.lit(0))).alias("links"), F.col("component").alias("comp"))
+    single = folded.join(comps, F.col("rep") == F.col("node"), "left_anti").select("embedding", (F.col("n") - 1).alias("links"), F.col("rep").alias("comp"))
+    by_rep = in_comps.unionByName(single)
     linked = valid.join(by_rep, "embedding").select("vec_id", F.col("links").alias("n_links"), F.col("comp").alias("component_id"))
     alone = rows.filter(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -115,6 +115,28 @@ def test_embeddings(spark):
     assert embedding_dedup.link_embeddings(df.limit(0)).count() == 0
 
 
+def brute_links(x, least=0.9):
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    return ((x @ x.T) >= least).sum(axis=1) - 1
+
+
+@pytest.mark.parametrize("block", [8192, 700])
+def test_links_of_a_large_loose_family_are_all_counted(spark, block):
+    """3000 vectors at mutual cosines of 0.90 to 0.96, a tight ball beside them, copies, and pairs."""
+    rng = np.random.default_rng(8)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centre, noise = unit(rng.standard_normal(48)), unit(rng.standard_normal((3000, 48)))
+    loose = centre + np.sqrt(1 / rng.uniform(0.91, 0.96, (3000, 1)) - 1) * noise
+    tight = unit(loose[0]) + 0.03 * unit(rng.standard_normal((900, 48)))
+    lone = rng.standard_normal((40, 48))
+    x = np.concatenate([tight, loose, loose[:50], lone, lone[:20] + 0.05 * rng.standard_normal((20, 48))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.link_embeddings(df, block=block).collect()}
+    want = brute_links(x)
+    assert want.max() > 2 * embedding_dedup.WINDOW * embedding_dedup.PASSES
+    assert [got[k] for k in range(len(x))] == want.tolist()
+
+
 def brute_repeats(corpus, least):
     raw = [(t or "").encode() for _, t in corpus]
     times = Counter(x[i : i + least] for x in raw for i in range(len(x) - least + 1))
