@@ -19,14 +19,27 @@ from pyspark.sql import functions as F
 
 from quillmark.llm import common
 
-#: Passes, neighbours compared with each vector in a pass, and signs in a string.
+#: Passes at least, neighbours compared with each vector in a pass, and signs in a string.
 PASSES, WINDOW, BITS = 24, 32, 48
+#: The chance that all passes miss an isolated pair that just links, at most (see ``passes_for``).
+MISS = 1e-3
 #: Vectors in a block of a large component; components up to this size are compared in one task.
 BLOCK = 8192
 #: Components up to this size are compared many at a time.
 _FEW = 32
 
 
+def passes_for(rows: int, least: float = 0.9, window: int = WINDOW, miss: float = MISS) -> int:
+    """Passes that miss a pair at cosine ``least`` among ``rows`` spread-out vectors with a chance of ``miss`` at most.
+
+    Two vectors share a sign with probability 1 - angle / pi. Where log2(rows / window) leading signs
+    leave no more vectors than a window, a pair that shares them meets.
+    """
+    share = 1 - math.acos(least) / math.pi
+    met = share ** max(0.0, math.log2(max(rows, 1) / window))
+    return max(PASSES, math.ceil(math.log(miss) / math.log1p(-met)) if met < 1 else 1)
+
+
 def directions(dims: int, passes: int, bits: int, seed: int) -> np.ndarray:
     """(passes, bits, dims) random directions, the same in every task."""
     return np.random.Generator(np.random.PCG64([seed, dims])).standard_normal((passes, bits, dims))
@@ -37,6 +50,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _unit(column: pa.Array) -> np.ndarray:
+    x = _vectors(column)
+    x /= np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _hasher(passes: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))[:, None]
@@ -44,17 +63,22 @@ def _hasher(passes: int, bits: int, seed: int) -> Callable[[Iterator[pa.RecordBa
             size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             for dims in np.unique(size).tolist():
                 part = batch.filter(pa.array(size == dims))
-                x = _vectors(part.column(1))
+                x = _unit(part.column(1))
+                short = np.rint(x * (32767 / np.abs(x).max(axis=1))[:, None]).astype("<i2")
+                packed = pa.array([v.tobytes() for v in short], pa.binary())
                 for p, plane in enumerate(directions(dims, passes, bits, seed)):
                     key = ((plane @ x.T >= 0) * weights).sum(axis=0)
                     n = len(x)
-                    yield pa.record_batch([pa.array([p] * n, pa.int32()), pa.array([dims] * n, pa.int32()), pa.array(key, pa.int64()), *part.columns], names=["pass", "dims", "key", *part.schema.names])
+                    yield pa.record_batch([pa.array([p] * n, pa.int32()), pa.array([dims] * n, pa.int32()), pa.array(key, pa.int64()), part.column(0), packed], names=["pass", "dims", "key", "rep", "short"])
 
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
-    """(i, j, rows): pairs of rows within a window of one pass whose cosine is ``least`` or more."""
+def _windows(batches: Iterator[pa.RecordBatch], window: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(i, j, sure, rows): pairs of rows within a window of one pass whose cosine may be ``least`` or more.
+
+    The vectors are rounded to 16 bits; a pair is sure if its cosine is above ``least`` by more than rounding explains.
+    """
     held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -62,38 +86,40 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, least: float) -> It
         old = held.num_rows if held is not None else 0
         rows = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if old else batch
         group = rows.column(0).to_numpy().astype(np.int64) << 32 | rows.column(1).to_numpy()
-        left, right = [], []
+        left, right, certain = [], [], []
         for g in np.unique(group).tolist():
             at = np.flatnonzero(group == g)
-            x = _vectors(rows.column(4).take(pa.array(at)))
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = np.frombuffer(b"".join(rows.column(4).take(pa.array(at)).to_pylist()), "<i2").astype(np.float64).reshape(len(at), -1)
+            norm = np.linalg.norm(x, axis=1)
+            x /= norm[:, None]
+            off = 0.5 * math.sqrt(x.shape[1]) / norm  # the angle that rounding may turn a vector by
             for step in range(1, min(window, len(at) - 1) + 1):
-                near = np.flatnonzero(np.einsum("ij,ij->i", x[:-step], x[step:]) >= least)
+                over = np.einsum("ij,ij->i", x[:-step], x[step:]) - least
+                slack = off[:-step] + off[step:] + 1e-12
+                near = np.flatnonzero(over >= -slack)
                 near = near[at[near + step] >= old]  # both held: compared before
+                certain.append((over > slack)[near])
                 left.append(at[near])
                 right.append(at[near + step])
         if left:
-            yield np.concatenate(left), np.concatenate(right), rows
+            yield np.concatenate(left), np.concatenate(right), np.concatenate(certain), rows
         held = rows.slice(max(0, rows.num_rows - window))
 
 
 def _linker(window: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A spanning forest of the pairs that each run of rows holds."""
+    """A spanning forest of the sure pairs that each run of rows holds, and the pairs that exact vectors must decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, j, rows in _windows(batches, window, least):
+        for i, j, sure, rows in _windows(batches, window, least):
             ids = rows.column(3).to_numpy()
-            yield from common._forest(iter([pa.record_batch([pa.array(ids[i]), pa.array(ids[j])], names=["a", "b"])]))
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            for part in common._forest(iter([pa.record_batch([pa.array(a[sure]), pa.array(b[sure])], names=["a", "b"])])):
+                yield part.append_column("sure", pa.array([True] * part.num_rows, pa.bool_()))
+            yield pa.record_batch([pa.array(a[~sure]), pa.array(b[~sure]), pa.array([False] * int((~sure).sum()), pa.bool_())], names=["a", "b", "sure"])
 
     return run
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = _vectors(column)
-    x /= np.abs(x).max(axis=1)[:, None]
-    return x / np.linalg.norm(x, axis=1)[:, None]
-
-
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """(rows, where each tile begins) from rows sorted by tile, their first four columns; no tile is cut."""
     held: list[pa.RecordBatch] = []
@@ -196,10 +222,11 @@ def _tiles(members: DataFrame, block: int) -> DataFrame:
     return rows.withColumn("j", F.explode(other)).select("component", "dims", F.least("block", "j").alias("ti"), F.greatest("block", "j").alias("tj"), "block", "rep", "n", "embedding")
 
 
-def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, seed: int = 3, ball_rounds: int = 4, block: int = BLOCK) -> DataFrame:
+def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int | None = None, window: int = WINDOW, bits: int = BITS, seed: int = 3, ball_rounds: int = 4, block: int = BLOCK) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vectors(vec_id, embedding)``.
 
-    Equal vectors fold into one with a count. The passes find components. All vectors of a component
+    Equal vectors fold into one with a count. The passes find components; their number follows from the
+    number of different vectors (``passes_for``) unless it is given. All vectors of a component
     are then compared, so ``n_links`` is exact for the components found. In components of more than
     ``block`` vectors, those within half the linking angle of a leader are all linked with each other
     (angles add up), so such a ball is counted by its size. What no ball settles is compared block by
@@ -215,13 +242,14 @@ def link_embeddings(vectors: DataFrame, least: float = 0.9, passes: int = PASSES
     sound = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = rows.filter(sound)
     folded = common.written(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "folded")
-    hashed = "pass int, dims int, key long, "
-    kind = dict(folded.dtypes)["embedding"]
-
-    long = folded.select("rep", "embedding").mapInArrow(_hasher(passes, bits, seed), f"{hashed}rep long, embedding {kind}")
+    passes = passes or passes_for(folded.count(), least, window)
+    long = folded.select("rep", "embedding").mapInArrow(_hasher(passes, bits, seed), "pass int, dims int, key long, rep long, short binary")
     ordered = long.repartitionByRange("pass", "dims", "key", "rep").sortWithinPartitions("pass", "dims", "key", "rep")
-    forest = common.written(ordered.mapInArrow(_linker(window, least), "a long, b long"), "forest")
-    comps = common.written(common.connected_components(forest), "comps")
+    met = common.written(ordered.mapInArrow(_linker(window, least), "a long, b long, sure boolean"), "met")
+    ends = [folded.select(F.col("rep").alias(k), F.col("embedding").alias(f"v{k}")) for k in "ab"]
+    unsure = met.filter("NOT sure").select("a", "b").distinct().join(ends[0], "a").join(ends[1], "b")
+    decided = unsure.filter(F.size("va") == F.size("vb")).filter(_cosine("va", "vb") >= least).select("a", "b")
+    comps = common.written(common.connected_components(met.filter("sure").select("a", "b").union(decided)), "comps")
 
     members = comps.join(folded, F.col("node") == F.col("rep")).select("component", F.size("embedding").alias("dims"), "rep", "n", "embedding")
     sized = common.written(members.withColumn("large", F.count("*").over(Window.partitionBy("component", "dims")) > block), "members")

@@ -137,6 +137,25 @@ def test_links_of_a_large_loose_family_are_all_counted(spark, block):
     assert [got[k] for k in range(len(x))] == want.tolist()
 
 
+def test_passes_follow_the_number_of_vectors(spark):
+    """A pair that just links is missed with a chance under MISS at any size, not only among few vectors."""
+    share = 1 - np.arccos(0.9) / np.pi
+    for n in (10, 10_000, 1_000_000, 100_000_000):
+        met = share ** max(0.0, np.log2(n / embedding_dedup.WINDOW))
+        assert (1 - met) ** embedding_dedup.passes_for(n) <= embedding_dedup.MISS
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    y = rng.standard_normal((300, 64))
+    y = unit(y - (y * x[:300]).sum(axis=1)[:, None] * x[:300])
+    cosine = np.concatenate([np.full(150, 0.9 + 1e-6), np.full(150, 0.9 - 1e-6)])[:, None]  # closer to the bound than 16 bits tell
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([x, cosine * x[:300] + np.sqrt(1 - cosine**2) * y]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_embeddings(df, window=1).collect()}
+    assert sum(got[6000 + k] == (1, k) for k in range(150)) >= 149
+    assert all(got[6000 + k] == (0, 6000 + k) for k in range(150, 300))
+
+
 def brute_repeats(corpus, least):
     raw = [(t or "").encode() for _, t in corpus]
     times = Counter(x[i : i + least] for x in raw for i in range(len(x) - least + 1))
