@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    dropped = minhash_dedup.group_near_duplicates(docs).filter("NOT kept").select("doc_id")
+    """One document of each group of near duplicates, at a similarity of 0.8 or more: the one with the smallest id."""
+    dropped = minhash_dedup.group_near_duplicates(docs, percent=80).filter("NOT kept").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -178,3 +178,15 @@ def test_pipeline(spark):
         before = docs.count()
     assert docs.select("doc_id").distinct().count() == before
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count() == before
+
+
+def test_pipeline_drops_near_duplicates_from_080(spark):
+    import corpus_pipeline
+
+    rows = []
+    for k, n in enumerate((200, 220, 200)):  # 4 edits: similarities of 0.815 and 0.831; 5 edits: 0.774
+        words = [f"w{k}x{i}" for i in range(n)]
+        edited = [f"e{k}x{i}" if i in [20, 60, 100, 140, 180][: 5 if k == 2 else 4] else w for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
