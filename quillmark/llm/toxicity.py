@@ -28,11 +28,14 @@ CLASSES = 32
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e", "£": "l"}
 #: Log probability that the channel wrote a sign for a letter, and that it repeated a letter.
 SIGN, REPEAT = math.log(0.05), math.log(0.02)
+#: Log probability that a gap between two spaced signs is a word's edge.
+EDGE = math.log(0.2)
 _ODD = re.compile(r"[^\W\d_].*[0-9@$!|+(*€£]|[0-9@$!|+(*€£].*[^\W\d_]|(.)\1\1", re.S)
-#: Single letters parted by one space or sign: three or more make one word.
-_SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\w)")
-#: A quick test (RE2) for texts that may hold such letters.
-_MAY_BE_SPACED = r"(?i)\b[a-z][ .\-_*][a-z][ .\-_*][a-z]\b"
+_LETTER = re.compile(r"[^\W\d_]")
+#: Single letters, digits and signs parted by one space or sign: three or more may hide words.
+_SPACED = re.compile(r"(?<![\w@$!|+(€£])(?:(?:[^\W_]|[@$!|+(€£])[ .\-_*]){2,}(?:[^\W_]|[@$!|+(€£])(?![\w@$!|+(€£])")
+#: A quick test (RE2) for texts that may hold such signs.
+_MAY_BE_SPACED = r"(?:^|[^\pL\pN_@$!|+(€£])(?:[\pL\pN@$!|+(€£][ .\-_*]){2}[\pL\pN@$!|+(€£](?:$|[^\pL\pN@$!|+(€£])"
 _ENDS = ".,;:?\"'()[]{}<>%&#*!~`^|/\\-_=+…«»“”’"
 
 
@@ -90,8 +93,18 @@ class Decoder:
             self.known[token] = self._decode(token)
         return self.known[token]
 
-    def _decode(self, token: str) -> str:
-        runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+    def words(self, signs: str) -> list[str]:
+        """Words of a spaced run (lower case): the likeliest path where any gap may be a word's edge, and the run as one word."""
+        key = "\0" + signs
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[key] = self._decode(signs, edges=True)
+        return list(dict.fromkeys([self(signs), *self.known[key].split()]))
+
+    def _decode(self, token: str, edges: bool = False) -> str:
+        runs = [(c, 1) for c in token] if edges else [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", token, re.S)]
+        at = 0
         beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for sign, n in runs:
             ways = [(c, SIGN - 0.3 * k) for k, c in enumerate(LEET.get(sign, ""))] or [(sign, 0.0)]
@@ -107,6 +120,12 @@ class Decoder:
                         if (a, b) not in new or s > new[a, b][0]:
                             new[a, b] = (s, text + letter * times)
             beams = new
+            at += n
+            if edges and at < len(token):
+                for (a, b), (s, text) in list(beams.items()):
+                    s += self.model[a][b][0] + EDGE
+                    if (b, 0) not in beams or s > beams[b, 0][0]:
+                        beams[b, 0] = (s, text + " ")
         return max((s + self.model[a][b][0], t) for (a, b), (s, t) in beams.items())[1]
 
     @staticmethod
@@ -137,9 +156,12 @@ def restored_tokens(texts: pa.Array, decode: Decoder) -> tuple[np.ndarray, pa.Ar
     extra_who, extra = [], []
     for k in np.flatnonzero(pc.match_substring_regex(texts, _MAY_BE_SPACED).to_numpy(zero_copy_only=False)).tolist():
         for m in _SPACED.finditer(texts[k].as_py().lower()):
-            extra_who.append(k)
-            extra.append(decode(re.sub(r"[ .\-_*]", "", m[0])))
-            changed[k] += 1
+            signs = m[0][::2]
+            if _LETTER.search(signs):
+                words = decode.words(signs)
+                extra_who += [k] * len(words)
+                extra += words
+                changed[k] += 1
     if extra:
         who, tokens = np.concatenate([who, np.array(extra_who, np.int64)]), pa.concat_arrays([tokens, pa.array(extra, pa.string())])
     return who, tokens, changed

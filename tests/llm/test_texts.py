@@ -190,3 +190,20 @@ def test_pipeline_drops_near_duplicates_from_080(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5]
+
+
+def test_spaced_words_beside_others_and_with_leetspeak():
+    import numpy as np
+
+    words = "you are a stupid idiot fool and the dog is a good friend to a man who has a stupid idea".split()
+    docs = np.random.default_rng(0).choice(words, (200, 12))
+    counts = next(toxicity._trigrams(iter([pa.record_batch([pa.array([" ".join(d) for d in docs])], names=["t"])])))
+    n = np.zeros(32**3)
+    n[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    n = n.reshape(32, 32, 32) + 0.01
+    decode = toxicity.Decoder(np.log(n / n.sum(2, keepdims=True)))
+    texts = ["you are a s t u p i d fool", "y o u i d i o t", "s t u p 1 d", "the 1 d 1 0 t", "1 2 3 4", "A S T U P 1 D"]
+    who, tokens, changed = toxicity.restored_tokens(pa.array(texts), decode)
+    got = set(zip(who.tolist(), tokens.to_pylist()))
+    assert {(0, "stupid"), (1, "idiot"), (1, "you"), (2, "stupid"), (3, "idiot"), (5, "stupid")} <= got
+    assert changed.tolist() == [1, 1, 1, 1, 0, 1]
