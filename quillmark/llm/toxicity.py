@@ -38,6 +38,9 @@ _SPACED = re.compile(r"(?<![\w@$!|+(€£])(?:(?:[^\W_]|[@$!|+(€£])[ .\-_*]){
 _MAY_BE_SPACED = r"(?:^|[^\pL\pN_@$!|+(€£])(?:[\pL\pN@$!|+(€£][ .\-_*]){2}[\pL\pN@$!|+(€£](?:$|[^\pL\pN@$!|+(€£])"
 _ENDS = ".,;:?\"'()[]{}<>%&#*!~`^|/\\-_=+…«»“”’"
 
+#: Signs at a word's edge that stand for no letter.
+_PLAIN_ENDS = "".join(c for c in _ENDS if c not in LEET)
+_EDGES = "".join(c for c in _ENDS if c in LEET)
 
 def _byte_classes() -> np.ndarray:
     out = np.zeros(256, np.int64)
@@ -134,17 +137,35 @@ class Decoder:
         return int(_CLASS[raw[0]])
 
 
+def edge_readings(word: str, core: str) -> list[str]:
+    """``word`` with each choice of its outer LEET signs taken as letters, but for the choice that takes none (``core``).
+
+    Signs are punctuation from outside in, so a reading keeps the inner ones; of a run of one sign three
+    stand for any more, as the decoder takes them for one letter or two.
+    """
+    at = word.index(core)
+    signs = lambda x: re.sub(r"(.)\1{3,}", r"\1\1\1", "".join(c for c in x if c in _EDGES))
+    left, right = signs(word[:at]), signs(word[at + len(core) :])
+    return [left[len(left) - p :] + core + right[:q] for p in range(len(left) + 1) for q in range(len(right) + 1) if p or q]
+
+
 def restored_tokens(texts: pa.Array, decode: Decoder) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(text of each distinct pair, restored token of each pair, number of tokens changed in each text)."""
+    """(text of each distinct pair, restored token of each pair, number of tokens changed in each text).
+
+    A word with LEET signs at its edges gives one more pair for each reading of them as letters; these
+    aren't counted as changed.
+    """
     texts = pc.fill_null(texts, "")
     words, counts = common.words_of(pc.utf8_lower(texts))
-    coded = pc.utf8_trim(words, characters=_ENDS).dictionary_encode()
+    outer = pc.utf8_trim(words, characters=_PLAIN_ENDS).dictionary_encode()
+    cores = pc.utf8_trim(outer.dictionary, characters=_ENDS)
+    coded = cores.dictionary_encode()
     whole = coded.dictionary
     owner = np.repeat(np.arange(len(texts)), counts)
     odd = pc.match_substring_regex(whole, r"\pL.*[0-9@$!|+(*€£]|[0-9@$!|+(*€£].*\pL|rrr|lll|aaa|eee|iii|ooo|uuu|sss|ttt|nnn|mmm|ccc|ddd|fff|ggg|hhh|bbb|ppp|www|zzz|kkk|jjj|qqq|vvv|xxx|yyy").to_numpy(zero_copy_only=False)
     at = np.flatnonzero(odd)
     changed = np.zeros(len(texts), np.int64)
-    codes = coded.indices.to_numpy()
+    codes = coded.indices.to_numpy()[outer.indices.to_numpy()]
     if len(at):
         names = whole.to_pylist()
         for k in at.tolist():
@@ -154,6 +175,15 @@ def restored_tokens(texts: pa.Array, decode: Decoder) -> tuple[np.ndarray, pa.Ar
     pair = np.unique(owner.astype(np.int64) << 32 | codes)
     who, tokens = pair >> 32, whole.take(pa.array(pair & 0xFFFFFFFF))
     extra_who, extra = [], []
+    edged = pc.and_(pc.not_equal(outer.dictionary, cores), pc.match_substring_regex(cores, r"\pL")).to_numpy(zero_copy_only=False)
+    if edged.any():
+        here = np.flatnonzero(edged)
+        read = {k: list(dict.fromkeys(map(decode, edge_readings(w, c)))) for k, w, c in zip(here.tolist(), outer.dictionary.take(pa.array(here)).to_pylist(), cores.take(pa.array(here)).to_pylist(), strict=True)}
+        mine = edged[outer.indices.to_numpy()]
+        for one in np.unique(owner[mine].astype(np.int64) << 32 | outer.indices.to_numpy()[mine]).tolist():
+            tokens_ = read[one & 0xFFFFFFFF]
+            extra_who += [one >> 32] * len(tokens_)
+            extra += tokens_
     for k in np.flatnonzero(pc.match_substring_regex(texts, _MAY_BE_SPACED).to_numpy(zero_copy_only=False)).tolist():
         for m in _SPACED.finditer(texts[k].as_py().lower()):
             signs = m[0][::2]

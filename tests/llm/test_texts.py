@@ -207,3 +207,14 @@ def test_spaced_words_beside_others_and_with_leetspeak():
     got = set(zip(who.tolist(), tokens.to_pylist()))
     assert {(0, "stupid"), (1, "idiot"), (1, "you"), (2, "stupid"), (3, "idiot"), (5, "stupid")} <= got
     assert changed.tolist() == [1, 1, 1, 1, 0, 1]
+
+
+def test_leetspeak_at_the_edges_of_words():
+    import numpy as np
+
+    texts = ["!diot", "(|diot),", "sh!+", "wow!!!!!!!!", '"!d!o+!"', "plain."]
+    who, tokens, changed = toxicity.restored_tokens(pa.array(texts), toxicity.Decoder(np.zeros((32, 32, 32))))
+    got = set(zip(who.tolist(), tokens.to_pylist()))
+    assert {(0, "idiot"), (0, "diot"), (1, "idiot"), (1, "diot"), (2, "sh"), (2, "shi"), (2, "shit"), (3, "wow"), (4, "idiot")} <= got
+    assert [t for w, t in got if w == 5] == ["plain"]
+    assert len(toxicity.edge_readings("(" * 50 + "word" + "!" * 50, "word")) == 15
