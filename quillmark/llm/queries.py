@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, suffix_dedup, token_output, token_rollup, toxicity
 
@@ -47,7 +48,10 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without repeated strings of 400 bytes."""
-    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+    left = suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), digest, F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 def minimiser_runs(raw: np.ndarray, offsets: np.ndarray, least: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, fingerprint, first start, last start) of each run of strings with one minimiser; starts count in ``raw``."""
+    """(text, fingerprint, first start, last start, place of the minimiser) of each run of strings with one minimiser; places count in ``raw``."""
     n, w = len(raw), least - k + 1
     none = np.zeros(0, np.int64)
     if n < least:
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     with np.errstate(over="ignore"):
         power = np.cumprod(np.full(n, _BASE, np.uint64))
         back = np.cumprod(np.full(n, pow(_BASE, -1, 2**64), np.uint64))
@@ -46,12 +46,12 @@ def minimiser_runs(raw: np.ndarray, offsets: np.ndarray, least: int, k: int) ->
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     valid = np.flatnonzero(np.arange(len(at)) + least <= offsets[text + 1])
     if not len(valid):
-        return none, none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none, none, none
     new = np.ones(len(valid), bool)
     new[1:] = (at[valid[1:]] != at[valid[:-1]]) | (np.diff(valid) != 1)
     first = valid[new]
     last = valid[np.append(np.flatnonzero(new)[1:] - 1, len(valid) - 1)]
-    return text[first], h[at[first]], first, last
+    return text[first], h[at[first]], first, last, at[first].astype(np.int64)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -158,54 +158,72 @@ def repeated_starts(segments: list[bytes], copies: np.ndarray, least: int) -> li
     return out
 
 
-def _fingerprints(least: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _unseen(keys: list[bytes], seen: set[bytes], most: int = 1_000_000) -> list[int]:
+    """Places of the keys that the task hasn't met yet; the memory of a task is bounded, so some may come twice."""
+    out = []
+    for i, key in enumerate(keys):
+        if key not in seen:
+            if len(seen) >= most:
+                seen.clear()
+            seen.add(key)
+            out.append(i)
+    return out
+
+
+def _runs(least: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each text: its minimisers, the first and last start of each one's strings, and the minimiser's own place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
+            batch = batch.take(pa.array(_unseen(batch.column(0).to_pylist(), seen), pa.int64()))
             for a, b in common.byte_slices(batch.column(1)):
                 raw, offsets = text_bytes(batch.column(1).slice(a, b - a))
-                text, fp, _, _ = minimiser_runs(raw, offsets, least, k)
-                order = np.lexsort((fp, text))
-                text, fp = text[order], fp[order]
-                new = np.ones(len(fp), bool)
-                new[1:] = (text[1:] != text[:-1]) | (fp[1:] != fp[:-1])
-                at = np.flatnonzero(new)
-                yield pa.record_batch([batch.column(0).slice(a, b - a).take(pa.array(text[at])), pa.array(fp[at].view(np.int64)), pa.array(np.diff(np.append(at, len(fp))))], names=["key", "fp", "n"])
+                text, fp, first, last, at = minimiser_runs(raw, offsets, least, k)
+                cuts = pa.array(np.searchsorted(text, np.arange(b - a + 1)), pa.int32())
+                begin = offsets[text]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (fp.view(np.int64), *((c - begin).astype(np.int32) for c in (first, last, at)))]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), *lists], names=["key", "fp", "first", "last", "at"])
 
     return run
 
 
-def _segments(least: int, k: int, most: int = 100_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The segments of repeated minimisers; the bytes go with the first of equal ones in a task."""
+def _segments(least: int, most: int = 100_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The segments of the given runs; the bytes go with the first of equal ones in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
+        seen: set[bytes] = set()
         for batch in batches:
-            for a, b in common.byte_slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                raw, offsets = text_bytes(part.column(1))
-                whole = raw.tobytes()
-                text, fp, first, last = minimiser_runs(raw, offsets, least, k)
-                known = np.unique(part.column(2).flatten().to_numpy().view(np.uint64))
-                keep = np.isin(fp, known)
-                found: dict[tuple[int, int, bytes], list[int]] = {}
-                for t, f, s, e in zip(text[keep].tolist(), fp[keep].view(np.int64).tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                    found.setdefault((t, f, hashlib.blake2b(whole[s : e + least], digest_size=16).digest()), []).extend((s, e))
-                begin, cols = offsets.tolist(), [[], [], [], [], [], []]
-                for (t, f, name), places in found.items():
-                    content = None
+            fresh = _unseen(batch.column(0).to_pylist(), seen)
+            names = ["key", "fp", "name", "starts", "n", "anchor", "size", "content"]
+            cols: list[list] = [[] for _ in names]
+            held = 0
+            for i in fresh:
+                key, whole = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes()
+                fps, first, last, at = (batch.column(2)[i].values.field(j).to_pylist() for j in range(4))
+                found: dict[tuple[int, bytes], list[int]] = {}
+                for j, (f, s, e) in enumerate(zip(fps, first, last, strict=True)):
+                    found.setdefault((f, hashlib.blake2b(whole[s : e + least], digest_size=16).digest()), []).append(j)
+                for (f, name), js in found.items():
+                    s, size, content = first[js[0]], last[js[0]] + least - first[js[0]], None
                     if name not in sent:
                         if len(sent) >= most:
                             sent.clear()
                         sent.add(name)
-                        content = whole[places[0] : places[1] + least]
-                    for c, v in zip(cols, (t, f, name, [s - begin[t] for s in places[::2]], len(places) // 2, content), strict=True):
+                        content = whole[s : s + size]
+                        held += size
+                    for c, v in zip(cols, (key, f, name, [first[j] for j in js], len(js), at[js[0]] - s, size, content), strict=True):
                         c.append(v)
-                keys = part.column(0).take(pa.array(cols[0], pa.int64()))
-                yield pa.record_batch([keys, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=["key", "fp", "name", "starts", "n", "content"])
+                if held > 8 << 20:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _SEGMENT, strict=True)], names=names)
+                    cols, held = [[] for _ in names], 0
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, _SEGMENT, strict=True)], names=names)
 
     return run
 
 
+_SEGMENT = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _RANGES = pa.list_(pa.int32())
 
 
@@ -233,57 +251,105 @@ def _extender(least: int, batch_bytes: int) -> Callable[[Iterator[pa.RecordBatch
     return run
 
 
-def _single_strings(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every string of the segments as a 128-bit name, for minimisers with too many segments for one task."""
+def _cutter(least: int, k: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each segment cut into ``parts`` shorter ones by how far its strings begin before the minimiser.
+
+    Equal strings begin equally far before it, so they come to equal parts. The strings of a part have
+    the bytes around the minimiser in common that all of them cover; these name the part.
+    """
+    steps = [(least - k + 1) * p // parts for p in range(parts + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["fp", "name", "shift", "part_fp", "part_name", "n", "anchor", "size", "content"]
+        types = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
-            for fp, name, n, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                names = [hashlib.blake2b(content[s : s + least], digest_size=16).digest() for s in range(len(content) - least + 1)]
-                m = len(names)
-                yield pa.record_batch([pa.array([fp] * m, pa.int64()), pa.array([name] * m, pa.binary()), pa.array([n] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(names, pa.binary())], names=["fp", "name", "n", "start", "string"])
+            cols: list[list] = [[] for _ in names]
+            for fp, name, n, anchor, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for p, (low, high) in enumerate(zip(steps[:-1], (x - 1 for x in steps[1:]), strict=True)):
+                    first, last = max(0, anchor - high), min(len(content) - least, anchor - low)
+                    if first > last or low > high:
+                        continue
+                    window, part = content[anchor - low : anchor - high + least], content[first : last + least]
+                    part_fp = int.from_bytes(hashlib.blake2b(window, digest_size=8, key=p.to_bytes(4, "big")).digest(), "big", signed=True)
+                    for c, v in zip(cols, (fp, name, first, part_fp, hashlib.blake2b(part, digest_size=16).digest(), n, anchor - first, len(part), part), strict=True):
+                        c.append(v)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     return run
 
 
+def _repeated(kinds: DataFrame, contents: DataFrame, least: int, k: int, batch_bytes: int, most_segments: int, parts: int) -> DataFrame:
+    """``fp, name, ranges`` of the segments ``kinds(fp, name, n, anchor, size)`` with repeated strings.
+
+    ``contents(fp, name, content)`` has their bytes. Segments of one minimiser meet in one task and get
+    one transform; those of a minimiser with more than ``most_segments`` are cut into ``parts`` parts
+    with a longer common context, which are treated in the same way. In the end a part has one string,
+    and all its segments are one, so the cutting comes to an end and nothing is left out.
+    """
+    groups = kinds.groupBy("fp").agg(F.count("*").alias("segments"))
+    lone = kinds.filter("n > 1").join(groups.filter("segments = 1"), "fp", "left_semi").select("fp", "name", F.array(F.lit(0), (F.col("size") - least).cast("int")).alias("ranges"))
+    mixed = kinds.join(groups.filter("segments > 1"), "fp").join(contents, ["fp", "name"]).select("fp", "name", "n", "anchor", "content", "segments")
+    mixed = common.written(mixed, "mixed")
+    volume, most = mixed.agg(F.sum(F.octet_length("content")), F.max("segments")).first()
+    tasks = max(2 * kinds.sparkSession.sparkContext.defaultParallelism, -(-(volume or 0) // (4 * batch_bytes)))
+    small = mixed.filter(F.col("segments") <= most_segments).select("fp", "name", "n", "content").repartition(int(tasks), "fp").sortWithinPartitions("fp", "name")
+    ranged = small.mapInArrow(_extender(least, batch_bytes), "fp long, name binary, ranges array<int>").filter(F.size("ranges") > 0)
+    solved = lone.unionByName(ranged)
+    cut = None
+    if (most or 0) > most_segments:
+        schema = "fp long, name binary, shift int, part_fp long, part_name binary, n long, anchor int, size int, content binary"
+        cut = mixed.filter(F.col("segments") > most_segments).select("fp", "name", "n", "anchor", "content").mapInArrow(_cutter(least, k, parts), schema)
+        cut = common.written(cut, "cut")
+        parted = cut.select(F.col("part_fp").alias("fp"), F.col("part_name").alias("name"), "n", "anchor", "size", "content")
+        again = common.written(parted.groupBy("fp", "name").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size")), "parts")
+        bytes_ = parted.groupBy("fp", "name").agg(F.first("content").alias("content"))
+        found = _repeated(again, bytes_, least, k, batch_bytes, most_segments, min(8 * parts, least - k + 1))
+        named = found.select(F.col("fp").alias("part_fp"), F.col("name").alias("part_name"), "ranges")
+        back = cut.select("fp", "name", "shift", "part_fp", "part_name").join(named, ["part_fp", "part_name"])
+        solved = solved.unionByName(back.groupBy("fp", "name").agg(F.flatten(F.collect_list(F.transform("ranges", lambda x: x + F.col("shift")))).alias("ranges")))
+    out = common.written(solved, "ranges")
+    common.forget(mixed, *([] if cut is None else [cut, again, found]))
+    return out
+
+
 def _remover(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, copied, found = batch.columns
             rows = []
             for text, whole, parts in zip(texts, copied.to_pylist(), found.to_pylist(), strict=True):
-                raw = text.as_py().encode()
+                raw = text.as_buffer().to_pybytes()
+                spans: list[tuple[int, int]] = []
                 if whole and len(raw) >= least:
-                    rows.append((len(raw), len(raw), 1, hashlib.sha256(b"").hexdigest()))
-                    continue
-                spans = sorted((s + r[k], s + r[k + 1] + least) for p in parts or [] for r in [p["ranges"]] for s in p["starts"] for k in range(0, len(r), 2))
-                kept, at, removed, n = hashlib.sha256(), 0, 0, 0
-                end = -1
-                for a, b in spans:
-                    if a > end:
-                        kept.update(raw[at:a])
-                        n += 1
-                        end = a
-                    if b > end:
-                        removed += b - max(a, end)
-                        end = b
-                    at = end
-                kept.update(raw[at:])
-                rows.append((len(raw), removed, n, kept.hexdigest()))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                    spans = [(0, len(raw))]
+                else:
+                    for a, b in sorted((s + r[k], s + r[k + 1] + least) for p in parts or [] for r in [p["ranges"]] for s in p["starts"] for k in range(0, len(r), 2)):
+                        if spans and a <= spans[-1][1]:
+                            spans[-1] = spans[-1][0], max(spans[-1][1], b)
+                        else:
+                            spans.append((a, b))
+                ends = [0, *(b for _, b in spans)]
+                kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(raw)], strict=True)) if spans else raw
+                rows.append((len(raw), [{"start": a, "end": b} for a, b in spans], kept))
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+            yield pa.record_batch([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], _SPANS), pa.array(cols[2], pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, least: int = 400, k: int = 50, batch_bytes: int = 1 << 20, most_segments: int = 8192) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document.
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def remove_repeats(docs: DataFrame, least: int = 400, k: int = 200, batch_bytes: int = 1 << 20, most_segments: int = 8192, parts: int = 8) -> DataFrame:
+    """``doc_id, n_bytes, spans, kept``: the bytes of each document, the removed spans, and what is left.
 
     Each byte goes that is covered by a string of ``least`` bytes which also starts anywhere else, in
-    the same text or another row. Texts are keyed by their digest, so rows that repeat a text cost a
-    count; a text that is there twice goes whole if it has ``least`` bytes. A minimiser with more than
-    ``most_segments`` different segments doesn't meet in one task: its strings are named one by one and
-    counted by name, exactly and evenly. Nothing is capped or sampled.
+    the same text or another row. ``spans`` are the maximal removed runs ``(start, end)`` in bytes,
+    ``kept`` the other bytes one after the other. Texts are keyed by their digest, so rows that repeat
+    a text cost a count; a text that is there twice goes whole if it has ``least`` bytes. A longer ``k``
+    mixes fewer different contexts under one minimiser and gives more minimisers. Nothing is capped or
+    sampled: a minimiser with more than ``most_segments`` different segments is cut into ``parts``
+    parts with a longer common context, each with its own transform.
 
     A null text is empty (0 bytes, nothing removed); null ids stay null; repeated rows are each other's
     repeats; an empty table gives no rows. Columns but ``doc_id`` and ``text`` are not read.
@@ -291,34 +357,21 @@ def remove_repeats(docs: DataFrame, least: int = 400, k: int = 50, batch_bytes:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     keyed = rows.select("key", "text").filter(F.octet_length("text") >= least)
-    times = rows.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", F.lit(True).alias("copied"))
-    prints = common.written(keyed.mapInArrow(_fingerprints(least, k), "key binary, fp long, n long").groupBy("key", "fp").agg(F.max("n").alias("n")), "prints")
-    shared = prints.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp")
-    wanted = prints.join(shared, "fp").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    pieces = keyed.join(wanted, "key").select("key", "text", "fps").mapInArrow(_segments(least, k), "key binary, fp long, name binary, starts array<int>, n long, content binary")
+    times = keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", F.lit(True).alias("copied"))
+    runs = common.written(keyed.mapInArrow(_runs(least, k), "key binary, fp array<long>, first array<int>, last array<int>, at array<int>"), "runs")
+    each = runs.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("fp", "first", "last", "at")).alias("run"))
+    shared = runs.dropDuplicates(["key"]).select(F.explode("fp").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
+    wanted = each.join(shared, F.col("run.fp") == F.col("fp"), "left_semi").groupBy("key").agg(F.collect_list("run").alias("runs"))
+    pieces = keyed.join(wanted, "key").select("key", "text", "runs").mapInArrow(_segments(least), "key binary, fp long, name binary, starts array<int>, n long, anchor int, size int, content binary")
     pieces = common.written(pieces, "segments")
     # A row for each text and segment: rows that repeat a text gave the same.
-    places = pieces.groupBy("key", "fp", "name").agg(F.first("starts").alias("starts"), F.first("n").alias("n"))
+    places = pieces.groupBy("key", "fp", "name").agg(F.first("starts").alias("starts"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size"))
     places = common.written(places, "places")
-    counts = places.groupBy("fp", "name").agg(F.sum("n").alias("n"))
-    kinds = common.written(counts, "kinds")
-    groups = kinds.groupBy("fp").agg(F.count("*").alias("segments"), F.max("n").alias("top"))
-    single = kinds.join(groups.filter("segments = 1 AND top > 1").select("fp"), "fp", "left_semi").select("fp", "name")
+    kinds = common.written(places.groupBy("fp", "name").agg(F.sum("n").alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size")), "kinds")
     contents = pieces.filter("content IS NOT NULL").groupBy("fp", "name").agg(F.first("content").alias("content"))
-    mixed = kinds.join(groups.filter("segments > 1").select("fp", "segments"), "fp").join(contents, ["fp", "name"])
-    mixed = common.written(mixed.select("fp", "name", "n", "content", "segments"), "mixed")
-    volume = mixed.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // (4 * batch_bytes)))
-    small = mixed.filter(F.col("segments") <= most_segments).select("fp", "name", "n", "content").repartition(int(tasks), "fp").sortWithinPartitions("fp", "name")
-    ranged = small.mapInArrow(_extender(least, batch_bytes), "fp long, name binary, ranges array<int>").filter(F.size("ranges") > 0)
-    strings = common.written(mixed.filter(F.col("segments") > most_segments).select("fp", "name", "n", "content").mapInArrow(_single_strings(least), "fp long, name binary, n long, start int, string binary"), "strings")
-    twice = strings.groupBy("string").agg(F.sum("n").alias("total")).filter("total > 1").select("string")
-    hot = strings.join(twice, "string").groupBy("fp", "name").agg(F.sort_array(F.collect_list("start")).alias("s")).select("fp", "name", F.flatten(F.transform("s", lambda x: F.array(x, x))).alias("ranges"))
-    solved = common.written(ranged.unionByName(hot), "ranges")
-    one = places.join(single, ["fp", "name"]).join(pieces.select("name", F.octet_length("content").alias("size")).filter("size IS NOT NULL").groupBy("name").agg(F.max("size").alias("size")), "name")
-    one = one.select("key", F.struct("starts", F.array(F.lit(0), (F.col("size") - least).cast("int")).alias("ranges")).alias("part"))
-    more = places.join(solved, ["fp", "name"]).select("key", F.struct("starts", "ranges").alias("part"))
-    parts = one.union(more).groupBy("key").agg(F.collect_list("part").alias("parts"))
-    marked = parts.join(times, "key", "full_outer")
+    solved = _repeated(kinds, contents, least, k, batch_bytes, most_segments, parts)
+    found = places.join(solved, ["fp", "name"]).select("key", F.struct("starts", "ranges").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
+    marked = common.written(found.join(times, "key", "full_outer"), "marked")
+    common.forget(runs, pieces, places, kinds, solved)
     both = rows.join(marked, "key", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "parts")
-    return both.mapInArrow(_remover(least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(_remover(least), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
