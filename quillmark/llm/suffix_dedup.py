@@ -171,7 +171,7 @@ def _unseen(keys: list[bytes], seen: set[bytes], most: int = 1_000_000) -> list[
 
 
 def _runs(least: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A row for each text: its minimisers, the first and last start of each one's strings, and the minimiser's own place."""
+    """A row for each text: its runs (minimiser, first and last start, the minimiser's own place), then its distinct minimisers and how often each is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -183,7 +183,14 @@ def _runs(least: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 cuts = pa.array(np.searchsorted(text, np.arange(b - a + 1)), pa.int32())
                 begin = offsets[text]
                 lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (fp.view(np.int64), *((c - begin).astype(np.int32) for c in (first, last, at)))]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), *lists], names=["key", "fp", "first", "last", "at"])
+                order = np.lexsort((fp, text))
+                text, fp = text[order], fp[order]
+                new = np.ones(len(fp), bool)
+                new[1:] = (text[1:] != text[:-1]) | (fp[1:] != fp[:-1])
+                here = np.flatnonzero(new)
+                cuts = pa.array(np.searchsorted(text[here], np.arange(b - a + 1)), pa.int32())
+                lists += [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (fp[here].view(np.int64), np.diff(np.append(here, len(fp))))]
+                yield pa.record_batch([batch.column(0).slice(a, b - a), *lists], names=["key", "fp", "first", "last", "at", "prints", "times"])
 
     return run
 
@@ -201,7 +208,9 @@ def _segments(least: int, most: int = 100_000) -> Callable[[Iterator[pa.RecordBa
             held = 0
             for i in fresh:
                 key, whole = batch.column(0)[i].as_py(), batch.column(1)[i].as_buffer().to_pybytes()
-                fps, first, last, at = (batch.column(2)[i].values.field(j).to_pylist() for j in range(4))
+                fps, first, last, at, wanted = (batch.column(j)[i].values.to_numpy() for j in range(2, 7))
+                keep = np.flatnonzero(np.isin(fps, wanted))
+                fps, first, last, at = (x[keep].tolist() for x in (fps, first, last, at))
                 found: dict[tuple[int, bytes], list[int]] = {}
                 for j, (f, s, e) in enumerate(zip(fps, first, last, strict=True)):
                     found.setdefault((f, hashlib.blake2b(whole[s : e + least], digest_size=16).digest()), []).append(j)
@@ -358,11 +367,14 @@ def remove_repeats(docs: DataFrame, least: int = 400, k: int = 200, batch_bytes:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("key"))
     keyed = rows.select("key", "text").filter(F.octet_length("text") >= least)
     times = keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", F.lit(True).alias("copied"))
-    runs = common.written(keyed.mapInArrow(_runs(least, k), "key binary, fp array<long>, first array<int>, last array<int>, at array<int>"), "runs")
-    each = runs.dropDuplicates(["key"]).select("key", F.explode(F.arrays_zip("fp", "first", "last", "at")).alias("run"))
-    shared = runs.dropDuplicates(["key"]).select(F.explode("fp").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    wanted = each.join(shared, F.col("run.fp") == F.col("fp"), "left_semi").groupBy("key").agg(F.collect_list("run").alias("runs"))
-    pieces = keyed.join(wanted, "key").select("key", "text", "runs").mapInArrow(_segments(least), "key binary, fp long, name binary, starts array<int>, n long, anchor int, size int, content binary")
+    runs = keyed.mapInArrow(_runs(least, k), "key binary, fp array<long>, first array<int>, last array<int>, at array<int>, prints array<long>, times array<long>")
+    runs = common.written(runs.dropDuplicates(["key"]), "runs")
+    prints = runs.select("key", F.explode(F.arrays_zip("prints", "times")).alias("p")).select("key", F.col("p.prints").alias("fp"), F.col("p.times").alias("n"))
+    # Written first, so that the join below has plain shuffles on both sides and adaptive execution can split a hot minimiser.
+    shared = common.written(prints.groupBy("fp").agg(F.sum("n").alias("n")).filter("n > 1").select("fp"), "shared")
+    wanted = prints.select("key", "fp").join(shared, "fp", "left_semi").groupBy("key").agg(F.collect_list("fp").alias("wanted"))
+    pieces = keyed.join(wanted, "key").join(runs.drop("prints", "times"), "key").select("key", "text", "fp", "first", "last", "at", "wanted")
+    pieces = pieces.mapInArrow(_segments(least), "key binary, fp long, name binary, starts array<int>, n long, anchor int, size int, content binary")
     pieces = common.written(pieces, "segments")
     # A row for each text and segment: rows that repeat a text gave the same.
     places = pieces.groupBy("key", "fp", "name").agg(F.first("starts").alias("starts"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.first("size").alias("size"))
@@ -372,6 +384,6 @@ def remove_repeats(docs: DataFrame, least: int = 400, k: int = 200, batch_bytes:
     solved = _repeated(kinds, contents, least, k, batch_bytes, most_segments, parts)
     found = places.join(solved, ["fp", "name"]).select("key", F.struct("starts", "ranges").alias("part")).groupBy("key").agg(F.collect_list("part").alias("parts"))
     marked = common.written(found.join(times, "key", "full_outer"), "marked")
-    common.forget(runs, pieces, places, kinds, solved)
+    common.forget(runs, shared, pieces, places, kinds, solved)
     both = rows.join(marked, "key", "left").select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "parts")
     return both.mapInArrow(_remover(least), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
