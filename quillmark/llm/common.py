@@ -19,11 +19,13 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` of the session wins. Only where the cluster names none (a local
-    session, as in tests) a temporary folder is made and set, once a session.
+    ``spark.checkpoint.dir`` of the session wins. Only a local session that names none, as in tests,
+    gets a temporary folder, once; elsewhere executors would each write to their own disk, so it raises.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", given)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -155,7 +157,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = big.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         new = written(small.filter("a <> b").distinct(), "cc")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first()
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first()
         forget(state)
         state = new
         if seen == now:

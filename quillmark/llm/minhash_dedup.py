@@ -21,6 +21,8 @@ from quillmark.llm import common
 
 #: 24 bands of 5 slots: a pair at similarity 0.85 is missed with probability 8e-7, at 0.8 with 1e-4.
 BANDS, ROWS = 24, 5
+#: Ids that are sent to every task at most (8 MB).
+MOST_SENT = 1_000_000
 _G = 0x9E3779B97F4A7C15
 
 
@@ -145,14 +147,18 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     With all shingles ordered by how many nodes have them, two sets of sizes n and m whose similarity
     is ``percent`` share at least o = percent * (n + m) / (100 + percent) of them, so among the first
-    n - o + 1 of the one and m - o + 1 of the other is a common shingle.
+    n - o + 1 of the one and m - o + 1 of the other is a common shingle. Shingles of one node come
+    first and pair nothing, so they are dropped before the order is made and only counted.
     """
-    flat = nodes.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "c", F.explode("shingles").alias("shingle"))
+    flat = nodes.select(F.col("rep").alias("doc_id")).join(sets, "doc_id").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle"))
     flat = common.written(flat, "flat")
-    df = flat.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = flat.join(df, "shingle").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle")))
+    df = flat.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("rep")
+    ranked = flat.join(df, "shingle").withColumn("place", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("m", F.count("*").over(own))
     # The partner has percent / 100 of n at least, which bounds the prefix of n.
-    prefix = common.written(ranked.filter(f"df > 1 AND 100 * (place - 1) <= (100 - {percent}) * n").select("rep", "n", "c", "shingle", "place"), "prefix")
+    placed = ranked.join(nodes, "rep").withColumn("place", F.col("n") - F.col("m") + F.col("place"))
+    prefix = common.written(placed.filter(f"100 * (place - 1) <= (100 - {percent}) * n").select("rep", "n", "c", "shingle", "place"), "prefix")
+    common.forget(flat)
     mixed = prefix.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("shingle")
     left = prefix.join(mixed, "shingle", "left_semi")
     right = left.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
@@ -185,7 +191,9 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
     banded = filled.join(classes, key).filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1").select("band")
     members = common.written(banded.join(shared, "band"), "buckets")
-    chosen = members.select(F.col("rep").alias("doc_id")).distinct()
+    chosen = common.written(members.select(F.col("rep").alias("doc_id")).distinct(), "chosen")
+    if chosen.count() <= MOST_SENT:  # else the texts are dealt by id
+        chosen = F.broadcast(chosen)
     sets = common.written(texts.join(chosen, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, shingles array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -215,7 +223,9 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
         found = common.written(verified(pairs), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        comps = common.written(common.connected_components(links), "comps")
+        before, comps = comps, common.written(common.connected_components(links), "comps")
+        common.forget(before)
+    common.forget(members, sets)
     reps = signed.join(classes.withColumnRenamed("n_shingles", "n_class").withColumnRenamed("k1", "c1").withColumnRenamed("k2", "c2"), (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n_shingles") == F.col("n_class")), "left")
     named = reps.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")).join(comps, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep")

@@ -168,6 +168,14 @@ def brute_repeats(corpus, least):
     return Counter(out)
 
 
+def test_components_of_large_ids(spark):
+    """Ids like 64-bit hashes, whose plain sums would overflow."""
+    top = 2**63 - 10
+    edges = spark.createDataFrame([(top - 1, top - 2), (top - 2, top - 3), (top - 3, top - 4), (5 - top, 6 - top), (None, 1), (3, 3)], "a long, b long")
+    got = {r.node: r.component for r in common.connected_components(edges).collect()}
+    assert got == {top - 1: top - 4, top - 2: top - 4, top - 3: top - 4, top - 4: top - 4, 5 - top: 5 - top, 6 - top: 5 - top}
+
+
 def digests(left):
     """The contract's columns from what the operator returns."""
     return Counter((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in left.collect())
