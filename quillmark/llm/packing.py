@@ -1,6 +1,6 @@
 """Packing of documents into training sequences: first-fit decreasing over a tournament tree.
 
-Documents are dealt by a keyed hash into random groups of about ``group_docs`` documents, and each
+Documents are dealt by a keyed hash into random groups of about ``group_bytes`` of text, and each
 group is packed on its own: no state is shared, so groups run wherever Spark puts them, and a group
 that is run again gives the same rows.
 """
@@ -93,10 +93,10 @@ def pack_group(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int
 def _packer(tokenizer: str, capacity: int, end: int) -> Callable[[tuple, pa.Table], pa.Table]:
     def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts, doc_ids = group.column("text").combine_chunks(), group.column("doc_id").to_pylist()
+        texts, doc_ids = group.column("text").cast(pa.large_string()).combine_chunks(), group.column("doc_id").to_pylist()
         ids, sizes = [], []
         for a, b in common.byte_slices(texts, 8 << 20):
-            got, n = WordEncoder.of(tokenizer).encode(texts.slice(a, b - a), end)
+            got, n = WordEncoder.of(tokenizer).encode(texts.slice(a, b - a).cast(pa.string()), end)
             ids.append(got.astype("<u4"))
             sizes += n.tolist()
         flat = np.concatenate(ids)
@@ -112,17 +112,17 @@ def _packer(tokenizer: str, capacity: int, end: int) -> Callable[[tuple, pa.Tabl
     return pack
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, group_docs: int = 1024, seed: int = 0, tokenizer: str | None = None, end: int = 2) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, group_bytes: int = 4 << 20, seed: int = 0, tokenizer: str | None = None, end: int = 2) -> DataFrame:
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Each document's ids (with ``end``) lie in its pieces exactly once. In each group of about
-    ``group_docs`` documents, all sequences but the last are full, so padding is under one sequence a
+    ``group_bytes`` of text, all sequences but the last are full, so padding is under one sequence a
     group whatever the lengths are. Null or empty text: one piece of one id. Null ``doc_id``s are
-    packed like others (dealt by their text). Repeated ids keep their own rows. An empty table gives
-    no rows. Columns but ``doc_id`` and ``text`` are not read.
+    packed like others (dealt by their text). Repeated ids keep their own rows, in one group. An empty
+    table gives no rows. Columns but ``doc_id`` and ``text`` are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    groups = max(1, -(-rows.count() // group_docs))
+    groups = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // group_bytes))
     key = F.coalesce(F.xxhash64("doc_id", F.lit(seed)), F.xxhash64("text", F.lit(seed)))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed))).otherwise(key)
     return rows.withColumn("bin_group", F.pmod(key, F.lit(groups))).groupBy("bin_group").applyInArrow(_packer(tokenizer or default_tokenizer(), capacity, end), SCHEMA)

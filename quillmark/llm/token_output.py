@@ -116,63 +116,84 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
 
 
-def _writer(folder: str, tokenizer: str, end: int, percentile: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
-        doc_ids, sizes, starts, held, at, rest = [], [], [], [], 0, np.zeros(0, np.uint32)
-        where, place = file_system(folder)
-        where.create_dir(place, recursive=True)
-        name = f"shard-{shard:06d}-{uuid.uuid4().hex}"  # another name for each attempt; the manifest names the one that counts
-
-        def put(ids: np.ndarray) -> None:
-            nonlocal at
-            for b in encode_blocks(ids, percentile):
-                starts.append(at)
-                at += len(b)
-                held.append(b)
-            sink.write(b"".join(held))
-            held.clear()
-
-        with where.open_output_stream(f"{place}/{name}.blocks") as sink:
-            for batch in batches:
-                ids_col, texts = batch.column(0), batch.column(1)
-                for a, b in common.byte_slices(texts, 8 << 20):
-                    ids, n = encoder.encode(texts.slice(a, b - a), end)
-                    doc_ids.append(ids_col.slice(a, b - a).fill_null(int(_NULL)).to_numpy())
-                    sizes.append(n.astype("<u8"))
-                    ids = np.concatenate([rest, ids])
-                    whole = len(ids) // BLOCK * BLOCK
-                    put(ids[:whole])
-                    rest = ids[whole:]
-            put(rest)
-        if not sizes:
-            where.delete_file(f"{place}/{name}.blocks")
-            return
-        parts = [np.concatenate(doc_ids).astype("<i8").tobytes(), np.concatenate(sizes).tobytes(), np.array(starts, "<u8").tobytes()]
-        n_docs, n_ids = len(parts[0]) // 8, int(np.concatenate(sizes).sum())
-        with where.open_output_stream(f"{place}/{name}.index") as sink:
-            sink.write(struct.pack(_HEAD, MAGIC, VERSION, n_docs, n_ids, BLOCK, *map(len, parts), at))
+class _Shard:
+    """One pair of files that is being written: blocks as they fill up, the index at the end."""
+
+    def __init__(self, folder: str, number: int, part: int, percentile: float):
+        self.fs, place = file_system(folder)
+        self.fs.create_dir(place, recursive=True)
+        # Another name for each attempt; the manifest names the one that counts.
+        self.number, self.part, self.percentile, name = number, part, percentile, f"shard-{number:06d}-{part:04d}-{uuid.uuid4().hex}"
+        self.path, self.place = f"{folder}/{name}", f"{place}/{name}"
+        self.sink = self.fs.open_output_stream(f"{self.place}.blocks")
+        self.doc_ids, self.sizes, self.starts, self.at, self.n_ids, self.rest = [], [], [], 0, 0, np.zeros(0, np.uint32)
+
+    def add(self, doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.doc_ids.append(doc_ids.astype("<i8"))
+        self.sizes.append(sizes.astype("<u8"))
+        self.n_ids += len(ids)
+        ids = np.concatenate([self.rest, ids])
+        whole = len(ids) // BLOCK * BLOCK
+        self._put(ids[:whole])
+        self.rest = ids[whole:]
+
+    def _put(self, ids: np.ndarray) -> None:
+        blocks = encode_blocks(ids, self.percentile)
+        ends = self.at + np.cumsum([0, *map(len, blocks)])
+        self.starts.append(ends[:-1].astype("<u8"))
+        self.at = int(ends[-1])
+        self.sink.write(b"".join(blocks))
+
+    def close(self) -> pa.RecordBatch:
+        """Finish both files; the shard's row of the manifest."""
+        self._put(self.rest)
+        self.sink.close()
+        parts = [np.concatenate(x).tobytes() for x in (self.doc_ids, self.sizes, self.starts)]
+        n_docs = len(parts[0]) // 8
+        with self.fs.open_output_stream(f"{self.place}.index") as sink:
+            sink.write(struct.pack(_HEAD, MAGIC, VERSION, n_docs, self.n_ids, BLOCK, *map(len, parts), self.at))
             for p in parts:
                 sink.write(p)
-        yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([at], pa.int64())], names=["shard", "path", "n_docs", "n_ids", "n_bytes"])
+        row = {"shard": self.number, "part": self.part, "path": self.path, "n_docs": n_docs, "n_ids": self.n_ids, "n_bytes": self.at}
+        return pa.record_batch([pa.array([v], pa.string() if k == "path" else pa.int64()) for k, v in row.items()], names=list(row))
+
+
+def _writer(folder: str, tokenizer: str, end: int, percentile: float, shard_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, number, part, shard = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            ids_col, texts = batch.column(0), batch.column(1)
+            for a, b in common.byte_slices(texts, 8 << 20):
+                ids, n = encoder.encode(texts.slice(a, b - a), end)
+                shard = shard or _Shard(folder, number, part, percentile)
+                shard.add(ids_col.slice(a, b - a).fill_null(int(_NULL)).to_numpy(), ids, n)
+                if shard.n_ids >= shard_ids:
+                    yield shard.close()
+                    shard, part = None, part + 1
+        if shard is not None:
+            yield shard.close()
 
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, percentile: float = 0.9) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 2, percentile: float = 0.9, shard_ids: int = 1 << 26, task_bytes: int = 256 << 20) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write shards in ascending ``doc_id`` order; the manifest is returned.
 
-    Spark deals the texts by ranges of ``doc_id`` and sorts each range; each task writes one shard, so
-    memory is bounded by a slice of texts and a shard's index. The manifest ``(shard, path, n_docs,
+    Spark deals the texts by ranges of ``doc_id``, about ``task_bytes`` of text each, and sorts each
+    range; a task writes one shard after the other and begins a new one at ``shard_ids`` ids, so memory
+    is bounded by a slice of texts and a shard's index. The manifest ``(shard, part, path, n_docs,
     n_ids, n_bytes, start)`` lists only the files of the attempts that counted: a task that is run
     again writes other names. Null or empty text: only the end id. Null ids come first. Equal ids keep
-    no order among themselves. An empty table: an empty manifest. Other columns are not read.
+    no order among themselves, and all of one id are in one task. An empty table: an empty manifest.
+    Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    schema = "shard long, path string, n_docs long, n_ids long, n_bytes long"
-    shards = common.written(sorted_rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end, percentile), schema), "manifest")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-volume // task_bytes))
+    sorted_rows = rows.repartitionByRange(int(tasks), "doc_id").sortWithinPartitions("doc_id")
+    schema = "shard long, part long, path string, n_docs long, n_ids long, n_bytes long"
+    shards = common.written(sorted_rows.mapInArrow(_writer(folder, tokenizer or default_tokenizer(), end, percentile, shard_ids), schema), "manifest")
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     return shards.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -213,7 +234,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _dealt(manifest: DataFrame, *columns: str) -> DataFrame:
     """The shards dealt out one to a partition; a manifest is too small for Spark to do so by size."""
-    return manifest.repartition(max(1, manifest.count()), "shard").select(*columns)
+    return manifest.repartitionByRange(max(1, manifest.count()), "shard", "part").select(*columns)
 
 
 def read_digest(manifest: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -14,6 +15,25 @@ END_ID = 2
 _MARK = "\x01"
 
 
+#: The steps before the model for which the ids of a text are those of its pieces between white space.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def parts_at_white_space(spec: dict) -> bool:
+    """Whether a tokenizer file drops white space, parts letters from signs and adds nothing, so that pieces can be encoded one by one."""
+    steps = (spec.get("normalizer") or {}).get("normalizers") or []
+    before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [x["type"] for x in steps] == _NORMALIZERS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": "\\s+"}, " ")
+        and [x["type"] for x in before] == ["Split", "ByteLevel"]
+        and (before[0]["pattern"], before[0]["behavior"], before[0]["invert"]) == ({"Regex": _SPLIT}, "Removed", True)
+        and not (before[1]["add_prefix_space"] or before[1]["use_regex"] or spec.get("truncation") or spec.get("padding"))
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or [])
+    )
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -23,9 +43,10 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    The tokenizer drops white space and never merges across it or between a letter and a
-    punctuation mark, so the ids of a text are those of its pieces one after the other. Each
-    distinct piece is encoded once by the library and remembered, up to ``most`` pieces.
+    A tokenizer that drops white space and never merges across it or between a letter and a
+    punctuation mark (``parts_at_white_space``) gives a text the ids of its pieces one after the other.
+    Each distinct piece is encoded once by the library and remembered, up to ``most`` pieces. Texts
+    with the string of an added token, and all texts of other tokenizers, are encoded whole.
     """
 
     _own: dict[str, WordEncoder] = {}
@@ -35,10 +56,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        spec = json.loads(self.tok.to_str())
+        self.by_piece, self.added = parts_at_white_space(spec), [t["content"] for t in spec.get("added_tokens") or []]
         self.most = most
         self._forget()
-        (self.mark,) = self.tok.encode(_MARK, add_special_tokens=False).ids
+        if self.by_piece:
+            (self.mark,) = self.tok.encode(_MARK, add_special_tokens=False).ids
 
     def _forget(self) -> None:
         self.known, self.flat = pa.array([], pa.string()), np.zeros(0, np.uint32)
@@ -73,9 +96,26 @@ class WordEncoder:
         self.flat = np.concatenate([self.flat, *new])
         self.known = pa.concat_arrays([self.known, pieces])
 
+    @staticmethod
+    def _joined(parts: list[np.ndarray], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        last = [] if end is None else [np.array([end], np.uint32)]
+        flat = [x for p in parts for x in (p, *last)]
+        return np.concatenate(flat) if flat else np.zeros(0, np.uint32), np.fromiter((len(p) + len(last) for p in parts), np.int64, len(parts))
+
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; number of ids of each text). Null is empty."""
         texts = pc.fill_null(texts, "")
+        if not self.by_piece:
+            return self._joined([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)], end)
+        whole = np.zeros(len(texts), bool)
+        for string in self.added:
+            whole |= pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
+        if whole.any():
+            ids, counts = self.encode(pc.if_else(pa.array(whole), "", texts), None)
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(whole).tolist():
+                parts[k] = np.array(self.tok.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+            return self._joined(parts, end)
         texts = pc.replace_substring_regex(texts, r"(\pL)([.,;:!?])", r"\1 \2")
         # In a text of ASCII only, lower case is what the tokenizer's own normaliser gives.
         texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)

@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -16,19 +17,44 @@ def ids_of():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(default_tokenizer())
-    tok.encode_special_tokens = True
     return lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
 
 
+@functools.cache
+def plain(name="word_bpe_49k.json"):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("abC'st.,!?  \n\x01éÉ日3<|>", max_size=60)), max_size=6))
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.text("abC'st.,!?  \n\x01éÉ日3<|>", max_size=60), st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", " ", "Word", "it's", "É"]), max_size=9).map("".join)), max_size=6))
 def test_pieces_give_the_librarys_ids(texts):
     e = WordEncoder.of(default_tokenizer())
     ids, n = e.encode(pa.array(texts, pa.string()), None)
-    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    want = [plain().encode(t or "", add_special_tokens=False).ids for t in texts]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
 
 
+def test_strings_of_added_tokens_are_what_the_library_makes_of_them():
+    texts = ["hello <|endoftext|> world", None, "a<|startoftext|>b", "<|endoftext|>", "no such"]
+    ids, n = WordEncoder.of(default_tokenizer()).encode(pa.array(texts))
+    want = [[*plain().encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want] and want[0] == [3306, 49407, 1002, 2]
+
+
+def test_tokenizers_of_another_kind_encode_whole_texts():
+    import public_tokenizers
+
+    e = WordEncoder.of(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Two  words,\n it's", "", None, " x <|endoftext|>"]
+    ids, n = e.encode(pa.array(texts), None)
+    want = [plain("byte_bpe_50k.json").encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not e.by_piece and WordEncoder.of(default_tokenizer()).by_piece
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=700), st.floats(0.1, 1.0))
 def test_blocks_round_trip(values, percentile):
@@ -44,8 +70,10 @@ def test_outliers_do_not_widen_a_block():
     assert block[4] == 4 and len(block) == 8 + 4 * 32 + 5
 
 
-def test_output_round_trip(spark, docs, corpus, ids_of):
-    manifest = token_output.write_tokens(docs, common.new_folder(spark, "t"))
+@pytest.mark.parametrize("shard_ids", [1 << 26, 1])
+def test_output_round_trip(spark, docs, corpus, ids_of, shard_ids):
+    """With one shard for each slice of texts and with many shards a task."""
+    manifest = token_output.write_tokens(docs, common.new_folder(spark, "t"), shard_ids=shard_ids)
     rows = token_output.read_digest(manifest).collect()
     want = sorted((i is not None, i or 0, len(ids_of(t)), zlib.crc32(ids_of(t).tobytes())) for i, t in corpus)
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == want
@@ -90,7 +118,7 @@ def test_tournament_tree_is_first_fit():
 
 
 def test_packing(docs, corpus, ids_of, empty):
-    rows = packing.pack_documents(docs, capacity=256, group_docs=8).collect()
+    rows = packing.pack_documents(docs, capacity=256, group_bytes=4000).collect()
     want = sorted((i is not None, i or 0, len(ids_of(t))) for i, t in corpus)
     total = sum(w[2] for w in want)
     assert sum(r.length for r in rows) == total
