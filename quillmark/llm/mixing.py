@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents are added up to cells of source, language and topic. The cells' token weights are raked to
-the target shares of each of the three in turn; a cell's documents are then drawn with the ratio of
-its raked weight to its tokens, scaled so that the drawn tokens meet the budget.
+the target shares of each of the three in turn, none above what its tokens allow at the budget; a
+cell's documents are then drawn with the ratio of its raked weight to its tokens. So a value gets its
+share of the budget, or, where it has too few tokens for that, what the other marginals leave of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from quillmark.llm import common
 DIMENSIONS = ("source", "lang", "topic")
 #: Production parameters: sweeps over the three marginals, and the share of all tokens to draw.
 SWEEPS, BUDGET = 8, 0.75
-#: Rounds of the scale's search: each settles the cells that are drawn whole.
+#: Rounds of the refill's search: each settles the cells that are drawn whole.
 CAP_ROUNDS = 8
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -41,12 +42,16 @@ def tempered(cells: DataFrame, dimension: str) -> DataFrame:
     return cells.groupBy(dimension).agg(F.sum("tokens").alias("t")).select(dimension, F.sqrt(F.col("t").cast("double")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, budget: float | None = None) -> DataFrame:
     """``cells`` with ``weight`` raked to the targets: ``{dimension: (dimension, target)}`` weights, not shares.
 
+    The weights add up to 1 where the targets can be met. With a ``budget`` no cell gets more weight
+    than its tokens are of the budget's tokens; what a capped cell leaves is raked onto the others of
+    its values in the next steps, so capped and open cells settle together.
+
     Targets without cells are passed over (the rest are scaled up), values without a target keep no
     weight. Each step divides by the sum over one dimension's value: a window over cells, of which
-    there are few for any number of documents. All sweeps are one plan without a write between.
+    there are few for any number of documents. ``SWEEPS`` sweeps are one plan without a write between.
     """
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, t in targets.items():
@@ -55,20 +60,28 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
         share = present.select(F.col(d).alias("k"), (F.col("target") / F.lit(total) if total else F.lit(0.0)).alias(f"share_{d}"))
         state = state.join(share, F.col(d) == F.col("k"), "left").drop("k")
     state = common.written(state, "targets")
-    for _ in range(sweeps):
+    most = None if budget is None else budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    for turn in range(sweeps):
+        if turn and turn % SWEEPS == 0:
+            state = common.written(state, "raking")
         for d in targets:
             sums = state.withColumn("s", F.sum("weight").over(Window.partitionBy(d)))
             factor = F.when(F.col("s") > 0, F.coalesce(f"share_{d}", F.lit(0.0)) / F.col("s")).otherwise(0.0)
-            state = sums.withColumn("weight", F.col("weight") * factor).drop("s")
+            weight = F.col("weight") * factor
+            state = sums.withColumn("weight", weight if not most else F.least(weight, F.col("tokens") / F.lit(float(most)))).drop("s")
     return common.written(state.select(*DIMENSIONS, "docs", "tokens", "weight"), "raked")
 
 
-def calibrated(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """Raked cells with ``probability``: weight / tokens times one scale, 1 at most, to draw ``budget`` of all tokens."""
+def calibrated(raked: DataFrame, budget: float = BUDGET, refill: bool = True) -> DataFrame:
+    """Raked cells with ``probability``: the weight's tokens at ``budget`` of all tokens by the cell's own, 1 at most.
+
+    What cells leave that are drawn whole goes to all others by one scale (``refill``), so the budget is
+    met and the marginals are not; weights that were raked with the budget need no refill.
+    """
     cells = raked.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0))
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    scale, want = 0.0, budget * total
-    for _ in range(CAP_ROUNDS):
+    want = float(budget * (cells.agg(F.sum("tokens")).first()[0] or 0))
+    scale = 0.0 if refill else want
+    for _ in range(CAP_ROUNDS if refill else 0):
         whole = (F.col("ratio") * F.lit(scale)) >= 1.0
         row = cells.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)).alias("t"), F.sum(F.when(whole, 0.0).otherwise(F.col("weight"))).alias("w")).first()
         if not row["w"]:
@@ -77,6 +90,17 @@ def calibrated(raked: DataFrame, budget: float = BUDGET) -> DataFrame:
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
 
 
+def shares_drawn(calibrated_cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """``dimension, value, target, drawn, tokens``: the share wanted and the expected share drawn of each value, and its tokens."""
+    out = None
+    total = Window.partitionBy()  # over the values of a dimension, a row each
+    for d, t in targets.items():
+        sums = calibrated_cells.groupBy(d).agg(F.sum(F.col("probability") * F.col("tokens")).alias("x"), F.sum("tokens").alias("tokens"))
+        both = sums.join(t, d, "left").select(F.lit(d).alias("dimension"), F.col(d).alias("value"), (F.coalesce("target", F.lit(0.0)) / F.sum("target").over(total)).alias("target"), (F.col("x") / F.sum("x").over(total)).alias("drawn"), "tokens")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def chance(seed: int) -> Column:
     """A number in [0, 1) that depends on seed and document alone."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -86,8 +110,8 @@ def chance(seed: int) -> Column:
 def _cell_probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None, budget: float, sweeps: int) -> DataFrame:
     cells = common.written(cells, "cells")
     chosen = {d: (targets or {}).get(d) for d in DIMENSIONS}
-    raked = rake(cells, {d: tempered(cells, d) if t is None else t for d, t in chosen.items()}, sweeps)
-    return common.written(calibrated(raked, budget).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
+    raked = rake(cells, {d: tempered(cells, d) if t is None else t for d, t in chosen.items()}, sweeps, budget)
+    return common.written(calibrated(raked, budget, refill=False).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -100,7 +124,7 @@ def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
     text = F.coalesce("text", F.lit(""))
     words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     keys = F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), shape_topic(text, words).alias("topic"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), keys.alias("k"), chance(seed).alias("u"))
+    rows = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"), keys.alias("k"), chance(seed).alias("u"))
     on = [F.col(f"k.{d}") == F.col(f"c_{d}") for d in DIMENSIONS]
     return rows.join(drawn, on[0] & on[1] & on[2]).filter("u < probability").select("row.*")
 
@@ -131,20 +155,18 @@ def oracle_sql(budget: float = BUDGET, sweeps: int = SWEEPS, seed: int = 17) ->
           len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens
         FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)))""",
         "w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE AS weight FROM rows_ GROUP BY ALL)",
+        f"most AS MATERIALIZED (SELECT {budget} * sum(tokens) AS m FROM w0)",
     ]
     for d in DIMENSIONS:
         parts.append(f"t_{d} AS MATERIALIZED (SELECT {d}, sqrt(t) / sum(sqrt(t)) OVER () AS share FROM (SELECT {d}, sum(tokens)::DOUBLE AS t FROM w0 GROUP BY ALL))")
     n = 0
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN s > 0 THEN weight * (share / s) ELSE 0 END AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS s FROM w{n}) JOIN t_{d} USING ({d}))")
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, least(CASE WHEN s > 0 THEN weight * (share / s) ELSE 0 END, tokens / m) AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY {d}) AS s FROM w{n}) JOIN t_{d} USING ({d}), most)")
             n += 1
-    parts.append(f"cells AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens ELSE 0 END AS ratio FROM w{n})")
-    parts.append("c0 AS (SELECT 0.0::DOUBLE AS scale)")
-    for k in range(CAP_ROUNDS):
-        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT greatest(scale, ({budget} * all_t - t) / w) AS scale FROM (SELECT any_value(scale) AS scale, sum(tokens)::DOUBLE AS all_t, sum(CASE WHEN ratio * scale >= 1 THEN tokens ELSE 0 END)::DOUBLE AS t, sum(CASE WHEN ratio * scale >= 1 THEN 0 ELSE weight END) AS w FROM cells, c{k}))")
+    parts.append(f"cells AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN weight / tokens * m ELSE 0 END AS ratio FROM w{n}, most)")
     return f"""WITH {", ".join(parts)}
 SELECT doc_id, source, lang, topic, n_tokens, floor(p * 1e6 + 0.5)::BIGINT AS probability_ppm,
   ('0x' || md5('{seed}:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT / {float(1 << 52)!r} < p AS sampled
-FROM (SELECT r.*, least(1.0, ratio * scale) AS p FROM rows_ r JOIN cells USING (source, lang, topic), c{CAP_ROUNDS})
+FROM (SELECT r.*, least(1.0, ratio) AS p FROM rows_ r JOIN cells USING (source, lang, topic))
 """

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillmark.llm import common
 
@@ -232,24 +233,37 @@ def _mapper(key: bytes, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     mask = pa.array([False] * len(texts)) if not hit else pc.is_in(pa.array(range(len(texts))), value_set=pa.array(hit))
                     texts = pc.replace_with_mask(texts, mask, pa.array(new, texts.type))
                 columns = [texts if i == at else part.column(i) for i in range(part.num_columns)]
-                yield pa.record_batch([*columns, *(pa.array(counts[k], pa.int32()) for k in KINDS)], names=[*part.schema.names, *(f"n_{k}" for k in KINDS)])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[k], pa.int32()) for k in KINDS)], names=[*part.schema.names, *(f"n_{k}" for k in KINDS)])
 
     return run
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = "quillmark", columns: list[str] | None = None) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: str | bytes, columns: list[str] | None = None) -> DataFrame:
     """``columns`` (default: doc_id, text) with pseudonyms in ``text``, then ``n_email`` ... for each kind.
 
-    One pass without a shuffle; whole texts, rows and order stay. A null text stays null and has no
-    findings, an empty text stays empty; a text without valid values stays byte for byte. Null ids,
-    ties and repeated rows are treated row by row; an empty table gives no rows. Other columns, such
-    as one that is also called ``n_email``, are not read unless ``columns`` names them; a named column
-    that clashes with a count is an error of the caller and raises ``ValueError``.
+    Whoever has ``key`` can undo the permutations, so it is given by the caller and kept apart from the
+    result; an empty one raises ``ValueError``. One pass without a shuffle; whole texts, rows and order
+    stay. A null text stays null and has no findings, an empty text stays empty; a text without valid
+    values stays byte for byte. Null ids, ties and repeated rows are treated row by row; an empty table
+    gives no rows. Other columns, such as one that is also called ``n_email``, are not read unless
+    ``columns`` names them; a named column that clashes with a count raises ``ValueError``
+    (``pseudonymise_texts`` has no counts, so nothing clashes).
     """
     columns = columns or ["doc_id", "text"]
     if clash := {f"n_{k}" for k in KINDS} & set(columns):
         raise ValueError(f"columns clash with the counts: {sorted(clash)}")
-    rows = docs.select(*columns)
-    kinds = ", ".join(f"n_{k} int" for k in KINDS)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + kinds
-    return rows.mapInArrow(_mapper(key.encode(), columns.index("text")), schema)
+    rows = docs.select(*(F.col(f"`{c.replace('`', '``')}`") for c in columns))
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(f"n_{k}", T.IntegerType()) for k in KINDS)])
+    return rows.mapInArrow(_mapper(_key(key), columns.index("text")), schema)
+
+
+def pseudonymise_texts(docs: DataFrame, key: str | bytes) -> DataFrame:
+    """``docs``, all columns, with pseudonyms in ``text``; whatever the other columns are called, they stay as they are."""
+    return common.map_rows(docs, _mapper(_key(key), docs.columns.index("text")))
+
+
+def _key(key: str | bytes) -> bytes:
+    """The key of the round function: 64 bytes derived from the caller's."""
+    if not key:
+        raise ValueError("a key is needed")
+    return hashlib.blake2b(key.encode() if isinstance(key, str) else key).digest()

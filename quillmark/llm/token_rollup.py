@@ -7,6 +7,7 @@ left as it is, so a job that is run again after a failure changes nothing.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +48,10 @@ def is_committed(spark: SparkSession, folder: str, batch_id: str) -> bool:
 def commit(signed: DataFrame, folder: str, batch_id: str) -> bool:
     """Add a batch to the rollup in ``folder``; False if that batch was there already.
 
-    The sums are written beside the rollup and renamed into place in one step, so a reader sees a whole
-    batch or none, and of two writers of the same batch one wins. (On stores without an atomic rename,
-    run one committer at a time.) Null keys are keys of their own; null counts add nothing.
+    The sums are written beside the rollup and renamed into place by a rename that fails if the name is
+    taken, so a reader sees a whole batch or none, and of two writers of the same batch one wins, even
+    if both found it missing before. (On stores without an atomic rename, run one committer at a time.)
+    Null keys are keys of their own; null counts add nothing.
     """
     spark = signed.sparkSession
     if is_committed(spark, folder, batch_id):
@@ -59,13 +61,28 @@ def commit(signed: DataFrame, folder: str, batch_id: str) -> bool:
     sums.filter(" OR ".join(f"{c} <> 0" for c in SUMS)).write.parquet(pending)
     source, files = _path(spark, pending)
     target, _ = _path(spark, f"{folder}/batch={batch_id}")
+    source, target = files.makeQualified(source), files.makeQualified(target)
     files.mkdirs(target.getParent())
-    if not files.exists(target) and files.rename(source, target):
+    if _renamed(spark, source, target):
         return True
     common.drop_folder(spark, pending)
     return False
 
 
+def _renamed(spark: SparkSession, source, target) -> bool:  # noqa: ANN001
+    """Rename a folder unless the new name is taken; a plain rename would move it into a folder of that name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), conf)
+    no_overwrite = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(source, target, no_overwrite)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    return True
+
+
 def totals(spark: SparkSession, folder: str) -> DataFrame:
     """The sums of all committed batches; keys whose documents are all gone are left out."""
     p, files = _path(spark, folder)

@@ -335,7 +335,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, ma
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = language_model(texts)
     lexicon = fit_lexicon(texts, labels, model, max_train)
-    return docs.mapInArrow(_sieve(model, lexicon, base, threshold, docs.columns.index("text")), docs.schema)
+    return common.map_rows(docs, _sieve(model, lexicon, base, threshold, docs.columns.index("text")))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000, base: float = 0.01) -> DataFrame:

@@ -1,5 +1,8 @@
+import datetime as dt
+import random
 import re
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pytest
@@ -74,6 +77,29 @@ def test_signed_rows_cancel(spark):
     assert [tuple(r) for r in token_rollup.totals(spark, folder).collect()] == [("s", "l", "a", 1, 6, 9)]
 
 
+def test_two_writers_of_one_batch(spark, monkeypatch):
+    """Both find the batch missing; one commits, the other is told so, and the batch counts once."""
+    folder = common.new_folder(spark, "rollup")
+    c = spark.createDataFrame([(1, "s", "l", "a", 5, 9)], "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    monkeypatch.setattr(token_rollup, "is_committed", lambda *_: False)
+    assert [token_rollup.commit(token_rollup.inserts(c), folder, "1") for _ in range(2)] == [True, False]
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda _: token_rollup.commit(token_rollup.inserts(c), folder, "2"), range(4))) == [False, False, False, True]
+    assert [tuple(r) for r in token_rollup.totals(spark, folder).collect()] == [("s", "l", "a", 2, 10, 18)]
+
+
+def test_capped_cells_are_raked_again(spark):
+    """At a budget that some cells can't give, values with enough tokens still get their share of the budget, and no cell more than it has."""
+    rows = [(s, l, "t", 1, n) for (s, l), n in {("a", "x"): 10, ("a", "y"): 400, ("b", "x"): 300, ("b", "y"): 290}.items()]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, docs long, tokens long")
+    flat = lambda d, shares: spark.createDataFrame(list(shares.items()), f"{d} string, target double")
+    targets = {"source": flat("source", {"a": 1.0, "b": 1.0}), "lang": flat("lang", {"x": 1.0, "y": 1.0}), "topic": flat("topic", {"t": 1.0})}
+    drawn = mixing.calibrated(mixing.rake(cells, targets, 40, 0.5), 0.5, refill=False)
+    shares = {(r.dimension, r.value): (r.target, r.drawn) for r in mixing.shares_drawn(drawn, targets).collect()}
+    assert all(got == pytest.approx(want, abs=0.001) for want, got in shares.values()) and len(shares) == 5
+    assert max(r.probability for r in drawn.collect()) <= 1.0
+
+
 def test_mixing(docs, corpus, empty):
     rows = mixing.mix(docs, sweeps=30).collect()
     assert len(rows) == len(corpus) and all(0 <= r.probability_ppm <= 1_000_000 for r in rows)
@@ -114,14 +140,64 @@ def test_pseudonyms(docs, spark, corpus, empty):
     assert pii.pseudonymise("again 4111-1111-1111-1111", names, finder)[0].split()[1].replace("-", "") == card
     clean = "version 4.0. of 300.1.1.1, 4111-1111-1111-1112 and 2024-13-40, CC BY-NC 4.0"
     assert pii.pseudonymise(clean, names, finder) == (clean, {})
-    rows = pii.pseudonymise_documents(docs).collect()
+    rows = pii.pseudonymise_documents(docs, "key").collect()
     before = Counter((i, t) for i, t in corpus if i != 17)
     assert Counter((r.doc_id, r.text) for r in rows if r.doc_id != 17) == before
     (r,) = [r for r in rows if r.doc_id == 17]
     assert (r.n_email, r.n_card, r.n_ip, r.n_date) == (1, 1, 1, 1) and "4111" not in r.text
-    assert pii.pseudonymise_documents(empty).count() == 0
+    assert pii.pseudonymise_documents(empty, "key").count() == 0
     with pytest.raises(ValueError):
-        pii.pseudonymise_documents(spark.createDataFrame([], "text string, n_ip int"), columns=["text", "n_ip"])
+        pii.pseudonymise_documents(spark.createDataFrame([], "text string, n_ip int"), "key", columns=["text", "n_ip"])
+    with pytest.raises(ValueError):
+        pii.pseudonymise_documents(docs, "")
+    clash = docs.filter("doc_id = 17").select("doc_id", "text", F.lit(7).alias("n_ip"), F.lit(True).alias("a.b"))
+    (r,) = pii.pseudonymise_texts(clash, "key").collect()
+    assert r["n_ip"] == 7 and r["a.b"] is True and r.text == pii.pseudonymise_documents(clash, "key").first().text
+
+
+def _valid_samples(rng):
+    """A valid value of each format, made without the module under test."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    luhn = lambda s: sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    mod97 = lambda s: int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    card = next(x for x in (rng.choice("3456") + digits(15) for _ in range(1000)) if luhn(x))
+    iban = next(x for x in ("DE" + digits(20) for _ in range(10_000)) if mod97(x))
+    year, month, day = rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28)
+    return {
+        "card": (f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}", lambda v: luhn(v.replace(" ", ""))),
+        "iban": (" ".join(iban[i : i + 4] for i in range(0, 22, 4)), lambda v: mod97(v.replace(" ", ""))),
+        "ip": (f"{rng.randint(1, 223)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}", lambda v: 1 <= int(v.split(".")[0]) <= 223 and all(int(p) < 256 for p in v.split("."))),
+        "ssn": (f"{rng.choice([x for x in range(1, 900) if x != 666]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", lambda v: v[:3] not in ("000", "666") and v[:3] < "900" and v[4:6] != "00" and v[7:] != "0000"),
+        "date": (f"{year}-{month:02d}-{day:02d}", lambda v: "1900" <= v[:4] <= "2099" and bool(dt.date.fromisoformat(v))),
+        "phone": (f"({rng.randint(2, 9)}{digits(2)}) {rng.randint(2, 9)}{digits(2)}-{digits(4)}", lambda v: v[1] in "23456789" and v[6] in "23456789"),
+        "email": (f"{rng.choice('abc')}{digits(3)}x@mail.example.org", lambda v: v.endswith("@mail.example.org")),
+        "secret": ("AKIA" + "".join(rng.choice("ABCDEFGHIJ0123456789") for _ in range(16)), lambda v: v.startswith("AKIA") and v[4:].isalnum() and v == v.upper()),
+    }
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_every_format_is_permuted_within_itself(kind):
+    """Many values of one format: layout and validity stay, nothing keeps its value, no two values meet, and another key gives others."""
+    rng = random.Random(kind)
+    names, other = pii.Pseudonyms(pii._key("key")), pii.Pseudonyms(pii._key("another"))
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", s)))
+    seen, moved = {}, 0
+    for _ in range(400):
+        value, valid = _valid_samples(rng)[kind]
+        out, found = pii.pseudonymise(f"see {value} there", names, re.compile(pii._PATTERN))
+        new = out[4:-6]
+        assert found == {kind: 1} and valid(value) and valid(new) and new != value
+        assert re.sub(r"9+", "9", shape(new)) == re.sub(r"9+", "9", shape(value)) if kind == "ip" else shape(new) == shape(value)
+        assert seen.setdefault(new, value) == value
+        moved += other(kind, value) != new
+    assert moved >= 399
+
+
+def test_a_small_domain_is_permuted_whole():
+    """All dates of the format: the pseudonyms are all dates of the format again."""
+    names = pii.Pseudonyms(pii._key("key"))
+    days = [(dt.date(1900, 1, 1) + dt.timedelta(k)).isoformat() for k in range((dt.date(2099, 12, 31) - dt.date(1900, 1, 1)).days + 1)]
+    assert sorted(names("date", d) for d in days) == days
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +294,24 @@ def test_leetspeak_at_the_edges_of_words():
     assert {(0, "idiot"), (0, "diot"), (1, "idiot"), (1, "diot"), (2, "sh"), (2, "shi"), (2, "shit"), (3, "wow"), (4, "idiot")} <= got
     assert [t for w, t in got if w == 5] == ["plain"]
     assert len(toxicity.edge_readings("(" * 50 + "word" + "!" * 50, "word")) == 15
+
+
+def test_pipeline_stages_on_awkward_tables(spark, docs, corpus, empty):
+    """Extra columns named like what operators return, nulls, empty and long texts, repeated rows and ids, and no rows."""
+    import corpus_pipeline
+
+    names = ["n_email", "score", "kept", "component_id", "probability", "sequence_id", "bin_group", "dropped_id", "node", "rep", "k", "u", "row", "a.b", "text_key"]
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    for at in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = at
+            at = common.written(stage(spark, at, "/root/testdata/sf0.001"), name)
+            assert at.columns == before.columns and [f.dataType for f in at.schema.fields] == [f.dataType for f in before.schema.fields]
+            if name == "minhash_dedup":
+                left = Counter((r.doc_id, r.text) for r in at.collect())
+                if left:
+                    gone = Counter((i, t) for i, t in corpus if i in (1, 2, 7, 16))  # copies of 0 and 6
+                    assert left == Counter(corpus) - gone
+            assert all(r["n_email"] == 0 and r["a.b"] == 13 for r in at.collect())
+        packed = corpus_pipeline.pack(spark, at, "")
+        assert packed.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
