@@ -2,14 +2,19 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it kept; what it
 returns is written and read again before the next one begins. All but the last return the columns of
-``documents``.
+``documents``. Whatever other columns ``documents`` has, and whatever they are called, they pass
+through. A null text counts as empty: it isn't toxic, has no duplicates, stays null, is drawn with its
+cell and packed as one end id. Rows with a null id stand for themselves; rows that repeat an id are
+judged by their texts but stay or go together as duplicates and in the draw. Of equal texts the
+smallest id stays. An empty table gives no rows in every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmark.llm import common, minhash_dedup, mixing, packing, pii, toxicity
+from quillmark.llm import common, minhash_dedup, mixing, packing, pii, queries, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,13 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, at a similarity of 0.8 or more: the one with the smallest id."""
-    dropped = minhash_dedup.group_near_duplicates(docs, percent=80).filter("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = minhash_dedup.group_near_duplicates(docs, percent=80).filter("NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    same = docs["doc_id"].cast("long") == dropped["dropped_id"]
+    return docs.join(dropped, same, "left_anti")
 
 
 def rename_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with format-preserving pseudonyms."""
-    return pii.pseudonymise_documents(docs, columns=docs.columns).select(*docs.columns)
+    return pii.pseudonymise_texts(docs, queries.pii_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
