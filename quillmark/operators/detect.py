@@ -60,7 +60,7 @@ def in_scope(merged: DataFrame, province: str | None = None, first: int | None =
 
 def concat_prefilter(rows: DataFrame, anchors: DataFrame, ratio: float = MIN_LENGTH_RATIO) -> DataFrame:
     """F-25: clean rows whose pattern may hold two names: long for the anchor, or with more spaces and no shorter. A missing anchor has length 1."""
-    both = clean_rows(rows).select("row_id", "delegate_id", normalise(F.col("pattern")).alias("pattern")).join(anchors, "delegate_id", "left")
+    both = clean_rows(rows).select("row_id", "delegate_id", F.col("pattern").alias("raw"), normalise(F.col("pattern")).alias("pattern")).join(anchors, "delegate_id", "left")
     n, a = F.length("pattern"), F.coalesce(F.length("anchor"), F.lit(1))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     extra = (spaces(F.col("pattern")) > F.coalesce(spaces(F.col("anchor")), F.lit(0))) & (n >= a)
@@ -81,6 +81,25 @@ def _least(a: Column, b: Column, strip: bool) -> Column:
     return F.least(raw, distance(strip_infix(a), strip_infix(b))) if strip else raw
 
 
+def _forms(df: DataFrame, column: str, strip: bool) -> DataFrame:
+    """``df`` with a row for each form of a name: ``kind`` (whole or bare), ``form`` and its ``len``; a name without a bare form has only one."""
+    whole = F.struct(F.lit("whole").alias("kind"), F.col(column).alias("form"))
+    bare = F.struct(F.lit("bare").alias("kind"), strip_infix(F.col(column)).alias("form"))
+    flat = df.withColumn("f", F.explode(F.array(whole, bare) if strip else F.array(whole)))
+    return flat.select(*df.columns, F.col("f.kind").alias("kind"), F.col("f.form").alias("form"), F.length("f.form").alias("len")).filter("kind = 'whole' OR len > 0")
+
+
+def _near(asked: DataFrame, known: DataFrame, on: list[str], within: float) -> DataFrame:
+    """``asked`` joined to ``known(on, kind, known, known_len)`` where the forms of a kind are ``within`` apart at most, with the distance ``s``.
+
+    Forms whose lengths alone put them further apart aren't compared, and a comparison stops at the bound.
+    """
+    longest = F.greatest("len", "known_len")
+    both = asked.join(known, [*on, "kind"]).filter(F.abs(F.col("len") - F.col("known_len")) <= within * longest)
+    both = both.withColumn("most", F.floor(within * longest + 1e-9).cast("int"))
+    return both.withColumn("d", F.expr("levenshtein(form, known, most)")).filter("d >= 0").withColumn("s", F.when(longest == 0, F.lit(0.0)).otherwise(F.col("d") / longest)).filter(F.col("s") <= within)
+
+
 def _halves(patterns: DataFrame) -> DataFrame:
     """Each pattern with its splits into two halves of three characters or more."""
     p = F.col("pattern")
@@ -89,53 +108,75 @@ def _halves(patterns: DataFrame) -> DataFrame:
     return sides.filter((F.length("left") >= 3) & (F.length("right") >= 3))
 
 
-def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = None, t_concat: float = T_CONCAT, t_compound: float = T_COMPOUND, window: int = WINDOW, ratio: float = MIN_LENGTH_RATIO, strip: bool = True, compound_against: str = "anchor") -> tuple[DataFrame, DataFrame]:
-    """D-02: (found, rejected). ``found``: the best split of each pattern and person; ``rejected``: rows with a reason.
+def _candidate_neighbours(candidates: DataFrame, positions: DataFrame, window: int, scope: DataFrame) -> DataFrame:
+    """``row_id, person, delta``: other persons within ``window`` ranks of each candidate, each at the first place where it stands."""
+    steps = F.explode(F.array(*(F.lit(d) for d in range(-window, window + 1) if d))).alias("delta")
+    asked = candidates.select("row_id", F.col("delegate_id").alias("own")).join(positions.select("row_id", "date", "rank"), "row_id").select("row_id", "own", "date", "rank", steps)
+    there = positions.join(scope.select("row_id"), "row_id", "left_semi").select("date", F.col("rank").alias("rank_near"), F.col("delegate_id").alias("person"))
+    met = asked.withColumn("rank_near", F.col("rank") + F.col("delta")).join(there, ["date", "rank_near"]).filter("person IS NOT NULL AND person <> own")
+    return met.groupBy("row_id", "person").agg(F.min("delta").alias("delta"))
 
-    Splits are scored once for each half and neighbour, not for each row. Case A: the halves are two
-    different neighbours; B: the left half is the person's own anchor; C: the right half is. Each half
-    may be ``t_concat`` away; the score is the mean. Ties: earliest split, then A before B before C,
-    then the nearer neighbour and the smaller id.
+
+def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = None, t_concat: float = T_CONCAT, t_compound: float = T_COMPOUND, window: int = WINDOW, ratio: float = MIN_LENGTH_RATIO, strip: bool = True, compound_against: str = "anchor") -> tuple[DataFrame, DataFrame]:
+    """D-02: (found, rejected), a row for each pattern and person (W-09).
+
+    ``found``: the best split; ``rejected``: the reason of the pattern's first row that has one. Each
+    half is scored against the known patterns of each neighbour, whole against whole and bare against
+    bare, once for each half and neighbour and not for each row; only the best neighbour of a half
+    counts (ties: the one that stands first). Case A: the best neighbours of the two halves differ;
+    B: the left half is the person's own anchor; C: the right half is. Each half may be ``t_concat``
+    away; the score is the mean. Ties: earliest split, then A before B before C, then the earlier row.
     """
     rows = merged if scope is None else scope
-    candidates = concat_prefilter(rows, table.anchors, ratio)
-    near = neighbours(table.positions, window, rows.select("row_id")).filter("neighbour_person IS NOT NULL")
-    near = candidates.select("row_id").join(near, "row_id").groupBy("row_id", "neighbour_person").agg(F.min(F.abs("delta")).alias("delta"))
-    known = table.patterns.select(F.col("delegate_id").alias("neighbour_person"), F.col("pattern").alias("known"))
-    near = near.join(known.select("neighbour_person").distinct(), "neighbour_person", "left_semi")
-    lonely = candidates.join(near.select("row_id"), "row_id", "left_anti").select("row_id", F.lit("no_neighbors").alias("reason"))
+    candidates = concat_prefilter(rows, table.anchors, ratio).persist()
+    known = table.patterns.filter("pattern <> ''").select(F.col("delegate_id").alias("person"), F.col("pattern").alias("name"))
+    near = _candidate_neighbours(candidates, table.positions, window, rows).join(known.select("person").distinct(), "person", "left_semi")
+    near = near.persist()
+    reject = lambda df, why: df.select("row_id", "delegate_id", F.col("raw").alias("pattern"), F.coalesce("anchor", F.lit("")).alias("anchor"), F.lit(why).alias("reason"))
+    lonely = reject(candidates.join(near.select("row_id"), "row_id", "left_anti"), "no_neighbors")
     rest = candidates.join(near.select("row_id").distinct(), "row_id", "left_semi")
 
     own = table.patterns.withColumnRenamed("pattern", "own_pattern")
     against = {"anchor": F.col("own_pattern") == F.col("anchor"), "other_patterns": F.col("own_pattern") != F.col("pattern"), "all": F.lit(True)}[compound_against]
     compound = rest.select("delegate_id", "pattern", "anchor").distinct().join(own, "delegate_id").filter(against & (_least(F.col("pattern"), F.col("own_pattern"), strip) <= t_compound)).select("delegate_id", "pattern").distinct()
-    spared = rest.join(compound, ["delegate_id", "pattern"], "left_semi").select("row_id", F.lit("compound_name").alias("reason"))
+    spared = reject(rest.join(compound, ["delegate_id", "pattern"], "left_semi"), "compound_name")
     open_ = rest.join(compound, ["delegate_id", "pattern"], "left_anti")
 
     halves = _halves(open_.select("pattern").distinct())
-    asked = open_.select("row_id", "pattern").join(near, "row_id").select("pattern", "neighbour_person").distinct().join(halves, "pattern")
-    pairs = asked.select("neighbour_person", F.explode(F.array("left", "right")).alias("half")).distinct()
-    scores = pairs.join(known, "neighbour_person").groupBy("neighbour_person", "half").agg(F.min(_least(F.col("half"), F.col("known"), strip)).alias("s")).filter(F.col("s") <= t_concat)
-
-    by_row = open_.join(halves, "pattern").join(near, "row_id")
-    side = lambda name: scores.select(F.col("neighbour_person").alias(f"_{name}_p"), F.col("half").alias(f"_{name}_h"), F.col("s").alias(f"{name}_s"))
-    for name in ("left", "right"):
-        by_row = by_row.join(side(name), (F.col("neighbour_person") == F.col(f"_{name}_p")) & (F.col(name) == F.col(f"_{name}_h")), "left")
-    near_list = lambda name: F.collect_list(F.when(F.col(f"{name}_s").isNotNull(), F.struct(F.col(f"{name}_s").alias("s"), F.col("delta").alias("d"), F.col("neighbour_person").alias("p"))))
-    # A row has 2 * window neighbours at most, so these lists are short.
-    packed = by_row.groupBy("row_id", "delegate_id", "pattern", "anchor", "split", "left", "right").agg(near_list("left").alias("ls"), near_list("right").alias("rs"))
-    own_left, own_right = (_least(F.col(c), F.col("anchor"), strip) for c in ("left", "right"))
-    option = lambda score, case, l, r, d: F.struct(score.alias("score"), F.col("split").alias("split"), F.lit(case).alias("case"), d.alias("d"), l.alias("left_person"), r.alias("right_person"))
-    two = F.flatten(F.transform("ls", lambda l: F.transform(F.filter("rs", lambda r: r["p"] != l["p"]), lambda r: option((l["s"] + r["s"]) / 2, "A", l["p"], r["p"], l["d"] + r["d"]))))
-    left_own = F.when(own_left <= t_concat, F.transform("rs", lambda r: option((own_left + r["s"]) / 2, "B", F.col("delegate_id"), r["p"], r["d"])))
-    right_own = F.when(own_right <= t_concat, F.transform("ls", lambda l: option((l["s"] + own_right) / 2, "C", l["p"], F.col("delegate_id"), l["d"])))
-    none = F.slice(two, 1, 0)
-    best = packed.select("row_id", "delegate_id", "pattern", F.array_min(F.concat(two, F.coalesce(left_own, none), F.coalesce(right_own, none))).alias("b")).filter("b IS NOT NULL")
-    best = best.groupBy("row_id", "delegate_id", "pattern").agg(F.min("b").alias("b"))
-    found = best.groupBy("delegate_id", "pattern").agg(F.min(F.struct(F.col("b.score").alias("score"), F.col("row_id"), F.col("b"))).alias("x"))
-    found = found.select("pattern", "delegate_id", F.col("x.row_id").alias("row_id"), F.bround("x.b.score", 4).alias("score"), F.col("x.b.split").alias("split"), F.col("x.b.case").alias("case"), F.col("x.b.left_person").alias("left_person"), F.col("x.b.right_person").alias("right_person"))
-    high = open_.join(best.select("row_id"), "row_id", "left_anti").select("row_id", F.lit("score_too_high").alias("reason"))
-    return found, lonely.unionByName(spared).unionByName(high)
+    asked = open_.select("row_id", "pattern").join(near, "row_id").select("pattern", "person").distinct().join(halves, "pattern")
+    pairs = _forms(asked.select("person", F.explode(F.array("left", "right")).alias("half")).distinct(), "half", strip)
+    forms = _forms(known, "name", strip).select("person", "kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
+    scores = _near(pairs, forms, ["person"], t_concat).groupBy("person", "half").agg(F.min("s").alias("s"))
+
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("half")), F.struct(F.lit("r").alias("side"), F.col("right").alias("half")))).alias("x")
+    flat = open_.select("row_id", "pattern").join(halves, "pattern").select("row_id", "split", sides).select("row_id", "split", "x.*")
+    best_near = flat.join(near, "row_id").join(scores, ["person", "half"]).groupBy("row_id", "split", "side").agg(F.min(F.struct("s", "delta", "person")).alias("n"))
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("n")))
+    by_split = best_near.groupBy("row_id", "split").agg(one("l").alias("l"), one("r").alias("r"))
+    by_split = by_split.join(open_, "row_id").join(halves, ["pattern", "split"])
+    # A split without any neighbour can't be a candidate: all three cases need one.
+    own_score = lambda c: F.when(F.coalesce("anchor", F.lit("")) == "", F.lit(1.0)).otherwise(_least(F.col(c), F.col("anchor"), strip))
+    flat = by_split.withColumn("own_l", own_score("left")).withColumn("own_r", own_score("right"))
+    option = lambda case, ls, rs, lp, rp: F.struct(((ls + rs) / 2).alias("score"), F.col("split").alias("split"), F.lit(case).alias("case"), ls.alias("ls"), rs.alias("rs"), lp.alias("lp"), rp.alias("rp"), F.col("left").alias("left"), F.col("right").alias("right"))
+    l, r, me = F.col("l"), F.col("r"), F.col("delegate_id")
+    cases = F.array(
+        F.when(l.isNotNull() & r.isNotNull() & (l["person"] != r["person"]), option("A", l["s"], r["s"], l["person"], r["person"])),
+        F.when((F.col("own_l") <= t_concat) & r.isNotNull(), option("B", F.col("own_l"), r["s"], me, r["person"])),
+        F.when((F.col("own_r") <= t_concat) & l.isNotNull(), option("C", l["s"], F.col("own_r"), l["person"], me)),
+    )
+    best = flat.withColumn("b", F.array_min(F.filter(cases, lambda x: x.isNotNull()))).filter("b IS NOT NULL").groupBy("row_id").agg(F.min("b").alias("b"))
+    named = best.join(open_, "row_id")
+    found = named.groupBy("delegate_id", F.col("raw").alias("pattern")).agg(F.min(F.struct(F.col("b.score").alias("score"), F.col("row_id"), F.col("b"), F.coalesce("anchor", F.lit("")).alias("anchor"))).alias("x"))
+    counts = merged.filter("pattern IS NOT NULL").groupBy("delegate_id", "pattern").agg(F.count("*").alias("n_occurrences"))
+    found = found.join(counts, ["delegate_id", "pattern"], "left").select(
+        "pattern", "delegate_id", F.col("x.row_id").alias("row_id"), F.col("x.anchor").alias("anchor"), F.bround("x.score", 4).alias("score"), F.col("x.b.split").alias("split"), F.col("x.b.case").alias("case"),
+        F.col("x.b.left").alias("split_left"), F.col("x.b.right").alias("split_right"), F.col("x.b.lp").alias("left_person"), F.col("x.b.rp").alias("right_person"),
+        F.bround("x.b.ls", 4).alias("left_score"), F.bround("x.b.rs", 4).alias("right_score"), F.coalesce("n_occurrences", F.lit(1)).alias("n_occurrences"),
+    )
+    high = reject(open_.join(best.select("row_id"), "row_id", "left_anti"), "score_too_high")
+    every = lonely.unionByName(spared).unionByName(high)
+    first = every.groupBy("delegate_id", "pattern").agg(F.min(F.struct("row_id", "anchor", "reason")).alias("x"))
+    return found, first.select("pattern", "delegate_id", "x.row_id", "x.anchor", "x.reason")
 
 
 def with_anchors(found: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -178,21 +219,29 @@ def detect_all(merged: DataFrame, synonyms: DataFrame | None = None, scope: Data
     return (*detect_concat(merged, table, scope), detect_fragments(merged, table, scope))
 
 
-def compound_scores(merged: DataFrame, anchors: DataFrame, within: float = T_COMPOUND) -> DataFrame:
-    """D-05: the least distance of each distinct pattern to any anchor, whole or bare, null beyond ``within``.
+def compound_scores(merged: DataFrame, anchors: DataFrame, within: float | None = None) -> DataFrame:
+    """D-05: the least distance of each distinct pattern to any anchor, whole to whole or bare to bare.
 
-    A distance of ``within`` at most leaves less than that share of difference in length, and each
-    pattern and anchor is compared in both forms; forms meet by length, so far ones never do.
+    A pattern meets only anchors of lengths that a distance under a bound allows; patterns that find none
+    are asked again under a wider bound, and the last bound allows all. With ``within`` the search ends
+    there, and farther patterns have null.
     """
-    forms = lambda c: F.explode(F.array_distinct(F.array(c, strip_infix(c)))).alias("form")
-    patterns = clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct()
-    n = F.length("form")
-    asked = patterns.select("pattern", forms(F.col("pattern"))).filter(n > 0)
-    asked = asked.withColumn("len", F.explode(F.sequence(F.ceil(n * (1 - within)).cast("int"), F.floor(n / (1 - within)).cast("int"))))
-    known = anchors.select("anchor").distinct().select(forms(F.col("anchor"))).distinct().select(F.col("form").alias("known"), F.length("form").alias("known_len"))
-    # Both are raw or both bare in the definition; a mixed pair can't be nearer than it is spelled, and counts.
-    limit = F.floor(F.greatest(F.length("form"), F.length("known")) * within).cast("int")
-    best = asked.join(known, F.col("len") == F.col("known_len")).filter(F.levenshtein("form", "known") <= limit).groupBy("pattern").agg(F.min(distance(F.col("form"), F.col("known"))).alias("compound_score"))
+    patterns = clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct().persist()
+    known = _forms(anchors.select("anchor").distinct(), "anchor", True).select("kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct().persist()
+    bounds = [T_COMPOUND, 0.5, 0.75, 1.0] if within is None else [within]
+    best, left = None, patterns
+    for bound in bounds:
+        asked = _forms(left, "pattern", True)
+        if bound < 1:
+            low, high = F.ceil(F.col("len") * (1 - bound)).cast("int"), F.floor(F.col("len") / (1 - bound) + 1e-9).cast("int")
+            asked = asked.withColumn("known_len", F.explode(F.sequence(F.least(low, high), F.greatest(low, high))))
+        else:
+            asked = asked.withColumn("known_len", F.explode(F.sequence(F.lit(0), F.lit(known.agg(F.max("known_len")).first()[0] or 0))))
+        found = _near(asked, known, ["known_len"], bound).groupBy("pattern").agg(F.min("s").alias("compound_score"))
+        best = found if best is None else best.unionByName(found)
+        if bound < bounds[-1]:
+            best = best.persist()
+            left = left.join(best.select("pattern"), "pattern", "left_anti")
     return patterns.join(best, "pattern", "left")
 
 

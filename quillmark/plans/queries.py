@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -418,19 +419,87 @@ def gap_boundaries(t):
     return C.gap_boundary_rows(_merged(t), 1).select("row_id", F.col("row_id").alias("boundary"))
 
 
-@_query(None)
+def _bare(c: str) -> str:
+    return f"trim(regexp_replace({c}, '^(?:{'|'.join(sorted(map(re.escape, N.INFIXES), key=len, reverse=True)).replace(chr(39), chr(39) * 2)})\\s*', '', 'i'))"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
+
+def _even(c: str) -> str:
+    """Rounded to four digits, halves to even, as Spark's bround."""
+    v = f"({c} * 10000)"
+    return f"(CASE WHEN abs({v} - floor({v}) - 0.5) < 1e-9 THEN floor({v}) + floor({v}) % 2 ELSE floor({v} + 0.5) END / 10000)"
+
+
+_TIGHT = "regexp_replace(lower(trim(pattern)), '\\s+', ' ', 'g')"
+#: Names of each person, candidate rows, their neighbours, splits, and the scores of halves.
+CONCAT = f""",
+names AS (SELECT DISTINCT delegate_id AS person, {_TIGHT} AS name FROM clean WHERE pattern <> ''),
+forms AS (SELECT person, name, {_bare("name")} AS bare FROM names),
+cand AS (
+  SELECT row_id, delegate_id, raw, pattern, coalesce(anchor, '') AS anchor
+  FROM (SELECT row_id, delegate_id, pattern AS raw, {_TIGHT} AS pattern FROM clean) LEFT JOIN anchors USING (delegate_id)
+  WHERE length(pattern) >= 6 AND (length(pattern) >= 1.4 * coalesce(length(anchor), 1)
+    OR length(pattern) - length(replace(pattern, ' ', '')) > coalesce(length(anchor) - length(replace(anchor, ' ', '')), 0) AND length(pattern) >= coalesce(length(anchor), 1))),
+pos AS (SELECT row_id, delegate_id, date, row_number() OVER (PARTITION BY date ORDER BY offset_ NULLS LAST, row_id) AS rank FROM merged WHERE date IS NOT NULL),
+near AS (
+  SELECT c.row_id, n.delegate_id AS person, min(n.rank - p.rank) AS delta
+  FROM cand c JOIN pos p ON c.row_id = p.row_id JOIN pos n ON n.date = p.date AND n.rank BETWEEN p.rank - 2 AND p.rank + 2
+  WHERE n.delegate_id <> p.delegate_id AND n.delegate_id IN (SELECT person FROM names) GROUP BY ALL),
+rest AS (SELECT * FROM cand WHERE row_id IN (SELECT row_id FROM near)),
+compound AS (
+  SELECT DISTINCT delegate_id, pattern FROM rest WHERE least({_apart("pattern", "anchor")}, {_apart(_bare("pattern"), _bare("anchor"))}) <= 0.25
+    AND anchor IN (SELECT name FROM names WHERE person = delegate_id)),
+open AS (SELECT * FROM rest ANTI JOIN compound USING (delegate_id, pattern)),
+cuts AS (SELECT pattern, k AS split, trim(substr(pattern, 1, k)) AS l, trim(substr(pattern, k + 1)) AS r FROM (SELECT pattern, unnest(range(0, length(pattern))) AS k FROM (SELECT DISTINCT pattern FROM cand WHERE length(pattern) >= 4))
+  WHERE substr(pattern, k + 1, 1) = ' ' OR k BETWEEN greatest(2, floor(length(pattern) * 0.3)) AND least(length(pattern) - 2, floor(length(pattern) * 0.7))),
+halves AS (SELECT * FROM cuts WHERE length(l) >= 3 AND length(r) >= 3),
+asked AS (SELECT DISTINCT person, unnest([l, r]) AS half FROM open JOIN near USING (row_id) JOIN halves USING (pattern)),
+half_forms AS (SELECT person, half, {_bare("half")} AS half_bare FROM asked),
+scores AS (
+  SELECT person, half, min(least({_apart("half", "name")}, CASE WHEN half_bare <> '' AND bare <> '' THEN {_apart("half_bare", "bare")} ELSE 1.0 END)) AS s
+  FROM half_forms JOIN forms USING (person) GROUP BY ALL),
+placed AS (SELECT row_id, split, l, r, side, s, delta, person FROM (SELECT row_id, split, l, r, unnest(['l', 'r']) AS side, unnest([l, r]) AS half FROM open JOIN halves USING (pattern)) JOIN near USING (row_id) JOIN scores USING (person, half) WHERE s <= 0.35),
+nearest AS (SELECT row_id, split, any_value(l) AS l, any_value(r) AS r, min({{'s': s, 'd': delta, 'p': person}}) FILTER (side = 'l') AS bl, min({{'s': s, 'd': delta, 'p': person}}) FILTER (side = 'r') AS br FROM placed GROUP BY row_id, split),
+owned AS (SELECT *, CASE WHEN anchor = '' THEN 1.0 ELSE least({_apart("l", "anchor")}, {_apart(_bare("l"), _bare("anchor"))}) END AS ol, CASE WHEN anchor = '' THEN 1.0 ELSE least({_apart("r", "anchor")}, {_apart(_bare("r"), _bare("anchor"))}) END AS orr FROM nearest JOIN open USING (row_id)),
+options AS (
+  SELECT row_id, delegate_id, raw, anchor, (bl.s + br.s) / 2 AS score, split, 'A' AS kind, l, r, bl.s AS ls, br.s AS rs, bl.p AS lp, br.p AS rp FROM owned WHERE bl.p <> br.p
+  UNION ALL SELECT row_id, delegate_id, raw, anchor, (ol + br.s) / 2, split, 'B', l, r, ol, br.s, delegate_id, br.p FROM owned WHERE ol <= 0.35 AND br IS NOT NULL
+  UNION ALL SELECT row_id, delegate_id, raw, anchor, (bl.s + orr) / 2, split, 'C', l, r, bl.s, orr, bl.p, delegate_id FROM owned WHERE orr <= 0.35 AND bl IS NOT NULL),
+best AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score, split, kind) = 1)"""
+
+
+@_query(
+    f"""SELECT raw AS pattern, b.delegate_id, row_id, anchor, {_even("score")} AS score, split::INTEGER AS split, kind AS "case", l AS split_left, r AS split_right, lp AS left_person, rp AS right_person,
+  {_even("ls")} AS left_score, {_even("rs")} AS right_score, n AS n_occurrences
+FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY delegate_id, raw ORDER BY score, row_id) = 1) b JOIN freq f ON b.delegate_id = f.delegate_id AND b.raw = f.pattern""",
+    MERGED, MODAL, CLEAN, CONCAT,
+)
 def concat_candidates(t):
-    m = _merged(t)
+    m = _merged(t).persist()
     return D.detect_concat(m, D.anchor_table(m))[0]
 
 
-@_query(None)
+@_query(
+    """SELECT reason, count(*) AS n FROM (
+  SELECT delegate_id, raw, arg_min(reason, row_id) AS reason FROM (
+    SELECT row_id, delegate_id, raw, 'no_neighbors' AS reason FROM cand WHERE row_id NOT IN (SELECT row_id FROM near)
+    UNION ALL SELECT row_id, delegate_id, raw, 'compound_name' FROM rest SEMI JOIN compound USING (delegate_id, pattern)
+    UNION ALL SELECT row_id, delegate_id, raw, 'score_too_high' FROM open WHERE row_id NOT IN (SELECT row_id FROM best)) GROUP BY ALL) GROUP BY reason""",
+    MERGED, MODAL, CLEAN, CONCAT,
+)
 def concat_rejections(t):
-    m = _merged(t)
+    m = _merged(t).persist()
     return D.rejection_counts(D.detect_concat(m, D.anchor_table(m))[1])
 
 
-@_query(None)
+@_query(
+    f"""SELECT pattern, min(least({_apart("pattern", "anchor")}, CASE WHEN pb <> '' AND ab <> '' THEN {_apart("pb", "ab")} ELSE 1.0 END)) AS compound_score
+FROM (SELECT DISTINCT {_TIGHT} AS pattern, {_bare(_TIGHT)} AS pb FROM clean), (SELECT DISTINCT anchor, {_bare("anchor")} AS ab FROM anchors) GROUP BY pattern""",
+    MERGED, CLEAN,
+)
 def compound_score(t):
     m = _merged(t)
     return D.compound_scores(m, D.anchor_table(m).anchors)
@@ -448,7 +517,13 @@ def neighbour_evidence(t):
     return D.neighbour_evidence(D.suspicious_lengths(m, table), table)
 
 
-@_query(None)
+@_query(
+    f"""SELECT row_id, pattern, min((l_s + r_s) / 2) AS best FROM (
+  SELECT c.row_id, c.pattern, h.split, min({_apart("h.l", "a.anchor")}) AS l_s, min({_apart("h.r", "a.anchor")}) AS r_s
+  FROM cand c JOIN halves h USING (pattern) JOIN pos p ON c.row_id = p.row_id JOIN pos n ON n.date = p.date AND n.rank BETWEEN p.rank - 2 AND p.rank + 2 AND n.row_id <> p.row_id JOIN anchors a ON n.delegate_id = a.delegate_id
+  GROUP BY ALL) GROUP BY ALL""",
+    MERGED, CLEAN, CONCAT,
+)
 def best_split_scores(t):
     m = _merged(t)
     return D.best_split_scores(m, D.anchor_table(m))
