@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.columns import distance, length_ratio, normalise, pattern_parts, split_points, word_halves
 from quillmark.functions.names import is_infix_only, is_session_header, strip_infix
+from quillmark.functions.steps import written
 from quillmark.operators.registry import first_per_key
 from quillmark.operators.sequence import cooccurrence, day_positions, neighbours
 from quillmark.operators.signals import ghost_patterns, modal_patterns, pattern_frequency
@@ -128,10 +129,11 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
     away; the score is the mean. Ties: earliest split, then A before B before C, then the earlier row.
     """
     rows = merged if scope is None else scope
-    candidates = concat_prefilter(rows, table.anchors, ratio).persist()
+    table = table._replace(anchors=written(table.anchors), patterns=written(table.patterns), positions=written(table.positions.select("row_id", "date", "rank", "delegate_id")))
+    candidates = written(concat_prefilter(rows, table.anchors, ratio))
     known = table.patterns.filter("pattern <> ''").select(F.col("delegate_id").alias("person"), F.col("pattern").alias("name"))
     near = _candidate_neighbours(candidates, table.positions, window, rows).join(known.select("person").distinct(), "person", "left_semi")
-    near = near.persist()
+    near = written(near)
     reject = lambda df, why: df.select("row_id", "delegate_id", F.col("raw").alias("pattern"), F.coalesce("anchor", F.lit("")).alias("anchor"), F.lit(why).alias("reason"))
     lonely = reject(candidates.join(near.select("row_id"), "row_id", "left_anti"), "no_neighbors")
     rest = candidates.join(near.select("row_id").distinct(), "row_id", "left_semi")
@@ -140,9 +142,9 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
     against = {"anchor": F.col("own_pattern") == F.col("anchor"), "other_patterns": F.col("own_pattern") != F.col("pattern"), "all": F.lit(True)}[compound_against]
     compound = rest.select("delegate_id", "pattern", "anchor").distinct().join(own, "delegate_id").filter(against & (_least(F.col("pattern"), F.col("own_pattern"), strip) <= t_compound)).select("delegate_id", "pattern").distinct()
     spared = reject(rest.join(compound, ["delegate_id", "pattern"], "left_semi"), "compound_name")
-    open_ = rest.join(compound, ["delegate_id", "pattern"], "left_anti")
+    open_ = written(rest.join(compound, ["delegate_id", "pattern"], "left_anti"))
 
-    halves = _halves(open_.select("pattern").distinct())
+    halves = written(_halves(open_.select("pattern").distinct()))
     asked = open_.select("row_id", "pattern").join(near, "row_id").select("pattern", "person").distinct().join(halves, "pattern")
     pairs = _forms(asked.select("person", F.explode(F.array("left", "right")).alias("half")).distinct(), "half", strip)
     forms = _forms(known, "name", strip).select("person", "kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
@@ -165,6 +167,7 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
         F.when((F.col("own_r") <= t_concat) & l.isNotNull(), option("C", l["s"], F.col("own_r"), l["person"], me)),
     )
     best = flat.withColumn("b", F.array_min(F.filter(cases, lambda x: x.isNotNull()))).filter("b IS NOT NULL").groupBy("row_id").agg(F.min("b").alias("b"))
+    best = written(best)
     named = best.join(open_, "row_id")
     found = named.groupBy("delegate_id", F.col("raw").alias("pattern")).agg(F.min(F.struct(F.col("b.score").alias("score"), F.col("row_id"), F.col("b"), F.coalesce("anchor", F.lit("")).alias("anchor"))).alias("x"))
     counts = merged.filter("pattern IS NOT NULL").groupBy("delegate_id", "pattern").agg(F.count("*").alias("n_occurrences"))
@@ -226,8 +229,10 @@ def compound_scores(merged: DataFrame, anchors: DataFrame, within: float | None
     are asked again under a wider bound, and the last bound allows all. With ``within`` the search ends
     there, and farther patterns have null.
     """
-    patterns = clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct().persist()
-    known = _forms(anchors.select("anchor").distinct(), "anchor", True).select("kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct().persist()
+    patterns = clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct()
+    patterns = written(patterns)
+    known = _forms(anchors.select("anchor").distinct(), "anchor", True).select("kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
+    known = written(known)
     bounds = [T_COMPOUND, 0.5, 0.75, 1.0] if within is None else [within]
     best, left = None, patterns
     for bound in bounds:
@@ -240,8 +245,8 @@ def compound_scores(merged: DataFrame, anchors: DataFrame, within: float | None
         found = _near(asked, known, ["known_len"], bound).groupBy("pattern").agg(F.min("s").alias("compound_score"))
         best = found if best is None else best.unionByName(found)
         if bound < bounds[-1]:
-            best = best.persist()
-            left = left.join(best.select("pattern"), "pattern", "left_anti")
+            best = written(best)
+            left = written(left.join(best.select("pattern"), "pattern", "left_anti"))
     return patterns.join(best, "pattern", "left")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.columns import as_int, char_ngrams, word_ngrams
+from quillmark.functions.steps import written
 
 # The provinces that the gate knows, and the weights of the two spaces.
 PROVINCES = ("Gelderland", "Holland", "Zeeland", "Utrecht", "Friesland", "Overijssel", "Groningen")
@@ -15,7 +16,7 @@ WEIGHTS = {"char": 0.6, "word": 0.4}
 
 
 class Store(NamedTuple):
-    """D-09: ``index(space, term, delegate_id, w)``, ``idf(space, term, idf)`` and ``meta`` by person."""
+    """D-09: ``index(space, term, delegate_id, w)``, ``idf(space, term, idf, share)`` (share: of the persons who have the term) and ``meta`` by person."""
 
     index: DataFrame
     idf: DataFrame
@@ -41,49 +42,57 @@ def build_store(merged: DataFrame, province: str = "namens", include_generated:
     if not include_generated:
         labelled = labelled.filter(F.col("delegate_id").try_cast("double") > 0)
     patterns = labelled.groupBy("delegate_id", "pattern").agg(F.count("*").alias("n"))
-    terms = _terms(patterns, "delegate_id", F.col("n"))
+    terms = written(_terms(patterns, "delegate_id", F.col("n")))
     total = labelled.agg(F.count_distinct("delegate_id")).first()[0]  # one number
-    idf = terms.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = terms.join(idf, ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
+    idf = written(terms.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), (F.count("*") / F.lit(float(total or 1))).alias("share")))
+    raw = terms.join(idf.drop("share"), ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
     norms = raw.groupBy("space", "delegate_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     index = raw.join(norms, ["space", "delegate_id"]).select("space", "term", "delegate_id", (F.col("w") / F.col("norm")).alias("w"))
     years = labelled.groupBy("delegate_id").agg(F.min("j").alias("first_year"), F.max("j").alias("last_year"), F.mode(province, True).alias("provincie"))
-    return Store(index, idf, years)
+    return Store(written(index), idf, years)
 
 
-def pattern_scores(patterns: DataFrame, store: Store, weights: dict[str, float] | None = None) -> DataFrame:
-    """S-J31: ``pattern, delegate_id, score`` of distinct patterns: products are added up by shared term, no matrix is made."""
+def pattern_scores(patterns: DataFrame, store: Store, weights: dict[str, float] | None = None, max_share: float | None = None) -> DataFrame:
+    """S-J31: ``pattern, delegate_id, score`` of distinct patterns: products are added up by shared term, no matrix is made.
+
+    A term that nearly all persons have pairs each of them with each pattern that has it, for little
+    score. With ``max_share`` terms that more than this share of the persons have are passed over in the
+    products (not in the norms), which lowers scores a little; without it scores are exact.
+    """
     weights = weights or WEIGHTS
     terms = _terms(patterns.select("pattern").distinct().withColumn("q", F.col("pattern")), "q", F.lit(1)).join(store.idf, ["space", "term"])
     raw = terms.withColumn("w", (1 + F.ln("n")) * F.col("idf"))
     norms = raw.groupBy("space", "q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     share = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("space")]
-    query = raw.join(norms, ["space", "q"]).select("space", "term", "q", (share * F.col("w") / F.col("norm")).alias("wq"))
+    rare = raw if max_share is None else raw.filter(F.col("share") <= max_share)
+    query = rare.join(norms, ["space", "q"]).select("space", "term", "q", (share * F.col("w") / F.col("norm")).alias("wq"))
     return query.join(store.index, ["space", "term"]).groupBy(F.col("q").alias("pattern"), "delegate_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
 
 
-def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, tolerance: int = 5, province: str = "namens") -> DataFrame:
+def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, tolerance: int = 5, province: str = "namens", max_share: float | None = None) -> DataFrame:
     """D-10, W-10: ``row_id, person_1, score_1 ... person_k, score_k``; rows without a candidate stay, with null and 0.
 
     A person is out when the row's year is beyond the person's years by more than ``tolerance`` (an
     unknown year is no reason), or when the row names a known province that isn't the person's
     (presidents are exempt). Ties go to the smaller id.
     """
-    scored = pattern_scores(rows.filter("pattern IS NOT NULL"), store).filter("score > 0")
+    scored = pattern_scores(rows.filter("pattern IS NOT NULL"), store, max_share=max_share).filter(F.col("score") >= max(least, 1e-12))
     meta = store.meta.withColumnRenamed("delegate_id", "_id").withColumnRenamed("provincie", "_prov")
-    asked = rows.select("row_id", "pattern", as_int(F.col("j")).alias("j"), F.col(province).alias("_row_prov"), *(["class"] if "class" in rows.columns else []))
-    both = asked.join(scored, "pattern").join(meta, F.col("delegate_id") == F.col("_id"))
-    when = F.coalesce(F.col("j").between(F.col("first_year") - tolerance, F.col("last_year") + tolerance), F.col("j").isNull())
     president = F.coalesce(F.lower("class") == "president", F.lit(False)) if "class" in rows.columns else F.lit(False)
-    where = president | ~F.coalesce(F.col("_row_prov").isin(*PROVINCES), F.lit(False)) | F.coalesce(F.col("_row_prov") == F.col("_prov"), F.lit(False))
-    good = both.filter(when & where & (F.col("score") >= least))
-    # The k best are kept by sorting a row's own candidates.
-    best = good.groupBy("row_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("delegate_id").alias("p")))), 1, k).alias("b"))
-    cols = []
-    for i in range(k):
-        x = F.get("b", F.lit(i))
-        cols += [x["p"].alias(f"person_{i + 1}"), F.coalesce(F.bround(-x["s"], 3), F.lit(0.0)).alias(f"score_{i + 1}")]
-    return rows.select("row_id").join(best, "row_id", "left").select("row_id", *cols)
+    where_ = F.when(~president & F.coalesce(F.col(province).isin(*PROVINCES), F.lit(False)), F.col(province)).otherwise(F.lit(""))
+    # Rows ask alike that share pattern, year and gate; each such question is answered once.
+    keys = ["pattern", "_year", "_gate"]
+    asked = rows.select("row_id", "pattern", F.coalesce(as_int(F.col("j")).cast("string"), F.lit("")).alias("_year"), where_.alias("_gate"))
+    both = asked.select(*keys).distinct().join(scored, "pattern").join(meta, F.col("delegate_id") == F.col("_id"))
+    year = F.nullif(F.col("_year"), F.lit("")).cast("int")
+    when = F.coalesce(year.between(F.col("first_year") - tolerance, F.col("last_year") + tolerance), year.isNull())
+    good = both.filter(when & ((F.col("_gate") == "") | F.coalesce(F.col("_gate") == F.col("_prov"), F.lit(False))))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "delegate_id"))
+    best = good.select(*keys, "delegate_id", "score", place.alias("place")).filter(F.col("place") <= k)
+    of = lambda i, c: F.max(F.when(F.col("place") == i, F.col(c)))
+    cols = [x for i in range(1, k + 1) for x in (of(i, "delegate_id").alias(f"person_{i}"), F.bround(of(i, "score"), 3).alias(f"score_{i}"))]
+    answers = asked.join(best.groupBy(*keys).agg(*cols), keys, "left")
+    return answers.select("row_id", *(x for i in range(1, k + 1) for x in (F.col(f"person_{i}"), F.coalesce(f"score_{i}", F.lit(0.0)).alias(f"score_{i}"))))
 
 
 def banner(suggested: DataFrame, high: float = 0.8) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import columns as X
 from quillmark.functions import names as N
+from quillmark.functions.steps import written
 from quillmark.operators import corrections as C
 from quillmark.operators import detect as D
 from quillmark.operators import evaluate as E
@@ -478,7 +479,7 @@ FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY delegate_id, ra
     MERGED, MODAL, CLEAN, CONCAT,
 )
 def concat_candidates(t):
-    m = _merged(t).persist()
+    m = written(_merged(t))
     return D.detect_concat(m, D.anchor_table(m))[0]
 
 
@@ -491,7 +492,7 @@ def concat_candidates(t):
     MERGED, MODAL, CLEAN, CONCAT,
 )
 def concat_rejections(t):
-    m = _merged(t).persist()
+    m = written(_merged(t))
     return D.rejection_counts(D.detect_concat(m, D.anchor_table(m))[1])
 
 
@@ -501,18 +502,18 @@ FROM (SELECT DISTINCT {_TIGHT} AS pattern, {_bare(_TIGHT)} AS pb FROM clean), (S
     MERGED, CLEAN,
 )
 def compound_score(t):
-    m = _merged(t)
+    m = written(_merged(t))
     return D.compound_scores(m, D.anchor_table(m).anchors)
 
 
 @_query(None)
 def suggestions_topk(t):
-    return G.suggest(R.unresolved(t("occurrences")), G.build_store(_merged(t)))
+    return G.suggest(R.unresolved(t("occurrences")), G.build_store(written(_merged(t))))
 
 
 @_query(None)
 def neighbour_evidence(t):
-    m = _merged(t)
+    m = written(_merged(t))
     table = D.anchor_table(m)
     return D.neighbour_evidence(D.suspicious_lengths(m, table), table)
 
@@ -525,7 +526,7 @@ def neighbour_evidence(t):
     MERGED, CLEAN, CONCAT,
 )
 def best_split_scores(t):
-    m = _merged(t)
+    m = written(_merged(t))
     return D.best_split_scores(m, D.anchor_table(m))
 
 
