@@ -23,6 +23,8 @@ from quillmark.llm import common
 BANDS, ROWS = 24, 5
 #: Ids that are sent to every task at most (8 MB).
 MOST_SENT = 1_000_000
+#: 64-bit words of the marks of a set: each shingle sets one bit. Where the marks of two sets differ, the sets do.
+MARKS = 8
 _G = 0x9E3779B97F4A7C15
 
 
@@ -132,7 +134,11 @@ def _setter(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             for a, b in common.byte_slices(texts):
                 h, n = shingle_sets(texts.slice(a, b - a), size)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.record_batch([ids.slice(a, b - a), lists], names=["doc_id", "shingles"])
+                flags = np.zeros((len(n), 64 * MARKS), np.uint8)
+                flags[np.repeat(np.arange(len(n)), n), (h >> np.uint64(17)) % np.uint64(64 * MARKS)] = 1
+                words = np.packbits(flags, axis=1, bitorder="little").view("<i8").reshape(-1)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * MARKS, pa.int32()), pa.array(words))
+                yield pa.record_batch([ids.slice(a, b - a), lists, marks], names=["doc_id", "shingles", "marks"])
 
     return sets
 
@@ -148,23 +154,28 @@ def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     With all shingles ordered by how many nodes have them, two sets of sizes n and m whose similarity
     is ``percent`` share at least o = percent * (n + m) / (100 + percent) of them, so among the first
     n - o + 1 of the one and m - o + 1 of the other is a common shingle. Shingles of one node come
-    first and pair nothing, so they are dropped before the order is made and only counted.
+    first and pair nothing, so they are dropped before the order is made and only counted. The sets of
+    such a pair differ in n + m - 2 * o shingles at most, so their marks differ in no more bits: a family
+    of looser copies that share rare shingles meets in the join, but its pairs don't leave it.
     """
-    flat = nodes.select(F.col("rep").alias("doc_id")).join(sets, "doc_id").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle"))
+    flat = nodes.select(F.col("rep").alias("doc_id")).join(sets.select("doc_id", "shingles"), "doc_id").select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle"))
     flat = common.written(flat, "flat")
     df = flat.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
     own = Window.partitionBy("rep")
     ranked = flat.join(df, "shingle").withColumn("place", F.row_number().over(own.orderBy("df", "shingle"))).withColumn("m", F.count("*").over(own))
     # The partner has percent / 100 of n at least, which bounds the prefix of n.
-    placed = ranked.join(nodes, "rep").withColumn("place", F.col("n") - F.col("m") + F.col("place"))
-    prefix = common.written(placed.filter(f"100 * (place - 1) <= (100 - {percent}) * n").select("rep", "n", "c", "shingle", "place"), "prefix")
+    marked = nodes.join(sets.select(F.col("doc_id").alias("rep"), "marks"), "rep")
+    placed = ranked.join(marked, "rep").withColumn("place", F.col("n") - F.col("m") + F.col("place"))
+    prefix = common.written(placed.filter(f"100 * (place - 1) <= (100 - {percent}) * n").select("rep", "n", "c", "shingle", "place", "marks"), "prefix")
     common.forget(flat)
     mixed = prefix.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("shingle")
     left = prefix.join(mixed, "shingle", "left_semi")
-    right = left.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
+    right = left.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"), F.col("marks").alias("marks2"))
     need = f"{percent} * (n + n2)"
     near = f"(100 + {percent}) * (n - place + 1) >= {need} AND (100 + {percent}) * (n2 - place2 + 1) >= {need}"
-    return left.join(right, "shingle").filter(f"c < c2 AND {near}").select("rep", "n", "rep2", "n2")
+    differ = " + ".join(f"bit_count(marks[{i}] ^ marks2[{i}])" for i in range(MARKS))
+    few = f"(100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + n2)"
+    return left.join(right, "shingle").filter(f"c < c2 AND {near} AND {few}").select("rep", "n", "rep2", "n2")
 
 
 def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = 3) -> DataFrame:
@@ -194,7 +205,7 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
     chosen = common.written(members.select(F.col("rep").alias("doc_id")).distinct(), "chosen")
     if chosen.count() <= MOST_SENT:  # else the texts are dealt by id
         chosen = F.broadcast(chosen)
-    sets = common.written(texts.join(chosen, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, shingles array<long>"), "sets")
+    sets = common.written(texts.join(chosen, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, shingles array<long>, marks array<long>"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
