@@ -80,7 +80,7 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 # --- words ------------------------------------------------------------------------------------
 
 
-def byte_slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def byte_slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """(start, stop) of runs of rows with about ``most`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0
