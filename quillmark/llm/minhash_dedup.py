@@ -215,7 +215,8 @@ def group_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, ban
     spark = docs.sparkSession
     links: DataFrame | None = None
     tested: DataFrame | None = None
-    comps = spark.createDataFrame([], "node long, component long")
+    # Made in the JVM: a list would start worker processes of another kind beside those of the operators.
+    comps = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     for turn in range(leader_rounds + 1):
         placed = members.join(comps, F.col("rep") == F.col("node"), "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
         lead = F.min_by(F.struct("rep", "n", "c"), F.struct(F.xxhash64("rep", F.lit(turn)), F.col("rep")))
