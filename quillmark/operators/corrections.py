@@ -83,12 +83,13 @@ def from_to(folded: DataFrame, occurrences: DataFrame, top: int | None = None) -
     return counts if top is None else counts.orderBy(F.desc("n"), F.col("from_id").asc_nulls_first(), "to_id").limit(top)
 
 
-def new_corrections(rows: DataFrame, to_id: Column, persons: DataFrame, tier: str = "active", source: str = "manual", updated_at: Column | None = None) -> DataFrame:
-    """C-01: events for ``rows(row_id, delegate_id)``; the name is the new person's."""
+def new_corrections(rows: DataFrame, to_id: Column, persons: DataFrame, tier: str = "active", source: str = "manual", updated_at: Column | None = None, action_id: str | None = None) -> DataFrame:
+    """C-01: events for ``rows(row_id, delegate_id)``; the name is the new person's. A bulk action has an ``action_id`` that ``undo_last`` finds; later ones must sort later."""
     names = first_per_key(persons.select("delegate_id", "fullname"), ["delegate_id"]).select(F.col("delegate_id").alias("_id"), F.col("fullname").alias("name"))
     made = rows.select("row_id", F.col("delegate_id").alias("from_id"), to_id.cast("string").alias("to_id"))
     when = (updated_at if updated_at is not None else F.current_timestamp()).cast("string")
-    return made.join(names, F.col("to_id") == F.col("_id"), "left").select("row_id", F.lit(tier).alias("tier"), "to_id", "from_id", "name", F.lit(source).alias("source"), when.alias("updated_at"))
+    events = made.join(names, F.col("to_id") == F.col("_id"), "left").select("row_id", F.lit(tier).alias("tier"), "to_id", "from_id", "name", F.lit(source).alias("source"), when.alias("updated_at"))
+    return events if action_id is None else events.withColumn("action_id", F.lit(action_id))
 
 
 def move_tier(corrections: DataFrame, source: str, target: str, replace: bool = False) -> DataFrame:
@@ -133,15 +134,17 @@ def split_candidates(merged: DataFrame, longer: int, existing: DataFrame | None
 
 
 def undo_last(corrections: DataFrame) -> DataFrame:
-    """C-08: without the events of the latest ``action_id``."""
+    """C-08: without the events of the latest ``action_id``; single events, which have none, stay."""
+    if "action_id" not in corrections.columns:
+        return corrections
     last = corrections.agg(F.max("action_id").alias("_last"))
     return corrections.join(last, F.col("action_id") == F.col("_last"), "left_anti")
 
 
-def accept_suggestions(rows: DataFrame, suggestions: DataFrame, persons: DataFrame, least: float) -> DataFrame:
+def accept_suggestions(rows: DataFrame, suggestions: DataFrame, persons: DataFrame, least: float, action_id: str | None = None) -> DataFrame:
     """C-09: staged events for rows whose first suggestion scores ``least`` or more."""
     top = suggestions.filter(F.col("score_1") >= least).select("row_id", F.col("person_1").alias("to"))
-    return new_corrections(rows.join(top, "row_id"), F.col("to"), persons, "staged", "suggestion")
+    return new_corrections(rows.join(top, "row_id"), F.col("to"), persons, "staged", "suggestion", action_id=action_id)
 
 
 def add_decisions(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

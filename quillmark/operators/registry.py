@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.columns import SENTINELS, age, as_int, canonical_id, is_blank, is_null_id, lifespan, nullif_blank, surname
+from quillmark.functions.columns import SENTINELS, age, as_int, canonical_id, full_name, is_blank, is_null_id, lifespan, nullif_blank, surname
 
 # Column names by which the inputs may call the same thing, the first that is there wins.
 PERSON_NAME = ["fullname", "full_name", "naam", "name"]
@@ -15,6 +15,8 @@ AUTHORITY_NAME = ["naam", "name", "fullname", "full_name", "achternaam"]
 BIRTH = ["birth_year", "geboortejaar", "geboorte", "born", "birth"]
 DEATH = ["death_year", "sterfjaar", "overlijden", "died", "death"]
 LIFESPAN = ["leefjaren", "levensjaren", "leven"]
+# Surname, forename and infix of a person.
+NAME_PARTS = ["geslachtsnaam", "voornaam", "tussenvoegsel"]
 # Patterns that are never valid.
 INVALID_PATTERNS = ("invalid", "<invalid>", "none", "<none>")
 
@@ -204,10 +206,12 @@ def name_lookup(persons: DataFrame) -> DataFrame:
 
 
 def fill_from_supplement(persons: DataFrame, supplement: DataFrame, fields: list[str]) -> DataFrame:
-    """S-J26: blank fields from a supplement with the same ids."""
+    """S-J26: blank fields from a supplement with the same ids; a ``fullname`` that is blank then is made of the name's parts."""
     right = first_per_key(supplement, ["delegate_id"]).select(F.col("delegate_id").alias("_id"), *(F.col(c).alias(f"_s_{c}") for c in fields))
     both = persons.join(right, F.col("delegate_id") == F.col("_id"), "left")
-    return both.select(*(F.coalesce(nullif_blank(F.col(c)), F.col(f"_s_{c}")).alias(c) if c in fields else F.col(c) for c in persons.columns))
+    filled = both.select(*(F.coalesce(nullif_blank(F.col(c)), F.col(f"_s_{c}")).alias(c) if c in fields else F.col(c) for c in persons.columns))
+    parts = [F.col(c) if c in filled.columns else F.lit(None).cast("string") for c in NAME_PARTS]
+    return filled.withColumn("fullname", F.coalesce(nullif_blank(F.col("fullname")), nullif_blank(full_name(*parts)), F.col("fullname"))) if "fullname" in filled.columns else filled
 
 
 def add_active_persons(persons: DataFrame, active: DataFrame) -> DataFrame:

@@ -398,6 +398,12 @@ def overview(t):
     return S.overview(t("persons"), _merged(t), R.unresolved(t("occurrences")), R.remap_ids(t("occurrences"), t("remappings")).filter("remapped"))
 
 
+@_query("SELECT o.row_id, 'active' AS tier, f.to_id, o.delegate_id AS from_id, p.fullname AS name, 'manual' AS source, '2024-01-01' AS updated_at, 'bulk' AS action_id FROM occurrences o JOIN folded f ON o.row_id = f.row_id LEFT JOIN persons p ON f.to_id = p.delegate_id", FOLDED)
+def new_corrections(t):
+    rows = t("occurrences").select("row_id", "delegate_id").join(C.fold(t("corrections")).select("row_id", F.col("to_id").alias("to")), "row_id")
+    return C.new_corrections(rows, F.col("to"), t("persons"), updated_at=F.lit("2024-01-01"), action_id="bulk")
+
+
 @_query("SELECT namens, count(*) AS n FROM merged GROUP BY namens", MERGED)
 def occurrences_by_province(t):
     return S.occurrences_by(_merged(t), "namens")

@@ -300,3 +300,20 @@ def test_null_and_empty_inputs(spark):
     assert R.drop_null_ids(m).count() == 0
     assert S.pattern_frequency(m.limit(0)).count() == 0
     assert C.fold(spark.createDataFrame([], "row_id long, tier string, to_id string")).count() == 0
+
+
+def test_undo_takes_back_the_last_bulk_action(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a")], "row_id long, delegate_id string")
+    persons = spark.createDataFrame([("b", "B, b")], "delegate_id string, fullname string")
+    make = lambda row, action: C.new_corrections(rows.filter(f"row_id = {row}"), F.lit("b"), persons, updated_at=F.lit("1"), action_id=action)
+    single = make(1, None)
+    assert single.columns == C.FIELDS and C.undo_last(single).collect() == single.collect()
+    events = make(1, "1").unionByName(make(2, "2")).unionByName(single, allowMissingColumns=True)
+    assert sorted((r.row_id, r.name, r.action_id or "") for r in C.undo_last(events).collect()) == [(1, "B, b", ""), (1, "B, b", "1")]
+
+
+def test_supplement_makes_blank_full_names(spark):
+    persons = spark.createDataFrame([("1", "", None, "Jan", "van"), ("2", "Own, N", None, None, None), ("3", None, None, None, None)], "delegate_id string, fullname string, geslachtsnaam string, voornaam string, tussenvoegsel string")
+    more = spark.createDataFrame([("1", "Dam"), ("2", "Other")], "delegate_id string, geslachtsnaam string")
+    got = {r.delegate_id: (r.fullname, r.geslachtsnaam) for r in R.fill_from_supplement(persons, more, ["geslachtsnaam"]).collect()}
+    assert got == {"1": ("Dam, Jan van", "Dam"), "2": ("Own, N", "Other"), "3": (None, None)}
