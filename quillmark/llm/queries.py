@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, suffix_dedup, token_output, token_rollup, toxicity
+from quillmark.llm import common, embedding_dedup, minhash_dedup, mixing, packing, pii, quality, secret_scan, spelling, suffix_dedup, token_output, token_rollup, toxicity, whitening
 
 
 #: The key of the registered queries over made-up data, where the session names none. It is public: real data needs another.
@@ -73,8 +73,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(common.table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of each vector."""
+    white = whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frequent word with the form that it is a variant of."""
+    return spelling.spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: the rules' counts and digest, and all spans."""
+    found = secret_scan.find_secrets(common.table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secret_scan.span_text(F.filter("spans", lambda x: x["kind"] != "learned")), 256)
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), base.alias("base_sha256"), secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_mixing, op3_embedding_dedup, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op8_suffix_dedup, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_token_output, op2_mixing, op3_embedding_dedup, op4_pii, op5_toxicity, op6_minhash_dedup, op7_token_rollup, op8_suffix_dedup, op9_packing, op10_quality, op11_whitening, op12_spelling_variants, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
