@@ -43,8 +43,10 @@ _EPS = np.finfo(float).eps
 
 def _rotate_equal(d: np.ndarray, z: np.ndarray, u: np.ndarray, tol: np.ndarray) -> None:
     """Deflation of equal eigenvalues: rotations in the plane of two neighbours move all of ``z`` to the later one."""
-    for i in np.flatnonzero(((np.diff(d, axis=1) <= tol[:, None]) & (z[:, :-1] != 0)).any(axis=0)):
+    for i in np.flatnonzero((np.diff(d, axis=1) <= tol[:, None]).any(axis=0)):
         rows = np.flatnonzero((d[:, i + 1] - d[:, i] <= tol) & (z[:, i] != 0))
+        if not len(rows):
+            continue
         a, b = z[rows, i], z[rows, i + 1]
         r = np.hypot(a, b)
         c, s = (b / r)[:, None], (a / r)[:, None]

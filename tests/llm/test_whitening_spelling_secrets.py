@@ -65,6 +65,21 @@ def test_spectra_of_streams_against_the_scatter_matrix():
     assert np.abs(s.vectors[0] * s.values[0] @ s.vectors[0].T - want).max() < 1e-11 * want.max()
 
 
+def test_short_streams_of_vectors_with_equal_entries():
+    """Fewer vectors than dimensions, entries that are often equal or zero: most eigenvalues are 0, many entries of an update as well."""
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        m, n = 24, (1, 2, 3, 5, 12, 40)[trial % 6]
+        x = rng.integers(-1, 2, size=(n * 4, m)).astype(float) * rng.integers(0, 2, size=m)
+        s = whitening.Spectra(4, m)
+        for i in range(0, len(x), 4):
+            s.add(x[i : i + 4])
+        s.fold()
+        away = x - x.mean(axis=0)
+        assert np.abs(s.vectors[0] * s.values[0] @ s.vectors[0].T - away.T @ away).max() < 1e-11 * max(1, np.abs(away.T @ away).max())
+        assert np.abs(s.vectors[0].T @ s.vectors[0] - np.eye(m)).max() < 1e-11
+
+
 def test_whitening_of_a_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op11_whitening(spark, sf).collect()
