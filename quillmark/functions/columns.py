@@ -81,9 +81,9 @@ def surname(c: Column) -> Column:
 
 
 def lifespan(c: Column) -> tuple[Column, Column]:
-    """X-14: (birth, death) of texts such as ``1712-1790`` or ``1712 - ``."""
-    year = lambda p: F.regexp_extract(c, p, 1).try_cast("int")
-    return year(r"(\d{4})\s*[-–]"), year(r"[-–]\s*(\d{4})")
+    """X-14: (birth, death) of texts such as ``1712-1790``; both are null unless both years are there."""
+    year = lambda i: F.regexp_extract(c, r"(\d{4})\s*[-–]\s*(\d{4})", i).try_cast("int")
+    return year(1), year(2)
 
 
 def day_key(date: Column | None, year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
@@ -109,9 +109,9 @@ def pattern_parts(c: Column) -> Column:
 
 
 def word_halves(c: Column) -> Column:
-    """X-18: the first and second half of the words; the middle word goes to the second."""
+    """X-18: the first and second half of the words; the middle word goes to the second, a single word to the first."""
     words = F.split(F.trim(c), r"\s+")
-    cut = F.floor(F.size(words) / 2).cast("int")
+    cut = F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))
     return F.struct(F.array_join(F.slice(words, 1, cut), " ").alias("left"), F.array_join(F.slice(words, cut + 1, F.size(words)), " ").alias("right"))
 
 

@@ -23,4 +23,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows has a short plan, and a lost executor costs a read."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quillmark_path = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``written`` wrote; only when no lazy frame reads it any more."""
+    for df in frames:
+        if path := getattr(df, "quillmark_path", None):
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -195,7 +195,7 @@ def rejection_counts(rejected: DataFrame) -> DataFrame:
 
 
 def detect_fragments(merged: DataFrame, table: Anchors, scope: DataFrame | None = None, t_fragment: float = T_FRAGMENT, length: float = FRAGMENT_LENGTH, min_patterns: int = MIN_PATTERNS) -> DataFrame:
-    """D-03: pairs of short patterns of a person that joined give the anchor.
+    """D-03: pairs of short patterns, two characters at least, of a person that joined give the anchor.
 
     A joined text can only be near the anchor if its length is, so pairs meet by person and length: the
     lengths that a partner may have are few, and no person's patterns are all paired.
@@ -203,7 +203,7 @@ def detect_fragments(merged: DataFrame, table: Anchors, scope: DataFrame | None
     freq = pattern_frequency(clean_rows(merged if scope is None else scope)).groupBy("delegate_id", normalise(F.col("pattern")).alias("pattern")).agg(F.sum("n").alias("n"))
     many = freq.groupBy("delegate_id").agg(F.count("*").alias("k")).filter(F.col("k") >= min_patterns).select("delegate_id")
     a = F.length("anchor")
-    short = freq.join(many, "delegate_id").join(table.anchors, "delegate_id").filter(F.length("pattern") < length * a)
+    short = freq.join(many, "delegate_id").join(table.anchors, "delegate_id").filter((F.length("pattern") < length * a) & (F.length("pattern") >= 2))
     low = F.greatest(F.lit(1), F.ceil(a * (1 - t_fragment)).cast("int") - F.length("pattern") - 1)
     high = F.floor(a / (1 - t_fragment)).cast("int") - F.length("pattern")
     left = short.filter(low <= high).select("delegate_id", "anchor", F.col("pattern").alias("fragment_a"), F.col("n").alias("freq_a"), F.explode(F.sequence(low, high)).alias("len_b"))
@@ -262,14 +262,27 @@ def suspicious_lengths(merged: DataFrame, table: Anchors, least: float = 1.5, in
 
 
 def neighbour_evidence(suspects: DataFrame, table: Anchors, window: int = 5) -> DataFrame:
-    """D-07, T-05: the right half of each suspect against the anchors of persons ever seen near, best first by score."""
+    """D-07: the right half of each suspect against the anchors of persons ever seen near; every suspect stays.
+
+    The score is the least distance, whole or (if the half has more than infixes) bare, to three digits;
+    without an anchor nearer than 1 it is 1 and nobody is named. Ties: the smaller id. ``review_order``
+    (T-05) sorts the result. ``n_near`` is how many persons were ever seen near, with or without an anchor.
+    """
     edges = cooccurrence(table.positions, window).select(F.col("a").alias("delegate_id"), F.col("b").alias("near"))
-    anchors = table.anchors.select(F.col("delegate_id").alias("near"), F.col("anchor").alias("near_anchor"))
-    halves = suspects.select("delegate_id", "pattern", "ratio", word_halves(normalise(F.col("pattern"))).alias("h")).filter(F.col("h.right") != "")
-    both = halves.join(edges, "delegate_id").join(anchors, "near")
-    score = _least(F.col("h.right"), F.col("near_anchor"), True)
-    best = both.groupBy("delegate_id", "pattern", "ratio", F.col("h.left").alias("left"), F.col("h.right").alias("right")).agg(F.min(F.struct(score.alias("score"), F.col("near"), F.col("near_anchor"))).alias("b"))
-    return best.select("delegate_id", "pattern", "ratio", "left", "right", is_infix_only(F.col("left")).alias("left_is_infix"), F.bround("b.score", 4).alias("score"), "b.near", "b.near_anchor")
+    edges = written(edges.join(suspects.select("delegate_id").distinct(), "delegate_id", "left_semi"))
+    anchors = table.anchors.filter("anchor <> ''").select(F.col("delegate_id").alias("near"), F.col("anchor").alias("near_anchor"))
+    h = word_halves(normalise(F.col("pattern")))
+    halves = written(suspects.select("delegate_id", "pattern", "ratio", h.alias("h")).select("delegate_id", "pattern", "ratio", "h.left", "h.right"))
+    both = halves.filter(F.col("right") != "").select("delegate_id", "right").distinct().join(edges, "delegate_id").join(anchors, "near")
+    whole, bare = distance(F.col("right"), F.col("near_anchor")), distance(strip_infix(F.col("right")), strip_infix(F.col("near_anchor")))
+    score = F.when(strip_infix(F.col("right")) == "", whole).otherwise(F.least(whole, bare))
+    best = both.withColumn("s", score).filter("s < 1").groupBy("delegate_id", "right").agg(F.min(F.struct("s", "near", "near_anchor")).alias("b"))
+    counts = edges.groupBy("delegate_id").agg(F.count("*").alias("n_near"))
+    full = halves.join(best, ["delegate_id", "right"], "left").join(counts, "delegate_id", "left")
+    return full.select(
+        "delegate_id", "pattern", "ratio", "left", "right", is_infix_only(F.col("left")).alias("left_is_infix"), F.coalesce(F.bround("b.s", 3), F.lit(1.0)).alias("score"), F.col("b.near").alias("near"),
+        F.col("b.near_anchor").alias("near_anchor"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+    )
 
 
 def review_order() -> list[Column]:

@@ -125,13 +125,13 @@ def join_persons(occurrences: DataFrame, persons: DataFrame) -> DataFrame:
 
 
 def mark_validity(merged: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """F-17 and S-J11: ``pattern_is_valid``, overridden by ``(delegate_id, pattern, year, valid)``."""
+    """F-17 and S-J11: ``pattern_is_valid``, overridden by ``(delegate_id, pattern, year, valid)``; a rule without a year is for rows without one."""
     builtin = ~F.coalesce(F.lower("pattern").isin(*INVALID_PATTERNS), F.lit(False))
     out = merged.withColumn("pattern_is_valid", builtin)
     if overrides is None:
         return out
     right = first_per_key(overrides.select(canonical_id(F.col("delegate_id")).alias("_i"), F.col("pattern").alias("_p"), as_int(F.col("year")).alias("_y"), F.col("valid").alias("_v")), ["_i", "_p", "_y"])
-    both = out.join(right, (F.col("delegate_id") == F.col("_i")) & (F.col("pattern") == F.col("_p")) & (F.col("j") == F.col("_y")), "left")
+    both = out.join(right, (F.col("delegate_id") == F.col("_i")) & (F.col("pattern") == F.col("_p")) & F.col("j").eqNullSafe(F.col("_y")), "left")
     return both.withColumn("pattern_is_valid", F.coalesce("_v", "pattern_is_valid")).drop("_i", "_p", "_y", "_v")
 
 
@@ -184,19 +184,43 @@ def not_in_authority(persons: DataFrame, authority: DataFrame) -> DataFrame:
     return authority_status(persons, authority).filter("NOT in_authority").drop("in_authority")
 
 
+#: Characters of the grams by which ids are found inside other ids.
+GRAM = 3
+
+
+def _id_grams(c: Column, n: Column) -> Column:
+    """The distinct substrings of ``n`` characters; none of shorter texts."""
+    places = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(c, i, n)))
+
+
 def authority_lookup(ids: DataFrame, authority: DataFrame, fields: list[str]) -> DataFrame:
-    """S-J15: exact id, else an authority id that contains it; the first non-null value of each field.
+    """S-J15: ``ids(delegate_id)`` with ``fields`` of the authority: by the canonical id, else of the ids that contain it, whatever the case.
 
-    The containment join runs for the ids without an exact match alone, by all substrings of their
-    length, so it stays an equi-join: authority ids are cut into pieces of each length that is asked for.
+    Of several matches the first non-null value counts, by authority id and value. Containment is asked
+    for ids without an exact match alone, each once: of an id's grams the one that the fewest authority
+    ids have leads to candidates, which are verified. An id shorter than a gram is a gram itself, and its
+    matches are added up by gram before they meet it, as half of all authority ids may hold one digit.
     """
-    right = authority.select(canonical_id(F.col("id_persoon")).alias("_id"), *fields)
-    exact = ids.join(right, F.col("delegate_id") == F.col("_id"))
-    rest = ids.join(right.select("_id"), F.col("delegate_id") == F.col("_id"), "left_anti").filter(F.length("delegate_id") > 0)
-    n = F.length("_id")
-    pieces = right.filter(n > 0).withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(F.col("_id"), i, k)))))))
-    partial = rest.join(pieces, F.col("delegate_id") == F.col("_piece")).drop("_piece")
-    found = exact.unionByName(partial).groupBy("delegate_id").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("_id"), F.col(c)))).alias(c) for c in fields))
+    best = lambda df, *keys: df.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col("_id"), F.col(c)))).alias(c) for c in fields))
+    asked = ids.select("delegate_id", canonical_id(F.col("delegate_id")).alias("_asked")).distinct()
+    right = authority.select(canonical_id(F.col("id_persoon")).alias("_id"), *fields).filter("_id <> ''")
+    exact = asked.join(right, F.col("_asked") == F.col("_id"))
+    low = F.lower("_id").alias("_low")
+    rest = asked.join(right.select("_id"), F.col("_asked") == F.col("_id"), "left_anti").select(F.lower("_asked").alias("_want")).filter("_want <> ''").distinct()
+    size = F.least(F.length("_want"), F.lit(GRAM))
+    wanted = rest.select("_want", F.explode(_id_grams(F.col("_want"), size)).alias("_gram"))
+    # Only grams that some id asks for are cut from the authority's ids.
+    known = right.select("_id", low, F.explode(F.flatten(F.array(*(_id_grams(F.lower("_id"), F.lit(n)) for n in range(1, GRAM + 1))))).alias("_gram"))
+    known = known.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    counts = known.groupBy("_gram").agg(F.count("*").alias("_df"))
+    rare = wanted.join(counts, "_gram", "left").groupBy("_want").agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
+    values = right.select(F.col("_id"), *(F.col(c).alias(c) for c in fields))
+    long = known.join(rare.filter(F.length("_want") > GRAM), "_gram").filter(F.contains("_low", F.col("_want"))).select("_want", "_id").distinct()
+    inside = best(long.join(values, "_id"), "_want")
+    short = best(known.join(rare.filter(F.length("_want") <= GRAM).select("_gram").distinct(), "_gram", "left_semi").join(values, "_id"), "_gram").withColumnRenamed("_gram", "_want")
+    partial = asked.join(rest, F.lower("_asked") == F.col("_want")).select("delegate_id", "_want").join(inside.unionByName(short), "_want").drop("_want")
+    found = best(exact, "delegate_id").unionByName(partial)
     return ids.join(found, "delegate_id", "left")
 
 
@@ -214,9 +238,18 @@ def fill_from_supplement(persons: DataFrame, supplement: DataFrame, fields: list
     return filled.withColumn("fullname", F.coalesce(nullif_blank(F.col("fullname")), nullif_blank(full_name(*parts)), F.col("fullname"))) if "fullname" in filled.columns else filled
 
 
-def add_active_persons(persons: DataFrame, active: DataFrame) -> DataFrame:
-    """S-J27: active ids that the registry lacks, other fields null."""
-    return append_new_persons(persons, active.select("delegate_id").distinct())
+def add_active_persons(persons: DataFrame, active: DataFrame, supplement: DataFrame | None = None) -> DataFrame:
+    """S-J27: active ids that the registry lacks. With a supplement: its rows of those ids, named by surname and forename; without: the ids alone.
+
+    Where the registry has ``cons_id_str`` or ``active_after_corrections``, they are the id and true.
+    """
+    new = active.select("delegate_id").distinct()
+    if supplement is None:
+        return append_new_persons(persons, new)
+    rows = first_per_key(supplement, ["delegate_id"]).join(new, "delegate_id", "left_semi")
+    part = lambda c: F.coalesce(F.col(c), F.lit("")) if c in supplement.columns else F.lit("")
+    made = {"fullname": F.regexp_replace(F.concat(part(NAME_PARTS[0]), F.lit(", "), part(NAME_PARTS[1])), "^[, ]+|[, ]+$", ""), "cons_id_str": F.col("delegate_id"), "active_after_corrections": F.lit(True)}
+    return append_new_persons(persons, rows.select(*(made.get(c, F.col(c) if c in supplement.columns else F.lit(None)).cast(persons.schema[c].dataType).alias(c) for c in persons.columns)))
 
 
 def missing_fields(persons: DataFrame, fields: list[str]) -> DataFrame:
@@ -244,10 +277,15 @@ def id_check(df: DataFrame, column: str) -> DataFrame:
 
 
 def filter_options(persons: DataFrame, merged: DataFrame) -> DataFrame:
-    """A-21: one row with the bounds of the years; names and provinces are ``distinct`` and sorted."""
+    """A-21: one row with the bounds of the years and the sorted provinces; ``name_options`` has the names."""
     return merged.agg(F.coalesce(F.min("j"), F.lit(1700)).alias("min_year"), F.coalesce(F.max("j"), F.lit(1800)).alias("max_year"), F.sort_array(F.collect_set("namens")).alias("provinces"))
 
 
+def name_options(persons: DataFrame, name: str = "fullname") -> DataFrame:
+    """A-21: the distinct names, sorted; a frame of its own, as there is one for nearly each person."""
+    return persons.filter(F.col(name).isNotNull()).select(F.col(name).cast("string").alias("name")).distinct().orderBy("name")
+
+
 def person_slice(df: DataFrame, person: str) -> DataFrame:
     """F-18."""
     return df.filter(canonical_id(F.col("delegate_id")) == person)

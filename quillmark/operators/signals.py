@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmark.functions.columns import distance, pattern_parts
+from quillmark.functions.columns import distance, nullif_blank, pattern_parts
+from quillmark.functions.steps import written
 from quillmark.operators.registry import first_per_key
 
 # The bounds of a plausible age, and the gap in years that counts.
@@ -33,21 +34,31 @@ def pattern_frequency(merged: DataFrame) -> DataFrame:
     return merged.filter("pattern IS NOT NULL").groupBy("delegate_id", "pattern").agg(F.count("*").alias("n"))
 
 
+def filled_frequency(merged: DataFrame) -> DataFrame:
+    """A-17 as the summary counts: a missing pattern is an empty one."""
+    return merged.groupBy("delegate_id", F.coalesce("pattern", F.lit("")).alias("pattern")).agg(F.count("*").alias("n"))
+
+
+def modal_of(frequency: DataFrame) -> DataFrame:
+    """A-03: each person's most frequent pattern of ``(delegate_id, pattern, n)``, the smallest on ties."""
+    return frequency.groupBy("delegate_id").agg(F.min(F.struct((-F.col("n")).alias("m"), "pattern")).alias("x")).select("delegate_id", F.col("x.pattern").alias("modal"))
+
+
 def modal_patterns(merged: DataFrame) -> DataFrame:
-    """A-03: each person's most frequent pattern, the smallest on ties; counts are added up before any window."""
-    top = pattern_frequency(merged)
-    most = top.groupBy("delegate_id").agg(F.max("n").alias("m"))
-    return top.join(most.withColumnRenamed("delegate_id", "_id"), (F.col("delegate_id") == F.col("_id")) & (F.col("n") == F.col("m"))).groupBy("delegate_id").agg(F.min("pattern").alias("modal"))
+    """A-03 of the rows that have a pattern; the summary takes ``modal_of(filled_frequency(...))``."""
+    return modal_of(pattern_frequency(merged))
 
 
 def pattern_anomalies(merged: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """A-04: rows of each person whose pattern is further than ``threshold`` from the modal one.
+    """A-04: rows of each person whose pattern is further than ``threshold`` from the modal one; case counts, a missing pattern is an empty one."""
+    return anomalies_of(filled_frequency(merged), threshold).select("delegate_id", "n_pattern_anomalies")
 
-    The distance is worked out once for each person and pattern and weighted by its rows.
-    """
-    both = pattern_frequency(merged).join(modal_patterns(merged), "delegate_id")
-    far = distance(F.lower("pattern"), F.lower("modal")) > threshold
-    return both.groupBy("delegate_id").agg(F.sum(F.when(far, F.col("n")).otherwise(0)).alias("n_pattern_anomalies"))
+
+def anomalies_of(frequency: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``delegate_id, modal, n_pattern_anomalies``: the distance is worked out once for each person and pattern and weighted by its rows."""
+    both = frequency.join(modal_of(frequency), "delegate_id")
+    far = distance(F.col("pattern"), F.col("modal")) > threshold
+    return both.groupBy("delegate_id").agg(F.first("modal").alias("modal"), F.sum(F.when(far, F.col("n")).otherwise(0)).alias("n_pattern_anomalies"))
 
 
 def ghost_patterns(synonyms: DataFrame) -> DataFrame:
@@ -71,14 +82,21 @@ def issue_score() -> Column:
 
 
 def person_summary(merged: DataFrame, persons: DataFrame, synonyms: DataFrame | None = None, min_age: int = MIN_AGE, max_age: int = MAX_AGE) -> DataFrame:
-    """A-01 to A-09: one row for each person of the registry, with or without occurrences."""
+    """A-01 to A-09: one row for each person of the registry, with or without occurrences.
+
+    ``merged`` is read once: its sums by person, pattern and year are written, and everything comes from them.
+    """
     flags = alive_flags(merged, min_age, max_age)
     alive = F.col("too_young") | F.col("too_old") | F.col("after_death")
-    sums = flags.groupBy("delegate_id").agg(
-        F.count("j").alias("n_occurrences"), F.count("*").alias("n_rows"), F.min("j").alias("first_year"), F.max("j").alias("last_year"),
-        F.count_distinct("pattern").alias("n_patterns"), F.count_if(alive).alias("n_alive_flags"), F.count_if("name_mismatch").alias("n_name_mismatch"),
+    small = written(
+        flags.groupBy("delegate_id", "pattern", "j").agg(F.count("*").alias("n"), F.count_if(alive).alias("n_alive"), F.count_if("name_mismatch").alias("n_mismatch"))
+    )
+    sums = small.groupBy("delegate_id").agg(
+        F.sum(F.when(F.col("j").isNotNull(), F.col("n")).otherwise(0)).alias("n_occurrences"), F.sum("n").alias("n_rows"), F.min("j").alias("first_year"), F.max("j").alias("last_year"),
+        F.count_distinct("pattern").alias("n_patterns"), F.sum("n_alive").alias("n_alive_flags"), F.sum("n_mismatch").alias("n_name_mismatch"),
     )
-    for part in (pattern_anomalies(merged), max_gaps(merged), modal_patterns(merged)):
+    frequency = small.groupBy("delegate_id", F.coalesce("pattern", F.lit("")).alias("pattern")).agg(F.sum("n").alias("n"))
+    for part in (anomalies_of(frequency), max_gaps(small)):
         sums = sums.join(part, "delegate_id", "left")
     if synonyms is not None:
         ghosts = ghost_patterns(synonyms).groupBy("delegate_id").agg(F.count_distinct("ghost").alias("_g"))
@@ -128,15 +146,27 @@ def page(df: DataFrame, keys: list[Column], number: int, size: int) -> DataFrame
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys))).filter(F.col("place") > (number - 1) * size)
 
 
+def pattern_distances(rows: DataFrame) -> DataFrame:
+    """D-11: ``row_id, delegate_id, year, part, modal, distance`` of each part of each row's pattern, to the person's modal pattern; case counts."""
+    parts = pattern_parts(F.col("pattern"))
+    several = F.when(F.size(parts) > 1, parts).otherwise(F.array("pattern"))
+    flat = rows.filter("pattern IS NOT NULL").select("row_id", "delegate_id", F.col("j").alias("year"), F.explode(several).alias("part"))
+    return flat.join(modal_patterns(rows), "delegate_id").withColumn("distance", F.bround(distance(F.col("part"), F.col("modal")), 3))
+
+
 def unique_patterns(rows: DataFrame, corrected: DataFrame | None = None) -> DataFrame:
-    """A-10, D-11: each person's pattern parts with count and distance to the modal pattern."""
-    parts = rows.filter("pattern IS NOT NULL").select("row_id", "delegate_id", "j", F.explode(pattern_parts(F.col("pattern"))).alias("part"))
-    far = parts.join(modal_patterns(rows), "delegate_id").withColumn("distance", F.bround(distance(F.lower("part"), F.lower("modal")), 3))
+    """A-10: each person's pattern parts with count, mean distance to the modal pattern, years, and how many rows are corrected."""
+    far = pattern_distances(rows)
     done = F.lit(0)
     if corrected is not None:
         far = far.join(corrected.select(F.col("row_id").alias("_r")).distinct(), F.col("row_id") == F.col("_r"), "left")
         done = F.count("_r")
-    return far.groupBy("delegate_id", "part").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance"), done.alias("n_corrected"))
+    return far.groupBy("delegate_id", "part").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_distance"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), done.alias("n_corrected"))
+
+
+def top_rows(df: DataFrame, keys: list[Column | str], n: int) -> DataFrame:
+    """T-03, T-04: the first ``n`` rows in an order that must be complete; tasks sort out the rest of theirs first."""
+    return df.orderBy(*keys).limit(n)
 
 
 def distance_histogram(patterns: DataFrame, bins: int = 40) -> DataFrame:
@@ -155,9 +185,14 @@ def occurrences_by(merged: DataFrame, column: str) -> DataFrame:
     return merged.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def pattern_lists(merged: DataFrame) -> DataFrame:
-    """A-19: each person's distinct patterns, sorted and joined by ``;``."""
-    return merged.filter("pattern IS NOT NULL").groupBy("delegate_id").agg(F.array_join(F.sort_array(F.collect_set("pattern")), ";").alias("patterns"))
+def pattern_lists(merged: DataFrame, persons: DataFrame | None = None) -> DataFrame:
+    """A-19: each person's distinct patterns, sorted and joined by ``;``. With ``persons``: of each of them, the own ``pattern`` where there is none."""
+    lists = merged.filter("pattern IS NOT NULL").groupBy("delegate_id").agg(F.array_join(F.sort_array(F.collect_set("pattern")), ";").alias("patterns"))
+    if persons is None:
+        return lists
+    own = F.col("pattern") if "pattern" in persons.columns else F.lit(None).cast("string")
+    people = persons.select("delegate_id", own.alias("_own"))
+    return people.join(lists, "delegate_id", "left").select("delegate_id", F.coalesce(nullif_blank(F.col("patterns")), F.col("_own")).alias("patterns"))
 
 
 def escape_audit(df: DataFrame, token: str = "_x000") -> DataFrame:
@@ -167,7 +202,9 @@ def escape_audit(df: DataFrame, token: str = "_x000") -> DataFrame:
     return df.select(cells.alias("x")).filter(F.contains("x.value", F.lit(token))).groupBy(F.col("x.column").alias("column")).agg(F.count("*").alias("n"))
 
 
-def overview(persons: DataFrame, merged: DataFrame, placeholders: DataFrame, remapped: DataFrame) -> DataFrame:
-    """A-35: ``what, n`` of persons, occurrences, placeholders and remapped rows."""
+def overview(persons: DataFrame, merged: DataFrame, placeholders: DataFrame, remapped: DataFrame, enriched: DataFrame | None = None) -> DataFrame:
+    """A-35: ``what, n`` of persons, occurrences, placeholders, remapped rows and enriched persons (``enriched``: A-29's row)."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(w).alias("what"), "n") for w, df in (("persons", persons), ("occurrences", merged), ("placeholders", placeholders), ("remapped", remapped))]
+    if enriched is not None:
+        parts.append(enriched.select(F.lit("enriched").alias("what"), F.col("n_enriched").alias("n")))
     return reduce(DataFrame.union, parts)

@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.columns import as_int, char_ngrams, word_ngrams
-from quillmark.functions.steps import written
+from quillmark.functions.steps import forget, written
 
 # The provinces that the gate knows, and the weights of the two spaces.
 PROVINCES = ("Gelderland", "Holland", "Zeeland", "Utrecht", "Friesland", "Overijssel", "Groningen")
 WEIGHTS = {"char": 0.6, "word": 0.4}
 
 
+#: Weights are whole numbers of so many parts, so a score is the same whatever order its products are added in.
+SCALE = 1 << 20
+#: Postings of the rarest terms of a pattern from which the first bound comes, and persons that are scored for it beyond those asked for.
+SEED_POSTINGS, SEED_PERSONS = 300, 5
+
+
 class Store(NamedTuple):
-    """D-09: ``index(space, term, delegate_id, w)``, ``idf(space, term, idf, share)`` (share: of the persons who have the term) and ``meta`` by person."""
+    """D-09: ``index(tid, pid, w)``, ``terms(tid, space, term, idf, df, top)`` (df: persons who have it, top: the largest weight) and ``meta`` by person, with ``pid``."""
 
     index: DataFrame
-    idf: DataFrame
+    terms: DataFrame
     meta: DataFrame
 
 
+class Found(NamedTuple):
+    """What ``retrieve`` returns: ``best`` by question, and how far the search went: ``touched`` and ``candidates(qid, pid)``."""
+
+    best: DataFrame
+    touched: DataFrame
+    candidates: DataFrame
+
+
 def _terms(df: DataFrame, key: str, weight: Column) -> DataFrame:
     """``space, key, term, n``: term counts of ``df(key, pattern)``."""
     spaces = [("char", char_ngrams(F.col("pattern"))), ("word", word_ngrams(F.col("pattern")))]
@@ -35,63 +50,117 @@ def build_store(merged: DataFrame, province: str = "namens", include_generated:
     """D-09, A-22, A-23: term weights of each person's patterns.
 
     tf is 1 + ln(count), idf is ln((1 + N) / (1 + df)) + 1, each person's weights have length 1 in each
-    space. Word pairs are taken inside a pattern, not across two. Persons need a positive numeric id
-    unless ``include_generated``.
+    space, in parts of ``SCALE``. Word pairs are taken inside a pattern, not across two. Persons need a
+    positive numeric id unless ``include_generated``.
     """
     labelled = merged.filter("pattern IS NOT NULL")
     if not include_generated:
         labelled = labelled.filter(F.col("delegate_id").try_cast("double") > 0)
     patterns = labelled.groupBy("delegate_id", "pattern").agg(F.count("*").alias("n"))
-    terms = written(_terms(patterns, "delegate_id", F.col("n")))
-    total = labelled.agg(F.count_distinct("delegate_id")).first()[0]  # one number
-    idf = written(terms.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), (F.count("*") / F.lit(float(total or 1))).alias("share")))
-    raw = terms.join(idf.drop("share"), ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
-    norms = raw.groupBy("space", "delegate_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = raw.join(norms, ["space", "delegate_id"]).select("space", "term", "delegate_id", (F.col("w") / F.col("norm")).alias("w"))
     years = labelled.groupBy("delegate_id").agg(F.min("j").alias("first_year"), F.max("j").alias("last_year"), F.mode(province, True).alias("provincie"))
-    return Store(written(index), idf, years)
+    meta = written(years.withColumn("pid", F.monotonically_increasing_id()))
+    counts = written(_terms(patterns, "delegate_id", F.col("n")).join(meta.select("delegate_id", "pid"), "delegate_id"))
+    total = meta.count()  # one number
+    idf = counts.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), F.count("*").alias("df"))
+    idf = written(idf.withColumn("tid", F.monotonically_increasing_id()))
+    raw = counts.join(idf, ["space", "term"]).select("tid", "space", "pid", ((1 + F.ln("n")) * F.col("idf")).alias("w"))
+    norms = raw.groupBy("space", "pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    index = written(raw.join(norms, ["space", "pid"]).select("tid", "pid", F.round(F.col("w") / F.col("norm") * SCALE).cast("long").alias("w")))
+    terms = written(idf.join(index.groupBy("tid").agg(F.max("w").alias("top")), "tid"))
+    forget(counts, idf)
+    return Store(index, terms, meta)
+
+
+def _asked_terms(patterns: DataFrame, store: Store, weights: dict[str, float]) -> DataFrame:
+    """``qid, tid, space, df, top, wq`` of ``patterns(qid, pattern)``; the weight of the space is part of ``wq``."""
+    raw = _terms(patterns, "qid", F.lit(1)).join(store.terms, ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
+    norms = raw.groupBy("space", "qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    share = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("space")]
+    return raw.join(norms, ["space", "qid"]).select("qid", "tid", "space", "df", "top", F.round(share * F.col("w") / F.col("norm") * SCALE).cast("long").alias("wq"))
 
 
-def pattern_scores(patterns: DataFrame, store: Store, weights: dict[str, float] | None = None, max_share: float | None = None) -> DataFrame:
-    """S-J31: ``pattern, delegate_id, score`` of distinct patterns: products are added up by shared term, no matrix is made.
+def pattern_scores(patterns: DataFrame, store: Store, weights: dict[str, float] | None = None) -> DataFrame:
+    """S-J31: ``pattern, delegate_id, score`` of distinct patterns with every person who shares a term; ``retrieve`` finds the best without all of them."""
+    ids = written(patterns.select("pattern").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    sums = _asked_terms(ids, store, weights or WEIGHTS).join(store.index, "tid").groupBy("qid", "pid").agg(F.sum(F.col("wq") * F.col("w")).alias("s"))
+    return sums.join(ids, "qid").join(store.meta.select("pid", "delegate_id"), "pid").select("pattern", "delegate_id", (F.col("s") / float(SCALE) ** 2).alias("score"))
 
-    A term that nearly all persons have pairs each of them with each pattern that has it, for little
-    score. With ``max_share`` terms that more than this share of the persons have are passed over in the
-    products (not in the norms), which lowers scores a little; without it scores are exact.
-    """
-    weights = weights or WEIGHTS
-    terms = _terms(patterns.select("pattern").distinct().withColumn("q", F.col("pattern")), "q", F.lit(1)).join(store.idf, ["space", "term"])
-    raw = terms.withColumn("w", (1 + F.ln("n")) * F.col("idf"))
-    norms = raw.groupBy("space", "q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    share = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("space")]
-    rare = raw if max_share is None else raw.filter(F.col("share") <= max_share)
-    query = rare.join(norms, ["space", "q"]).select("space", "term", "q", (share * F.col("w") / F.col("norm")).alias("wq"))
-    return query.join(store.index, ["space", "term"]).groupBy(F.col("q").alias("pattern"), "delegate_id").agg(F.sum(F.col("wq") * F.col("w")).alias("score"))
+
+def _eligible(pairs: DataFrame, questions: DataFrame, meta: DataFrame, tolerance: int) -> DataFrame:
+    """The questions of each pair's pattern that the pair's person may answer."""
+    both = pairs.join(questions, "qid").join(meta.select("pid", "delegate_id", "first_year", "last_year", F.col("provincie").alias("_prov")), "pid")
+    year = F.nullif(F.col("_year"), F.lit("")).cast("int")
+    out = F.coalesce((year < F.col("first_year") - tolerance) | (year > F.col("last_year") + tolerance), F.lit(False))
+    return both.filter(~out & ((F.col("_gate") == "") | F.coalesce(F.col("_gate") == F.col("_prov"), F.lit(False)))).drop("first_year", "last_year", "_prov")
+
+
+def _top(answers: DataFrame, k: int, score: str) -> DataFrame:
+    """The ``k`` best answers of each question with their place; tasks drop the rest of theirs before the shuffle."""
+    w = Window.partitionBy("qid", "_year", "_gate").orderBy(F.col(score).desc(), "delegate_id")
+    return answers.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
-def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, tolerance: int = 5, province: str = "namens", max_share: float | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, patterns: DataFrame, store: Store, k: int, least: float, tolerance: int, weights: dict[str, float] | None = None) -> Found:
+    """The ``k`` persons with the highest scores, ``least`` or more, of each question ``(qid, _year, _gate)``: exact, by upper bounds.
+
+    A pattern's terms are ordered from the rarest on. What a term and all more common ones can still add
+    is bounded by the sum of weight times largest weight, and by the lengths of the two vectors. First a
+    few persons from the rarest terms are scored, which gives each question a score that the ``k`` best
+    must reach. Only terms whose bound reaches it are looked up in the index (common terms hardly ever
+    are); sums of weights are never negative, so these partial sums raise the bar again. Persons whose
+    partial sum and bound together stay under it are out, and the common terms are looked up only for
+    the others, by term and person.
+    """
+    by_rarity = Window.partitionBy("qid").orderBy(F.col("df").desc(), F.col("tid").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    length = lambda s: F.sqrt(F.sum(F.when(F.col("space") == s, F.col("wq").cast("double") * F.col("wq")).otherwise(0.0)).over(by_rarity))
+    summed = F.sum(F.col("wq") * F.col("top")).over(by_rarity)
+    # Rounded weights may be a little longer than SCALE.
+    straight = F.ceil(sum((length(s) for s in WEIGHTS), F.lit(0.0)) * SCALE * 1.001).cast("long")
+    first = Window.partitionBy("qid").orderBy("df", "tid")
+    asked = _asked_terms(patterns, store, weights or WEIGHTS)
+    asked = written(asked.withColumn("reach", F.least(summed, straight)).withColumn("read", F.sum("df").over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(first)))
+    bar = max(1, math.ceil(round(least * float(SCALE) ** 2, 3)))
+    product = F.sum(F.col("wq") * F.col("w"))
+
+    seeds = asked.filter((F.col("read") <= SEED_POSTINGS) | (F.col("nth") == 1)).join(store.index, "tid").groupBy("qid", "pid").agg(product.alias("s"))
+    seeds = written(_top(_eligible(seeds, questions, store.meta, tolerance), k + SEED_PERSONS, "s").select("qid", "_year", "_gate", "pid", "delegate_id"))
+    whole = seeds.select("qid", "pid").distinct().join(asked.select("qid", "tid", "wq"), "qid").join(store.index, ["tid", "pid"]).groupBy("qid", "pid").agg(product.alias("s"))
+    reached = _top(seeds.join(whole, ["qid", "pid"]), k, "s").groupBy("qid", "_year", "_gate").agg(F.greatest(F.min(F.when(F.col("place") == k, F.col("s"))), F.lit(bar)).alias("bar"))
+    bars = written(questions.join(reached, ["qid", "_year", "_gate"], "left").withColumn("bar", F.coalesce("bar", F.lit(bar))))
+    lowest = bars.groupBy("qid").agg(F.min("bar").alias("bar"))
+
+    split = written(asked.join(lowest, "qid").withColumn("rare", F.col("reach") >= F.col("bar")))
+    left = split.groupBy("qid", "bar").agg(F.coalesce(F.max(F.when(~F.col("rare"), F.col("reach"))), F.lit(0)).alias("left"))
+    touched = split.filter("rare").join(store.index, "tid").groupBy("qid", "pid").agg(product.alias("part"))
+    touched = written(touched.join(left, "qid").filter(F.col("part") + F.col("left") >= F.col("bar")).drop("bar"))
+    open_ = _eligible(touched, bars, store.meta, tolerance)
+    raised = _top(open_, k, "part").filter(F.col("place") == k).select("qid", "_year", "_gate", F.col("part").alias("raised"))
+    open_ = written(open_.join(raised, ["qid", "_year", "_gate"], "left").filter(F.col("part") + F.col("left") >= F.greatest("bar", F.coalesce("raised", F.lit(0)))))
+    candidates = open_.select("qid", "pid", "part").distinct()
+    rest = candidates.join(split.filter("NOT rare").select("qid", "tid", "wq"), "qid").join(store.index, ["tid", "pid"]).groupBy("qid", "pid").agg(product.alias("more"))
+    scored = open_.join(rest, ["qid", "pid"], "left").withColumn("s", F.col("part") + F.coalesce("more", F.lit(0))).filter(F.col("s") >= bar)
+    best = written(_top(scored, k, "s").select("qid", "_year", "_gate", "delegate_id", "s", "place"))
+    forget(asked, seeds, bars, split)
+    return Found(best, touched, candidates)
+
+
+def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, tolerance: int = 5, province: str = "namens") -> DataFrame:
     """D-10, W-10: ``row_id, person_1, score_1 ... person_k, score_k``; rows without a candidate stay, with null and 0.
 
     A person is out when the row's year is beyond the person's years by more than ``tolerance`` (an
-    unknown year is no reason), or when the row names a known province that isn't the person's
-    (presidents are exempt). Ties go to the smaller id.
+    unknown year on either side is no reason), or when the row names a known province that isn't the
+    person's (presidents are exempt). Ties go to the smaller id.
     """
-    scored = pattern_scores(rows.filter("pattern IS NOT NULL"), store, max_share=max_share).filter(F.col("score") >= max(least, 1e-12))
-    meta = store.meta.withColumnRenamed("delegate_id", "_id").withColumnRenamed("provincie", "_prov")
     president = F.coalesce(F.lower("class") == "president", F.lit(False)) if "class" in rows.columns else F.lit(False)
     where_ = F.when(~president & F.coalesce(F.col(province).isin(*PROVINCES), F.lit(False)), F.col(province)).otherwise(F.lit(""))
     # Rows ask alike that share pattern, year and gate; each such question is answered once.
-    keys = ["pattern", "_year", "_gate"]
     asked = rows.select("row_id", "pattern", F.coalesce(as_int(F.col("j")).cast("string"), F.lit("")).alias("_year"), where_.alias("_gate"))
-    both = asked.select(*keys).distinct().join(scored, "pattern").join(meta, F.col("delegate_id") == F.col("_id"))
-    year = F.nullif(F.col("_year"), F.lit("")).cast("int")
-    when = F.coalesce(year.between(F.col("first_year") - tolerance, F.col("last_year") + tolerance), year.isNull())
-    good = both.filter(when & ((F.col("_gate") == "") | F.coalesce(F.col("_gate") == F.col("_prov"), F.lit(False))))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("score").desc(), "delegate_id"))
-    best = good.select(*keys, "delegate_id", "score", place.alias("place")).filter(F.col("place") <= k)
+    patterns = written(asked.filter("pattern IS NOT NULL").select("pattern").distinct().withColumn("qid", F.monotonically_increasing_id()))
+    numbered = written(asked.join(patterns, "pattern", "left").select("row_id", "qid", "_year", "_gate"))
+    best = retrieve(numbered.filter("qid IS NOT NULL").select("qid", "_year", "_gate").distinct(), patterns, store, k, least, tolerance).best
     of = lambda i, c: F.max(F.when(F.col("place") == i, F.col(c)))
-    cols = [x for i in range(1, k + 1) for x in (of(i, "delegate_id").alias(f"person_{i}"), F.bround(of(i, "score"), 3).alias(f"score_{i}"))]
-    answers = asked.join(best.groupBy(*keys).agg(*cols), keys, "left")
+    cols = [x for i in range(1, k + 1) for x in (of(i, "delegate_id").alias(f"person_{i}"), F.bround(of(i, "s") / float(SCALE) ** 2, 3).alias(f"score_{i}"))]
+    answers = numbered.join(best.groupBy("qid", "_year", "_gate").agg(*cols), ["qid", "_year", "_gate"], "left")
     return answers.select("row_id", *(x for i in range(1, k + 1) for x in (F.col(f"person_{i}"), F.coalesce(f"score_{i}", F.lit(0.0)).alias(f"score_{i}"))))
 
 

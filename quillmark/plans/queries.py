@@ -43,6 +43,10 @@ merged AS (
 MODAL = """,
 freq AS (SELECT delegate_id, pattern, count(*) AS n FROM merged WHERE pattern IS NOT NULL GROUP BY ALL),
 modals AS (SELECT delegate_id, pattern AS modal FROM (SELECT *, row_number() OVER (PARTITION BY delegate_id ORDER BY n DESC, pattern) AS k FROM freq) WHERE k = 1)"""
+#: The same with missing patterns as empty ones, as the summary counts.
+FILLED = """,
+ffreq AS (SELECT delegate_id, coalesce(pattern, '') AS pattern, count(*) AS n FROM merged GROUP BY ALL),
+fmodals AS (SELECT delegate_id, pattern AS modal FROM (SELECT *, row_number() OVER (PARTITION BY delegate_id ORDER BY n DESC, pattern) AS k FROM ffreq) WHERE k = 1)"""
 CLEAN = """,
 clean AS (
   SELECT * FROM merged WHERE pattern IS NOT NULL AND class <> 'president'
@@ -58,6 +62,20 @@ actual AS (
 ordered AS (SELECT *, abs(actual_pos - row_number() OVER (PARTITION BY date ORDER BY prov_rank NULLS LAST, actual_pos)) AS pos_diff FROM actual)"""
 
 
+def _bare(c: str) -> str:
+    return f"trim(regexp_replace({c}, '^(?:{'|'.join(sorted(map(re.escape, N.INFIXES), key=len, reverse=True)).replace(chr(39), chr(39) * 2)})\\s*', '', 'i'))"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
+
+
+def _thousandth(c: str) -> str:
+    """Rounded to three digits, halves to even, as Spark's bround."""
+    v = f"({c} * 1000)"
+    return f"(CASE WHEN abs({v} - floor({v}) - 0.5) < 1e-9 THEN floor({v}) + floor({v}) % 2 ELSE floor({v} + 0.5) END / 1000)"
+
+
 def _query(select: str | None, *ctes: str) -> Callable:
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,31 +102,31 @@ sums AS (
     count(*) FILTER (age_at_event < 25 OR age_at_event > 70 OR j > death_year) AS n_alive_flags, count(*) FILTER (name_mismatch) AS n_name_mismatch
   FROM merged GROUP BY delegate_id),
 gaps AS (SELECT delegate_id, coalesce(max(g), 0) AS max_gap_years FROM (SELECT delegate_id, j - lag(j) OVER (PARTITION BY delegate_id ORDER BY j) AS g FROM (SELECT DISTINCT delegate_id, j FROM merged WHERE j IS NOT NULL)) GROUP BY delegate_id),
-anomalies AS (SELECT f.delegate_id, sum(CASE WHEN levenshtein(lower(pattern), lower(modal)) > 0.5 * greatest(length(pattern), length(modal)) THEN n ELSE 0 END)::BIGINT AS n_pattern_anomalies FROM freq f JOIN modals m ON f.delegate_id = m.delegate_id GROUP BY f.delegate_id),
+anomalies AS (SELECT f.delegate_id, sum(CASE WHEN levenshtein(pattern, modal) > 0.5 * greatest(length(pattern), length(modal)) THEN n ELSE 0 END)::BIGINT AS n_pattern_anomalies FROM ffreq f JOIN fmodals m ON f.delegate_id = m.delegate_id GROUP BY f.delegate_id),
 summary AS (
   SELECT p.delegate_id, fullname, coalesce(n_occurrences, 0) AS n_occurrences, coalesce(n_rows, 0) AS n_rows, first_year, last_year, coalesce(n_patterns, 0) AS n_patterns,
     coalesce(modal, '') AS modal, coalesce(n_pattern_anomalies, 0) AS n_pattern_anomalies, coalesce(n_alive_flags, 0) AS n_alive_flags,
     coalesce(n_name_mismatch, 0) AS n_name_mismatch, coalesce(max_gap_years, 0) AS max_gap_years,
     coalesce(n_pattern_anomalies, 0) * 2 + coalesce(n_alive_flags, 0) * 2 + least(coalesce(max_gap_years, 0), 50) / 10 AS issue_score
   FROM persons p LEFT JOIN sums s ON p.delegate_id = s.delegate_id LEFT JOIN gaps g ON p.delegate_id = g.delegate_id
-    LEFT JOIN anomalies a ON p.delegate_id = a.delegate_id LEFT JOIN modals m ON p.delegate_id = m.delegate_id)"""
+    LEFT JOIN anomalies a ON p.delegate_id = a.delegate_id LEFT JOIN fmodals m ON p.delegate_id = m.delegate_id)"""
 
 
 def _summary(t: Callable[[str], DataFrame]) -> DataFrame:
     return S.person_summary(_merged(t), t("persons"))
 
 
-@_query("SELECT * FROM summary", MERGED, MODAL, _SUMMARY)
+@_query("SELECT * FROM summary", MERGED, FILLED, _SUMMARY)
 def person_summary(t):
     return _summary(t)
 
 
-@_query("SELECT delegate_id, issue_score FROM summary WHERE n_alive_flags > 0 OR max_gap_years >= 10 OR n_pattern_anomalies > 0", MERGED, MODAL, _SUMMARY)
+@_query("SELECT delegate_id, issue_score FROM summary WHERE n_alive_flags > 0 OR max_gap_years >= 10 OR n_pattern_anomalies > 0", MERGED, FILLED, _SUMMARY)
 def issue_score(t):
     return S.suspicious(_summary(t)).select("delegate_id", "issue_score")
 
 
-@_query("SELECT delegate_id, n_pattern_anomalies FROM anomalies", MERGED, MODAL, _SUMMARY)
+@_query("SELECT delegate_id, n_pattern_anomalies FROM anomalies", MERGED, FILLED, _SUMMARY)
 def pattern_anomalies(t):
     return S.pattern_anomalies(_merged(t))
 
@@ -133,7 +151,7 @@ def timeline_gaps(t):
     return W.timeline_gaps(_merged(t), 1)
 
 
-@_query("SELECT delegate_id, max_gap_years FROM gaps", MERGED, MODAL, _SUMMARY)
+@_query("SELECT delegate_id, max_gap_years FROM gaps", MERGED, FILLED, _SUMMARY)
 def max_gap(t):
     return S.max_gaps(_merged(t))
 
@@ -155,7 +173,7 @@ def day_counts(t):
 
 @_query("SELECT row_id, pos_diff FROM ordered ORDER BY pos_diff DESC, row_id LIMIT 200", ORDERED)
 def top_violations(t):
-    return W.day_order(t("occurrences"), t("province_order")).select("row_id", "pos_diff").orderBy(F.desc("pos_diff"), "row_id").limit(200)
+    return S.top_rows(W.day_order(t("occurrences"), t("province_order")).select("row_id", "pos_diff"), [F.desc("pos_diff"), "row_id"], 200)
 
 
 @_query("SELECT o.row_id, o.date, o.namens, o.actual_pos FROM ordered o WHERE date IN (SELECT date FROM ordered WHERE pos_diff >= 6)", ORDERED)
@@ -260,10 +278,16 @@ def authority_status(t):
     return R.authority_status(t("persons"), t("authority").filter("geboortejaar IS NOT NULL")).select("delegate_id", "in_authority")
 
 
-@_query("SELECT p.delegate_id, CASE WHEN q.delegate_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM persons p LEFT JOIN people q ON p.delegate_id = q.delegate_id AND q.fullname <> '' WHERE q.delegate_id IS NULL OR q.surname = 'x'", MERGED)
+@_query(
+    """SELECT coalesce(a.delegate_id, b.delegate_id) AS delegate_id, CASE WHEN a.delegate_id IS NULL THEN 'new' WHEN b.delegate_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT * FROM persons WHERE CAST(delegate_id AS INTEGER) % 17 <> 3) a
+  FULL JOIN (SELECT delegate_id, CASE WHEN CAST(delegate_id AS INTEGER) % 23 = 5 THEN NULL ELSE fullname END AS fullname, pattern, provincie FROM persons WHERE CAST(delegate_id AS INTEGER) % 19 <> 4) b ON a.delegate_id = b.delegate_id
+WHERE a.delegate_id IS NULL OR b.delegate_id IS NULL OR a.fullname IS DISTINCT FROM b.fullname OR a.pattern IS DISTINCT FROM b.pattern OR a.provincie IS DISTINCT FROM b.provincie"""
+)
 def snapshot_diff(t):
-    p = t("persons")
-    return R.snapshot_diff(p, p.filter("fullname <> ''"))
+    number = F.col("delegate_id").cast("int")
+    later = t("persons").filter(number % 19 != 4).withColumn("fullname", F.when(number % 23 != 5, F.col("fullname")))
+    return R.snapshot_diff(t("persons").filter(number % 17 != 3), later)
 
 
 @_query("SELECT coalesce(a.delegate_id, c.delegate_id) AS delegate_id, coalesce(c.fullname, a.fullname) AS fullname FROM persons a FULL JOIN (SELECT id_persoon AS delegate_id, naam AS fullname FROM authority WHERE hlife IS NOT NULL) c ON a.delegate_id = c.delegate_id")
@@ -317,9 +341,9 @@ def pattern_freq(t):
     return S.pattern_frequency(_merged(t))
 
 
-@_query("SELECT * FROM modals", MERGED, MODAL)
+@_query("SELECT * FROM fmodals", MERGED, FILLED)
 def modal_pattern(t):
-    return S.modal_patterns(_merged(t))
+    return S.modal_of(S.filled_frequency(_merged(t)))
 
 
 @_query("SELECT * FROM anchors", MERGED, CLEAN)
@@ -376,26 +400,59 @@ def threshold_sweep(t):
     return E.threshold_sweep(scored, [0.05, 0.15, 0.25, 0.35, 0.45])
 
 
-@_query("SELECT delegate_id, row_number() OVER (ORDER BY issue_score DESC, fullname, delegate_id) AS place FROM summary QUALIFY place BETWEEN 21 AND 40", MERGED, MODAL, _SUMMARY)
+@_query("SELECT delegate_id, row_number() OVER (ORDER BY issue_score DESC, fullname, delegate_id) AS place FROM summary QUALIFY place BETWEEN 21 AND 40", MERGED, FILLED, _SUMMARY)
 def review_queue_page(t):
     ranked = _summary(t).withColumn("status_rank", F.lit(0))
     return S.page(ranked, S.sort_keys("queue"), 2, 20).select("delegate_id", "place")
 
 
-@_query("SELECT delegate_id, string_agg(DISTINCT pattern, ';' ORDER BY pattern) AS patterns FROM merged WHERE pattern IS NOT NULL GROUP BY delegate_id", MERGED)
+@_query("SELECT p.delegate_id, coalesce(l.patterns, p.pattern) AS patterns FROM persons p LEFT JOIN (SELECT delegate_id, string_agg(DISTINCT pattern, ';' ORDER BY pattern) AS patterns FROM merged WHERE pattern IS NOT NULL GROUP BY delegate_id) l ON p.delegate_id = l.delegate_id", MERGED)
 def pattern_lists(t):
-    return S.pattern_lists(_merged(t))
+    return S.pattern_lists(_merged(t), t("persons"))
+
+
+@_query(f"SELECT m.row_id, m.delegate_id, m.j AS year, m.pattern AS part, modal, {_thousandth(_apart('m.pattern', 'modal'))} AS distance FROM merged m JOIN modals o ON m.delegate_id = o.delegate_id WHERE m.pattern IS NOT NULL", MERGED, MODAL)
+def pattern_distances(t):
+    return S.pattern_distances(_merged(t))
+
+
+@_query("SELECT DISTINCT fullname AS name FROM persons WHERE fullname IS NOT NULL")
+def name_options(t):
+    return R.name_options(t("persons"))
+
+
+_IDS = """,
+wanted AS (
+  SELECT DISTINCT CASE WHEN c_custkey % 10 = 0 THEN 'aB' || c_custkey WHEN c_custkey % 7 = 0 THEN c_custkey || '.0' WHEN c_custkey % 3 = 0 THEN substr(cast(c_custkey AS string), 2) WHEN c_custkey % 11 = 0 THEN 'none' || c_custkey ELSE cast(c_custkey AS string) END AS delegate_id FROM base),
+marked AS (SELECT CASE WHEN cast(id_persoon AS int) % 5 = 0 THEN 'Ab' || id_persoon || '-x' ELSE id_persoon END AS id_persoon, naam, geboortejaar FROM authority)"""
+_IDS_JOINED = _IDS + """,
+asked AS (SELECT delegate_id, regexp_replace(trim(delegate_id), '^([0-9]+)\\.0$', '\\1') AS a FROM wanted),
+pairs AS (
+  SELECT delegate_id, m.* FROM asked JOIN marked m ON a = id_persoon
+  UNION ALL SELECT delegate_id, m.* FROM asked JOIN marked m ON a <> '' AND contains(lower(id_persoon), lower(a)) WHERE a NOT IN (SELECT id_persoon FROM marked))"""
+
+
+@_query("SELECT w.delegate_id, f.naam, f.geboortejaar FROM wanted w LEFT JOIN (SELECT delegate_id, arg_min(naam, {'i': id_persoon, 'v': naam}) FILTER (naam IS NOT NULL) AS naam, arg_min(geboortejaar, {'i': id_persoon, 'v': geboortejaar}) FILTER (geboortejaar IS NOT NULL) AS geboortejaar FROM pairs GROUP BY delegate_id) f ON w.delegate_id = f.delegate_id", _IDS_JOINED)
+def authority_lookup(t):
+    return R.authority_lookup(t("wanted", _IDS), t("marked", _IDS), ["naam", "geboortejaar"])
 
 
-@_query("SELECT DISTINCT pattern, CASE WHEN starts_with(pattern, 'vau ') THEN 'van' ELSE '' END AS prefix, CASE WHEN starts_with(pattern, 'vau ') THEN trim(substr(pattern, 5)) ELSE trim(pattern) END AS core FROM occurrences WHERE pattern IS NOT NULL AND NOT regexp_matches(pattern, '^(len|ler|le|la|de|te|en|of|di|d|l|t|s|a|toe|tot|van|du) ')")
+_Q = lambda x: x.replace("'", "''")
+_PREFIX = f"(?i)^({'|'.join(_Q(re.escape(p)) for p in sorted(N.canonical_prefixes(), key=len, reverse=True))})(?:\\s+|$)"
+_CANONICAL = f""",
+canonical AS (SELECT * FROM (VALUES {", ".join(f"('{_Q(v)}', '{_Q(p)}')" for v, p in N.canonical_prefixes().items())}) AS x(variant, prefix))"""
+
+
+@_query(f"SELECT pattern, coalesce(c.prefix, '') AS prefix, trim(regexp_replace(trim(pattern), '{_PREFIX}', '')) AS core FROM (SELECT DISTINCT pattern FROM occurrences WHERE pattern IS NOT NULL) LEFT JOIN canonical c ON lower(regexp_extract(trim(pattern), '{_PREFIX}', 1)) = c.variant", _CANONICAL)
 def prefix_strip(t):
-    p = t("occurrences").filter("pattern IS NOT NULL").select("pattern").distinct().filter(~F.col("pattern").rlike("^(len|ler|le|la|de|te|en|of|di|d|l|t|s|a|toe|tot|van|du) "))
+    p = t("occurrences").filter("pattern IS NOT NULL").select("pattern").distinct()
     return p.select("pattern", N.strip_prefix(F.col("pattern")).alias("s")).select("pattern", "s.prefix", "s.core")
 
 
-@_query("SELECT 'occurrences' AS what, count(*) AS n FROM merged UNION ALL SELECT 'persons', count(*) FROM persons UNION ALL SELECT 'placeholders', count(*) FROM occurrences WHERE delegate_id IN ('-1', '-20') UNION ALL SELECT 'remapped', count(*) FROM mapped WHERE remapped", MERGED)
+@_query("SELECT 'occurrences' AS what, count(*) AS n FROM merged UNION ALL SELECT 'persons', count(*) FROM persons UNION ALL SELECT 'placeholders', count(*) FROM occurrences WHERE delegate_id IN ('-1', '-20') UNION ALL SELECT 'remapped', count(*) FROM mapped WHERE remapped UNION ALL SELECT 'enriched', count(*) FILTER (trim(fullname) = '') FROM persons", MERGED)
 def overview(t):
-    return S.overview(t("persons"), _merged(t), R.unresolved(t("occurrences")), R.remap_ids(t("occurrences"), t("remappings")).filter("remapped"))
+    p = t("persons")
+    return S.overview(p, _merged(t), R.unresolved(t("occurrences")), R.remap_ids(t("occurrences"), t("remappings")).filter("remapped"), R.enriched_count(p, R.enrich_persons(p, t("authority"), [])))
 
 
 @_query("SELECT o.row_id, 'active' AS tier, f.to_id, o.delegate_id AS from_id, p.fullname AS name, 'manual' AS source, '2024-01-01' AS updated_at, 'bulk' AS action_id FROM occurrences o JOIN folded f ON o.row_id = f.row_id LEFT JOIN persons p ON f.to_id = p.delegate_id", FOLDED)
@@ -426,14 +483,6 @@ def gap_boundaries(t):
     return C.gap_boundary_rows(_merged(t), 1).select("row_id", F.col("row_id").alias("boundary"))
 
 
-def _bare(c: str) -> str:
-    return f"trim(regexp_replace({c}, '^(?:{'|'.join(sorted(map(re.escape, N.INFIXES), key=len, reverse=True)).replace(chr(39), chr(39) * 2)})\\s*', '', 'i'))"
-
-
-def _apart(a: str, b: str) -> str:
-    return f"(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0 ELSE levenshtein({a}, {b}) / greatest(length({a}), length({b})) END)"
-
-
 def _even(c: str) -> str:
     """Rounded to four digits, halves to even, as Spark's bround."""
     v = f"({c} * 10000)"
@@ -512,12 +561,58 @@ def compound_score(t):
     return D.compound_scores(m, D.anchor_table(m).anchors)
 
 
-@_query(None)
+#: Scores of all unresolved patterns with all persons, in the operator's whole numbers.
+_SUGGESTED = """,
+labelled AS (SELECT delegate_id, pattern, count(*) AS n FROM merged WHERE pattern IS NOT NULL AND try_cast(delegate_id AS DOUBLE) > 0 GROUP BY ALL),
+asked AS (SELECT row_id, pattern, j, class FROM occurrences WHERE delegate_id IN ('-1', '-20')),
+known AS (SELECT DISTINCT pattern FROM (SELECT pattern FROM labelled UNION ALL SELECT pattern FROM asked WHERE pattern IS NOT NULL)),
+bits AS (SELECT pattern, ' ' || unnest([x FOR x IN string_split_regex(lower(pattern), '\\s+') IF x <> '']) || ' ' AS p FROM known),
+grams AS (
+  SELECT pattern, 'char' AS space, unnest([substr(p, i, k) FOR i IN range(1, length(p) - k + 2)]) AS term FROM bits, (VALUES (2), (3), (4)) AS s(k) WHERE length(p) > k
+  UNION ALL SELECT pattern, 'char', p FROM bits WHERE length(p) BETWEEN 2 AND 4
+  UNION ALL SELECT pattern, 'word', unnest(regexp_extract_all(lower(pattern), '\\w+')) FROM known
+  UNION ALL SELECT pattern, 'word', unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM (SELECT pattern, regexp_extract_all(lower(pattern), '\\w+') AS w FROM known)),
+tf AS (SELECT pattern, space, term, count(*) AS c FROM grams GROUP BY ALL),
+ptf AS (SELECT delegate_id, space, term, sum(n * c) AS n FROM labelled JOIN tf USING (pattern) GROUP BY ALL),
+idf AS (SELECT space, term, ln((1.0 + (SELECT count(DISTINCT delegate_id) FROM labelled)) / (1 + count(*))) + 1 AS idf FROM ptf GROUP BY ALL),
+praw AS (SELECT delegate_id, space, term, (1 + ln(n)) * idf AS w FROM ptf JOIN idf USING (space, term)),
+pw AS (SELECT delegate_id, space, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY delegate_id, space)) * 1048576)::BIGINT AS w FROM praw),
+qraw AS (SELECT pattern, space, term, (1 + ln(c)) * idf AS w FROM tf JOIN idf USING (space, term) WHERE pattern IN (SELECT pattern FROM asked)),
+qw AS (SELECT pattern, space, term, round(CASE space WHEN 'char' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END * w / sqrt(sum(w * w) OVER (PARTITION BY pattern, space)) * 1048576)::BIGINT AS w FROM qraw),
+scores AS (SELECT pattern, delegate_id, sum(q.w * p.w)::BIGINT AS s FROM qw q JOIN pw p USING (space, term) GROUP BY ALL HAVING s >= 109951162778),
+years AS (SELECT delegate_id, min(j) AS first_year, max(j) AS last_year FROM merged WHERE pattern IS NOT NULL GROUP BY delegate_id),
+ranked AS (
+  SELECT row_id, s.delegate_id AS person, round(s / 1099511627776.0::DOUBLE, 3) AS score, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, s.delegate_id) AS place
+  FROM asked a JOIN scores s ON a.pattern = s.pattern JOIN years y ON s.delegate_id = y.delegate_id WHERE j IS NULL OR j BETWEEN first_year - 5 AND last_year + 5)"""
+
+
+@_query(
+    "SELECT a.row_id, "
+    + ", ".join(f"max(person) FILTER (place = {i}) AS person_{i}, coalesce(max(score) FILTER (place = {i}), 0.0) AS score_{i}" for i in (1, 2, 3))
+    + " FROM asked a LEFT JOIN ranked r ON a.row_id = r.row_id GROUP BY a.row_id",
+    MERGED, _SUGGESTED,
+)
 def suggestions_topk(t):
     return G.suggest(R.unresolved(t("occurrences")), G.build_store(written(_merged(t))))
 
 
-@_query(None)
+_EVIDENCE = f""",
+suspects AS (SELECT c.delegate_id, c.pattern, {_thousandth("length(c.norm) / length(anchor)")} AS ratio, c.norm FROM (SELECT DISTINCT delegate_id, trim(pattern) AS pattern, {_TIGHT} AS norm FROM clean) c JOIN anchors a ON c.delegate_id = a.delegate_id WHERE length(c.norm) >= 1.4995 * length(anchor)),
+mpos AS (SELECT row_id, delegate_id, date, row_number() OVER (PARTITION BY date ORDER BY offset_ NULLS LAST, row_id) AS rank FROM merged WHERE date IS NOT NULL),
+seen AS (SELECT DISTINCT a.delegate_id, b.delegate_id AS near FROM mpos a JOIN mpos b ON a.date = b.date AND b.rank BETWEEN a.rank - 5 AND a.rank + 5 AND a.delegate_id <> b.delegate_id WHERE a.delegate_id IN (SELECT delegate_id FROM suspects)),
+words AS (SELECT *, string_split(norm, ' ') AS w, greatest(1, len(string_split(norm, ' ')) // 2) AS mid FROM suspects WHERE ratio >= 1.5),
+halved AS (SELECT delegate_id, pattern, ratio, array_to_string(w[:mid], ' ') AS l, array_to_string(w[mid + 1:], ' ') AS r FROM words),
+shown AS (
+  SELECT h.delegate_id, h.r, n.near, a.anchor, CASE WHEN {_bare("h.r")} = '' THEN {_apart("h.r", "a.anchor")} ELSE least({_apart("h.r", "a.anchor")}, {_apart(_bare("h.r"), _bare("a.anchor"))}) END AS s
+  FROM (SELECT DISTINCT delegate_id, r FROM halved WHERE r <> '') h JOIN seen n ON h.delegate_id = n.delegate_id JOIN anchors a ON n.near = a.delegate_id WHERE a.anchor <> ''),
+closest AS (SELECT * FROM shown WHERE s < 1 QUALIFY row_number() OVER (PARTITION BY delegate_id, r ORDER BY s, near) = 1)"""
+
+
+@_query(
+    f"""SELECT h.delegate_id, h.pattern, h.ratio, h.l AS "left", h.r AS "right", length({_bare("h.l")}) < 2 AS left_is_infix, coalesce({_thousandth("c.s")}, 1.0) AS score, c.near, c.anchor AS near_anchor, coalesce(k.n_near, 0) AS n_near
+FROM halved h LEFT JOIN closest c ON h.delegate_id = c.delegate_id AND h.r = c.r LEFT JOIN (SELECT delegate_id, count(*) AS n_near FROM seen GROUP BY delegate_id) k ON h.delegate_id = k.delegate_id""",
+    MERGED, CLEAN, _EVIDENCE,
+)
 def neighbour_evidence(t):
     m = written(_merged(t))
     table = D.anchor_table(m)
