@@ -84,7 +84,7 @@ def from_to(folded: DataFrame, occurrences: DataFrame, top: int | None = None) -
 
 
 def new_corrections(rows: DataFrame, to_id: Column, persons: DataFrame, tier: str = "active", source: str = "manual", updated_at: Column | None = None, action_id: str | None = None) -> DataFrame:
-    """C-01: events for ``rows(row_id, delegate_id)``; the name is the new person's. A bulk action has an ``action_id`` that ``undo_last`` finds; later ones must sort later."""
+    """C-01: events for ``rows(row_id, delegate_id)``; the name is the new person's. A bulk action has an ``action_id`` that ``undo_last`` finds."""
     names = first_per_key(persons.select("delegate_id", "fullname"), ["delegate_id"]).select(F.col("delegate_id").alias("_id"), F.col("fullname").alias("name"))
     made = rows.select("row_id", F.col("delegate_id").alias("from_id"), to_id.cast("string").alias("to_id"))
     when = (updated_at if updated_at is not None else F.current_timestamp()).cast("string")
@@ -134,10 +134,10 @@ def split_candidates(merged: DataFrame, longer: int, existing: DataFrame | None
 
 
 def undo_last(corrections: DataFrame) -> DataFrame:
-    """C-08: without the events of the latest ``action_id``; single events, which have none, stay."""
+    """C-08: without the events of the action whose last event is the latest (ties: the larger id); single events stay. ``events.undo_events`` adds to a log instead."""
     if "action_id" not in corrections.columns:
         return corrections
-    last = corrections.agg(F.max("action_id").alias("_last"))
+    last = corrections.filter("action_id IS NOT NULL").agg(F.max(F.struct("updated_at", "action_id")).alias("_x")).select(F.col("_x.action_id").alias("_last"))
     return corrections.join(last, F.col("action_id") == F.col("_last"), "left_anti")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmark.functions.columns import normalise
+
 
 def majority_label(labels: DataFrame) -> DataFrame:
     """A-25: the label with most votes of each pattern, the smallest on ties."""
@@ -44,10 +46,19 @@ def candidates_by_threshold(scored: DataFrame, thresholds: list[float]) -> DataF
     return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("n")) for i, t in enumerate(thresholds)))).alias("s")).select("s.*")
 
 
+#: Scores are told apart by so many parts of 1 where quantiles are taken.
+PARTS = 10_000
+
+
+def _part(score: Column) -> Column:
+    return F.bround(score * PARTS).cast("long")
+
+
 def describe_scores(scored: DataFrame, by: str = "label") -> DataFrame:
-    """A-27."""
-    q = lambda p: F.percentile("score", F.lit(p))
-    return scored.groupBy(by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.min("score").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("score").alias("max"))
+    """A-27. Quartiles come from counts of scores in steps of 1 / ``PARTS``, which merge, so they are off by half a step at most; the rest is exact."""
+    sums = scored.groupBy(by, _part(F.col("score")).alias("_p")).agg(F.count("*").alias("_rows"), F.count("score").alias("_n"), F.sum("score").alias("_s"), F.min("score").alias("_low"), F.max("score").alias("_high"))
+    q = lambda p: F.percentile("_p", F.lit(p), F.col("_n")) / PARTS
+    return sums.groupBy(by).agg(F.sum("_rows").alias("n"), (F.sum("_s") / F.sum("_n")).alias("mean"), F.min("_low").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("_high").alias("max"))
 
 
 def ambiguous_zone(scored: DataFrame, low: float, high: float) -> DataFrame:
@@ -56,13 +67,33 @@ def ambiguous_zone(scored: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def stratified_sample(zone: DataFrame, size: int, labelled: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """W-12, D-12: ``size`` rows spread over quartiles of the score, half of each for tuning and half for testing."""
-    rows = zone if labelled is None else zone.join(labelled.select("pattern"), "pattern", "left_anti")
-    cuts = rows.agg(F.percentile_approx("score", [0.25, 0.5, 0.75], 10_000)).first()[0] or []  # three numbers
-    placed = rows.withColumn("quartile", sum(((F.col("score") > c).cast("int") for c in cuts), F.lit(1)))
-    w = Window.partitionBy("quartile").orderBy(F.xxhash64("pattern", F.lit(seed)), "pattern")
-    picked = placed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= -(-size // 4))
-    return picked.withColumn("split", F.when(F.col("place") % 2 == 1, "tune").otherwise("test"))
+    """W-12: about ``size`` rows of ``zone(pattern, score, ...)``, from each quartile of the score in proportion, a fifth of each for testing.
+
+    A quartile gives ``max(1, round(size * its share))`` rows: those with the smallest hashes of seed and
+    pattern, so the draw repeats exactly. Each task keeps its ``size`` smallest of a quartile and no more,
+    which is all that can be drawn. Quartiles are taken as in ``describe_scores``; equal bounds merge
+    quartiles. Patterns that are labelled already are left out, compared without case and extra spaces.
+    ``split`` is ``test`` for the first fifth (rounded) of a quartile's draw, else ``train``.
+    """
+    rows = zone.filter("score IS NOT NULL").withColumn("_p", _part(F.col("score")))
+    if labelled is not None:
+        done = labelled.select(normalise(F.col("pattern")).alias("_k")).distinct()
+        rows = rows.join(done, normalise(F.col("pattern")) == F.col("_k"), "left_anti")
+    counts = rows.groupBy("_p").agg(F.count("*").alias("_n"))
+    found = counts.agg(F.percentile("_p", [0.25, 0.5, 0.75], F.col("_n")).alias("cuts"), F.sum("_n").alias("n")).first()  # four numbers
+    quarter = sum(((F.col("_p") > c).cast("int") for c in found["cuts"] or []), F.lit(1))
+    shares = counts.groupBy(quarter.alias("_q")).agg(F.greatest(F.lit(1), F.bround(size * F.sum("_n") / F.lit(found["n"] or 1)).cast("int")).alias("_take"))
+    w = Window.partitionBy("quartile").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "pattern")), "pattern", "score")
+    few = rows.withColumn("quartile", quarter).drop("_p").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max(1, size))
+    picked = few.join(shares, F.col("quartile") == F.col("_q")).filter(F.col("place") <= F.col("_take"))
+    return picked.withColumn("split", F.when(F.col("place") <= F.bround(F.col("_take") * 0.2), "test").otherwise("train")).drop("_q", "_take")
+
+
+def labelling_sample(scored: DataFrame, low: float, high: float, size: int, names: DataFrame, anchors: DataFrame, labelled: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """D-12: the training part of a sample of the ambiguous zone, with each person's name and anchor, and no label yet."""
+    picked = stratified_sample(ambiguous_zone(scored, low, high), size, labelled, seed).filter("split = 'train'")
+    named = picked.join(names.select("delegate_id", F.col("fullname").alias("delegate_name")), "delegate_id", "left").join(anchors.select("delegate_id", "anchor"), "delegate_id", "left")
+    return named.select("pattern", "anchor", "delegate_id", "delegate_name", F.col("score").alias("compound_score"), "quartile", F.lit("").alias("label"))
 
 
 def false_negatives(rejected: DataFrame, truth: DataFrame) -> DataFrame:

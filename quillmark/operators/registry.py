@@ -207,7 +207,8 @@ def authority_lookup(ids: DataFrame, authority: DataFrame, fields: list[str]) ->
     right = authority.select(canonical_id(F.col("id_persoon")).alias("_id"), *fields).filter("_id <> ''")
     exact = asked.join(right, F.col("_asked") == F.col("_id"))
     low = F.lower("_id").alias("_low")
-    rest = asked.join(right.select("_id"), F.col("_asked") == F.col("_id"), "left_anti").select(F.lower("_asked").alias("_want")).filter("_want <> ''").distinct()
+    missed = asked.join(right.select("_id"), F.col("_asked") == F.col("_id"), "left_anti").select("delegate_id", F.lower("_asked").alias("_want")).filter("_want <> ''")
+    rest = missed.select("_want").distinct()
     size = F.least(F.length("_want"), F.lit(GRAM))
     wanted = rest.select("_want", F.explode(_id_grams(F.col("_want"), size)).alias("_gram"))
     # Only grams that some id asks for are cut from the authority's ids.
@@ -219,7 +220,7 @@ def authority_lookup(ids: DataFrame, authority: DataFrame, fields: list[str]) ->
     long = known.join(rare.filter(F.length("_want") > GRAM), "_gram").filter(F.contains("_low", F.col("_want"))).select("_want", "_id").distinct()
     inside = best(long.join(values, "_id"), "_want")
     short = best(known.join(rare.filter(F.length("_want") <= GRAM).select("_gram").distinct(), "_gram", "left_semi").join(values, "_id"), "_gram").withColumnRenamed("_gram", "_want")
-    partial = asked.join(rest, F.lower("_asked") == F.col("_want")).select("delegate_id", "_want").join(inside.unionByName(short), "_want").drop("_want")
+    partial = missed.join(inside.unionByName(short), "_want").drop("_want")
     found = best(exact, "delegate_id").unionByName(partial)
     return ids.join(found, "delegate_id", "left")
 

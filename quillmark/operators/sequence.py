@@ -1,26 +1,71 @@
-"""Order within a day, neighbours, gaps and co-occurrence. Windows are by day or by person."""
+"""Order within a day, neighbours, gaps and co-occurrence. Ranks of a day are counted in two levels, windows run over blocks of a day or by person."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.columns import province_rank
+from quillmark.functions.steps import written
+
+
+#: Ranks of a day that stand in one task of a sliding window.
+BLOCK = 4096
+
+
+def _order() -> list[Column]:
+    """The order within a day: by offset, nulls last, then by row."""
+    return [F.col("offset_").asc_nulls_last(), F.col("row_id").asc()]
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ranges of (day, place in the day) and written, with the range as ``_chunk``: a crowded day spreads over many tasks."""
+    return written(rows.repartitionByRange("date", *_order()).withColumn("_chunk", F.spark_partition_id()))
+
+
+def _before(chunked: DataFrame, *keys: str) -> DataFrame:
+    """``_ahead`` of each (keys, chunk): rows with the same keys in earlier chunks. There is one row for each, however many rows a chunk has."""
+    counts = chunked.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_ahead"))
+
+
+def _ranked(chunked: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The rank, from 1, of each row among those with its keys: the place in its chunk and what stands in chunks before it."""
+    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*_order()))
+    ahead = _before(chunked, *keys).select(*(F.col(k).alias(f"_k_{k}") for k in (*keys, "_chunk")), "_ahead")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "_chunk")]
+    return chunked.withColumn("_local", local).join(ahead, same).withColumn(name, (F.col("_local") + F.col("_ahead")).cast("int")).drop("_local", "_ahead", *(f"_k_{k}" for k in (*keys, "_chunk")))
 
 
 def day_positions(occurrences: DataFrame) -> DataFrame:
-    """W-07: ``rank`` in the day from 0, by offset (nulls last) and row; rows without a date are left out."""
-    w = Window.partitionBy("date").orderBy(F.col("offset_").asc_nulls_last(), "row_id")
-    return occurrences.filter("date IS NOT NULL").withColumn("rank", F.row_number().over(w) - 1)
+    """W-07: ``rank`` in the day from 0, by offset (nulls last) and row; rows without a date are left out. No day is ever sorted by one task."""
+    chunked = _chunked(occurrences.filter("date IS NOT NULL"))
+    return _ranked(chunked, "rank", "date").withColumn("rank", F.col("rank") - 1).drop("_chunk")
 
 
 def day_order(occurrences: DataFrame, order: DataFrame, province: str = "namens") -> DataFrame:
-    """W-01 to W-04: actual and expected position of each row in its day and their distance."""
-    ranked = province_rank(occurrences.filter("date IS NOT NULL"), order, province)
-    actual = Window.partitionBy("date").orderBy(F.col("offset_").asc_nulls_last(), "row_id")
-    placed = ranked.withColumn("actual_pos", F.row_number().over(actual))
-    expected = Window.partitionBy("date").orderBy(F.col("prov_rank").asc_nulls_last(), "actual_pos")
-    return placed.withColumn("expected_pos", F.row_number().over(expected)).withColumn("pos_diff", F.abs(F.col("actual_pos") - F.col("expected_pos")))
+    """W-01 to W-04: actual and expected position of each row in its day and their distance.
+
+    The expected position is the rank within the row's province, in the actual order, after all rows of the
+    day's provinces that stand before it.
+    """
+    chunked = _chunked(province_rank(occurrences.filter("date IS NOT NULL"), order, province))
+    placed = _ranked(_ranked(chunked, "actual_pos", "date"), "_inside", "date", "prov_rank")
+    sizes = chunked.groupBy(F.col("date").alias("_d"), F.col("prov_rank").alias("_p")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("_d").orderBy(F.col("_p").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_d", "_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_skip"))
+    both = placed.join(sizes, (F.col("date") == F.col("_d")) & F.col("prov_rank").eqNullSafe(F.col("_p")))
+    expected = (F.col("_inside") + F.col("_skip")).cast("int")
+    return both.withColumn("expected_pos", expected).withColumn("pos_diff", F.abs(F.col("actual_pos") - F.col("expected_pos"))).drop("_chunk", "_inside", "_d", "_p", "_skip")
+
+
+def _blocks(positions: DataFrame, window: int) -> DataFrame:
+    """Each row in its block of ``BLOCK`` ranks (``_own``), and beside the border of a block in the next one as well."""
+    block = F.floor(F.col("rank") / F.lit(max(BLOCK, window)))
+    inside = F.col("rank") % F.lit(max(BLOCK, window))
+    near = F.array(F.when(inside < window, block - 1), block, F.when(inside >= max(BLOCK, window) - window, block + 1))
+    return positions.withColumn("_block", F.explode(F.array_compact(near))).withColumn("_own", F.col("_block") == block)
 
 
 def violations(ordered: DataFrame, least: int) -> DataFrame:
@@ -50,9 +95,9 @@ def neighbours(positions: DataFrame, window: int = 2, in_scope: DataFrame | None
     Ranks are of all rows; ``in_scope(row_id)`` limits which rows may be neighbours. A range of the day's
     window gives each row 2 * window others at most, so no day is ever paired with itself.
     """
-    w = Window.partitionBy("date").orderBy("rank").rowsBetween(-window, window)
+    w = Window.partitionBy("date", "_block").orderBy("rank").rowsBetween(-window, window)
     packed = F.collect_list(F.struct("rank", F.col("row_id").alias("id"), F.col("delegate_id").alias("person"))).over(w)
-    flat = positions.select("row_id", "rank", packed.alias("near")).select("row_id", "rank", F.explode("near").alias("x"))
+    flat = _blocks(positions, window).select("row_id", "rank", "_own", packed.alias("near")).filter("_own").select("row_id", "rank", F.explode("near").alias("x"))
     out = flat.filter("x.id <> row_id").select("row_id", F.col("x.id").alias("neighbour_id"), F.col("x.person").alias("neighbour_person"), (F.col("x.rank") - F.col("rank")).alias("delta"))
     return out if in_scope is None else out.join(in_scope.select(F.col("row_id").alias("neighbour_id")), "neighbour_id", "left_semi")
 
@@ -65,8 +110,8 @@ def day_context(positions: DataFrame, rows: DataFrame, window: int = 5) -> DataF
 
 def cooccurrence(positions: DataFrame, window: int = 5) -> DataFrame:
     """S-J17: how often person ``b`` stands within ``window`` ranks of person ``a``, not counting themselves."""
-    w = Window.partitionBy("date").orderBy("rank").rowsBetween(-window, window)
-    flat = positions.select(F.col("delegate_id").alias("a"), F.collect_list("delegate_id").over(w).alias("near")).select("a", F.explode("near").alias("b"))
+    w = Window.partitionBy("date", "_block").orderBy("rank").rowsBetween(-window, window)
+    flat = _blocks(positions, window).select(F.col("delegate_id").alias("a"), "_own", F.collect_list("delegate_id").over(w).alias("near")).filter("_own").select("a", F.explode("near").alias("b"))
     return flat.filter("a IS NOT NULL AND b <> a").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

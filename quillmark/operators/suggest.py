@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +18,7 @@ WEIGHTS = {"char": 0.6, "word": 0.4}
 
 
 #: Weights are whole numbers of so many parts, so a score is the same whatever order its products are added in.
-SCALE = 1 << 20
+SCALE = 1 << 28
 #: Postings of the rarest terms of a pattern from which the first bound comes, and persons that are scored for it beyond those asked for.
 SEED_POSTINGS, SEED_PERSONS = 300, 5
 
@@ -113,13 +114,14 @@ def retrieve(questions: DataFrame, patterns: DataFrame, store: Store, k: int, le
     """
     by_rarity = Window.partitionBy("qid").orderBy(F.col("df").desc(), F.col("tid").desc()).rowsBetween(Window.unboundedPreceding, 0)
     length = lambda s: F.sqrt(F.sum(F.when(F.col("space") == s, F.col("wq").cast("double") * F.col("wq")).otherwise(0.0)).over(by_rarity))
-    summed = F.sum(F.col("wq") * F.col("top")).over(by_rarity)
-    # Rounded weights may be a little longer than SCALE.
-    straight = F.ceil(sum((length(s) for s in WEIGHTS), F.lit(0.0)) * SCALE * 1.001).cast("long")
+    summed = F.sum(F.col("wq").cast("double") * F.col("top")).over(by_rarity)
+    # Rounded weights may be a little longer than SCALE, and doubles a little short.
+    straight = sum((length(s) for s in WEIGHTS), F.lit(0.0)) * SCALE
+    reach = F.ceil(F.least(summed, straight) * 1.0001).cast("long")
     first = Window.partitionBy("qid").orderBy("df", "tid")
     asked = _asked_terms(patterns, store, weights or WEIGHTS)
-    asked = written(asked.withColumn("reach", F.least(summed, straight)).withColumn("read", F.sum("df").over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(first)))
-    bar = max(1, math.ceil(round(least * float(SCALE) ** 2, 3)))
+    asked = written(asked.withColumn("reach", reach).withColumn("read", F.sum("df").over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(first)))
+    bar = max(1, math.ceil(Fraction(str(least)) * SCALE**2))
     product = F.sum(F.col("wq") * F.col("w"))
 
     seeds = asked.filter((F.col("read") <= SEED_POSTINGS) | (F.col("nth") == 1)).join(store.index, "tid").groupBy("qid", "pid").agg(product.alias("s"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -11,16 +12,19 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import columns as X
 from quillmark.functions import names as N
-from quillmark.functions.steps import written
+from quillmark.functions.steps import shared_folder, written
 from quillmark.operators import corrections as C
 from quillmark.operators import detect as D
 from quillmark.operators import evaluate as E
+from quillmark.operators import events as V
 from quillmark.operators import registry as R
 from quillmark.operators import search as Q
 from quillmark.operators import sequence as W
 from quillmark.operators import signals as S
 from quillmark.operators import suggest as G
+from quillmark.operators.export import export_unique_persons
 from quillmark.plans.views import DERIVED, derived
+from quillmark.sources import snapshots
 
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -576,13 +580,13 @@ tf AS (SELECT pattern, space, term, count(*) AS c FROM grams GROUP BY ALL),
 ptf AS (SELECT delegate_id, space, term, sum(n * c) AS n FROM labelled JOIN tf USING (pattern) GROUP BY ALL),
 idf AS (SELECT space, term, ln((1.0 + (SELECT count(DISTINCT delegate_id) FROM labelled)) / (1 + count(*))) + 1 AS idf FROM ptf GROUP BY ALL),
 praw AS (SELECT delegate_id, space, term, (1 + ln(n)) * idf AS w FROM ptf JOIN idf USING (space, term)),
-pw AS (SELECT delegate_id, space, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY delegate_id, space)) * 1048576)::BIGINT AS w FROM praw),
+pw AS (SELECT delegate_id, space, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY delegate_id, space)) * 268435456)::BIGINT AS w FROM praw),
 qraw AS (SELECT pattern, space, term, (1 + ln(c)) * idf AS w FROM tf JOIN idf USING (space, term) WHERE pattern IN (SELECT pattern FROM asked)),
-qw AS (SELECT pattern, space, term, round(CASE space WHEN 'char' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END * w / sqrt(sum(w * w) OVER (PARTITION BY pattern, space)) * 1048576)::BIGINT AS w FROM qraw),
-scores AS (SELECT pattern, delegate_id, sum(q.w * p.w)::BIGINT AS s FROM qw q JOIN pw p USING (space, term) GROUP BY ALL HAVING s >= 109951162778),
+qw AS (SELECT pattern, space, term, round(CASE space WHEN 'char' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END * w / sqrt(sum(w * w) OVER (PARTITION BY pattern, space)) * 268435456)::BIGINT AS w FROM qraw),
+scores AS (SELECT pattern, delegate_id, sum(q.w * p.w)::BIGINT AS s FROM qw q JOIN pw p USING (space, term) GROUP BY ALL HAVING s >= 7205759403792794),
 years AS (SELECT delegate_id, min(j) AS first_year, max(j) AS last_year FROM merged WHERE pattern IS NOT NULL GROUP BY delegate_id),
 ranked AS (
-  SELECT row_id, s.delegate_id AS person, round(s / 1099511627776.0::DOUBLE, 3) AS score, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, s.delegate_id) AS place
+  SELECT row_id, s.delegate_id AS person, round(s / 72057594037927936.0::DOUBLE, 3) AS score, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, s.delegate_id) AS place
   FROM asked a JOIN scores s ON a.pattern = s.pattern JOIN years y ON s.delegate_id = y.delegate_id WHERE j IS NULL OR j BETWEEN first_year - 5 AND last_year + 5)"""
 
 
@@ -631,6 +635,72 @@ def best_split_scores(t):
     return D.best_split_scores(m, D.anchor_table(m))
 
 
+_LOG = """,
+events AS (
+  SELECT row_id, tier, CASE WHEN row_id % 3 = 0 AND tier = 'staged' THEN NULL ELSE to_id END AS to_id,
+    CASE tier WHEN 'staged' THEN '1995-01-' WHEN 'approved' THEN '1996-02-' ELSE '1997-03-' END || lpad(cast(row_id % 28 + 1 AS string), 2, '0') AS updated_at, 'a' || cast(row_id % 5 AS string) AS action_id FROM corrections
+  UNION ALL SELECT row_id, tier, to_id || '0', '1996-02-' || lpad(cast(row_id % 28 + 1 AS string), 2, '0'), 'b' FROM corrections WHERE tier = 'staged' AND row_id % 4 = 0)"""
+
+
+@_query("SELECT row_id, tier, to_id, updated_at FROM (SELECT * FROM events WHERE updated_at <= '1996-02-15' QUALIFY row_number() OVER (PARTITION BY row_id, tier ORDER BY updated_at DESC) = 1) WHERE to_id IS NOT NULL", _LOG)
+def corrections_as_of(t):
+    log = V.compact(V.correction_events(t("events", _LOG)), "1995-12-31")
+    return V.corrections_of(V.as_of(log, "1996-02-15")).select("row_id", "tier", "to_id", "updated_at")
+
+
+@_query("SELECT delegate_id, CASE WHEN trim(fullname) = '' THEN naam ELSE fullname END AS fullname, CASE WHEN trim(fullname) = '' THEN cast(geboortejaar AS string) END AS birth_year FROM persons p LEFT JOIN authority ON delegate_id = id_persoon")
+def enrichment_edits(t):
+    p = t("persons").withColumn("birth_year", F.lit(None).cast("string"))
+    log = V.enrichment_events(p, t("authority"), {"fullname": "naam", "birth_year": "geboortejaar"}, F.lit("2024-01-01"), "enrich")
+    return R.apply_person_edits(p, V.edits_of(V.as_of(log), ["fullname", "birth_year"])).select("delegate_id", "fullname", "birth_year")
+
+
+_EXTRA = """,
+extra AS (SELECT id_persoon AS delegate_id, 'Van ' || naam AS geslachtsnaam, CASE WHEN hlife IS NULL THEN 'J' || id_persoon END AS voornaam, geboortejaar AS birth_year FROM authority WHERE cast(id_persoon AS int) % 4 <> 1)"""
+
+
+@_query(
+    """SELECT a.delegate_id, CASE WHEN p.delegate_id IS NULL THEN e.geslachtsnaam || coalesce(', ' || e.voornaam, '') WHEN trim(p.fullname) <> '' THEN p.fullname WHEN e.delegate_id IS NULL THEN p.fullname ELSE e.geslachtsnaam || coalesce(', ' || e.voornaam, '') END AS fullname,
+  coalesce(l.patterns, p.pattern) AS patterns
+FROM (SELECT DISTINCT delegate_id FROM fixed WHERE delegate_id NOT IN ('-1', '-20')) a LEFT JOIN persons p ON a.delegate_id = p.delegate_id LEFT JOIN extra e ON a.delegate_id = e.delegate_id
+  LEFT JOIN (SELECT delegate_id, string_agg(DISTINCT pattern, ';' ORDER BY pattern) AS patterns FROM fixed WHERE pattern IS NOT NULL GROUP BY delegate_id) l ON a.delegate_id = l.delegate_id
+WHERE p.delegate_id IS NOT NULL OR e.delegate_id IS NOT NULL""",
+    FOLDED, ", fixed AS (SELECT coalesce(f.to_id, x.delegate_id) AS delegate_id, x.pattern FROM occurrences x LEFT JOIN folded f ON x.row_id = f.row_id)", _EXTRA,
+)
+def unique_persons(t):
+    p = t("persons").withColumns({c: F.lit(None).cast("string") for c in ("geslachtsnaam", "voornaam")})
+    root = f"{shared_folder(p.sparkSession)}/unique-{uuid.uuid4().hex}"
+    export_unique_persons(t("occurrences"), t("corrections"), p, t("extra", _EXTRA), ["geslachtsnaam", "voornaam"], root)
+    return snapshots.read(p.sparkSession, root, "persons").select("delegate_id", "fullname", "patterns")
+
+
+_SCORED = f"""scored AS (SELECT f.delegate_id, f.pattern, {_apart("f.pattern", "modal")} AS score, f.pattern LIKE 'vau %' AS label FROM freq f JOIN modals m ON f.delegate_id = m.delegate_id)"""
+
+
+def _scored(t):
+    m = _merged(t)
+    return S.pattern_frequency(m).join(S.modal_patterns(m), "delegate_id").select("delegate_id", "pattern", X.distance(F.col("pattern"), F.col("modal")).alias("score"), F.startswith("pattern", F.lit("vau ")).alias("label"))
+
+
+_SAMPLE = f""",
+{_SCORED},
+zone AS (SELECT pattern, score, min(delegate_id) AS delegate_id, CASE WHEN abs(score * 10000 - floor(score * 10000) - 0.5) < 1e-7 THEN floor(score * 10000) + floor(score * 10000) % 2 ELSE floor(score * 10000 + 0.5) END AS p FROM scored WHERE score BETWEEN 0.1 AND 0.9 AND NOT pattern LIKE '%red%' GROUP BY pattern, score),
+cuts AS (SELECT quantile_cont(p, 0.25) AS a, quantile_cont(p, 0.5) AS b, quantile_cont(p, 0.75) AS c, count(*) AS n FROM zone),
+quarters AS (SELECT z.*, 1 + (p > a)::INT + (p > b)::INT + (p > c)::INT AS quartile, n FROM zone z, cuts),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY quartile ORDER BY md5('0:' || pattern), pattern, score) AS place, greatest(1, round_even(40 * count(*) OVER (PARTITION BY quartile) / n, 0)) AS take FROM quarters)"""
+
+
+@_query("SELECT pattern, score, quartile, place, CASE WHEN place <= round_even(take * 0.2, 0) THEN 'test' ELSE 'train' END AS split FROM drawn WHERE place <= take", MERGED, MODAL, _SAMPLE)
+def labelling_sample(t):
+    zone = E.ambiguous_zone(_scored(t), 0.1, 0.9).filter("NOT pattern LIKE '%red%'")
+    return E.stratified_sample(zone, 40).select("pattern", "score", "quartile", "place", "split")
+
+
+@_query("SELECT label, count(*) AS n, min(score) AS min, max(score) AS max FROM scored GROUP BY label", MERGED, MODAL, f", {_SCORED}")
+def score_description(t):
+    return E.describe_scores(_scored(t)).select("label", "n", "min", "max")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in _FOUND.items()}
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.columns import canonical_id, clean_strings, trim_column_names
 from quillmark.operators.corrections import apply_corrections, changed_rows, fold
+from quillmark.sources import snapshots
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -121,19 +123,38 @@ def read_province_order(spark: SparkSession, path: str) -> DataFrame:
     return _text(spark, path).select(F.posexplode(F.from_json("value", "array<string>")).alias("prov_rank", "provincie"))
 
 
-def read_supplement(spark: SparkSession, options: dict[str, str], ids: DataFrame, key: str = "delegate_id", deleted: str | None = "deleted_at") -> DataFrame:
-    """S-IO15: a JDBC table by ``options`` (url, dbtable, user, password and so on come from the caller), only live rows of the given ids."""
+def read_supplement(spark: SparkSession, options: dict[str, str], ids: DataFrame, key: str = "delegate_id", deleted: str | None = "deleted_at", partitions: int = 16) -> DataFrame:
+    """S-IO15: a JDBC table by ``options`` (url, dbtable, user, password and so on come from the caller), only live rows of the given ids.
+
+    Where the key is a number in the database, only the range of the ids that are asked for is read, in
+    ``partitions`` ranges by as many connections at most, and the database filters; two numbers come to
+    the driver for that. Text keys are read by one connection.
+    """
     rows = spark.read.format("jdbc").options(**options).load()
+    if dict(rows.dtypes)[key].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "decimal"):
+        number = canonical_id(F.col(key)).try_cast("long")
+        low, high = ids.agg(F.min(number), F.max(number)).first()
+        if low is None:
+            return rows.withColumn(key, canonical_id(F.col(key))).filter(F.lit(False))
+        parts = max(1, min(partitions, high - low + 1))
+        ranges = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(parts)}
+        rows = spark.read.format("jdbc").options(**options, **(ranges if parts > 1 else {})).load().filter(F.col(key).between(low, high))
     rows = rows if deleted is None else rows.filter(F.col(deleted).isNull())
-    return rows.withColumn(key, canonical_id(F.col(key))).join(ids.select(key), key, "left_semi")
+    return rows.withColumn(key, canonical_id(F.col(key))).join(ids.select(canonical_id(F.col(key)).alias(key)).distinct(), key, "left_semi")
+
+
+def latest_path(spark: SparkSession, glob: str) -> str:
+    """S-IO16: the path whose name sorts last, as dated names do; the file system lists names, no row is read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    if not found:
+        raise FileNotFoundError(glob)
+    return max(found, key=lambda s: s.getPath().getName()).getPath().toString()
 
 
 def read_latest(spark: SparkSession, glob: str) -> DataFrame:
-    """S-IO16: the rows of the file whose name sorts last, as dated names do."""
-    df = spark.read.parquet(glob) if not glob.endswith(".csv") else spark.read.option("header", True).csv(glob)
-    named = df.select("*", F.col("_metadata.file_name").alias("_file"))
-    last = named.agg(F.max("_file")).first()[0]  # one name
-    return named.filter(F.col("_file") == last).drop("_file")
+    """S-IO16: the rows of the file or folder whose name sorts last."""
+    return read_first(spark, [latest_path(spark, glob)])[0]
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -143,11 +164,24 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", keys: list[str] | None = None, order: list[Column | str] | None = None) -> None:
-    """S-IO20 to S-IO23, S-IO25: one row for each key if keys are given; parquet, csv (with header) or json."""
+    """S-IO20 to S-IO23: one row for each key if keys are given; parquet, csv (with header) or json.
+
+    The rows are written beside the path and take its place by renames when they are whole, so ``df`` may
+    read the same path, and a failed job leaves what was there. Between two renames the path is missing
+    for a moment: tables that are read meanwhile belong in ``snapshots``.
+    """
     out = df.dropDuplicates(keys) if keys else df
     out = out.sortWithinPartitions(*order) if order else out
-    w = out.write.mode("overwrite")
-    {"parquet": w.parquet, "csv": w.option("header", True).csv, "json": w.json}[kind](path)
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    new, old, place = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{mark}", f"{path}.old-{mark}", path))
+    w = out.write
+    {"parquet": w.parquet, "csv": w.option("header", True).csv, "json": w.json}[kind](f"{path}.new-{mark}")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place):
+        files.rename(place, old)
+    if not files.rename(new, place):
+        raise OSError(f"could not rename {new} to {path}")
+    files.delete(old, True)
 
 
 def write_corrected(occurrences: DataFrame, corrections: DataFrame, path: str) -> None:
@@ -165,11 +199,14 @@ def reviewed_report(summary: DataFrame, reviewed: DataFrame, path: str) -> None:
     write_table(summary.join(reviewed.select("delegate_id"), "delegate_id", "left_semi"), path, "csv")
 
 
-def write_staged(existing: DataFrame, new: DataFrame, path: str) -> None:
-    """S-IO24: staged corrections as JSON, the latest of each row."""
-    both = existing.unionByName(new, allowMissingColumns=True)
-    best = F.max_by(F.struct(*both.columns), F.struct("updated_at", "to_id"))
-    write_table(both.groupBy("row_id").agg(best.alias("c")).select("c.*"), path, "json")
+def write_staged(new: DataFrame, root: str) -> int:
+    """S-IO24: staged corrections merged into the last version of ``root`` as JSON, the latest of each row; the version's number."""
+    return snapshots.merge(new, root, "staged", ["row_id"], ["updated_at", "to_id"], "json")
+
+
+def write_decisions(new: DataFrame, root: str, name: str, keys: list[str]) -> int:
+    """S-IO25: a rule or decision table merged into the last version of ``root``: a new row takes the place of that with its keys."""
+    return snapshots.merge(new, root, name, keys)
 
 
 def write_unique_persons(persons: DataFrame, path: str) -> None:

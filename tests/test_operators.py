@@ -13,7 +13,7 @@ from quillmark.operators import registry as R
 from quillmark.operators import sequence as W
 from quillmark.operators import signals as S
 from quillmark.operators import suggest as G
-from quillmark.sources import io
+from quillmark.sources import io, snapshots
 
 ROWS = "row_id long, delegate_id string, pattern string, date date, j int, offset_ long, class string, namens string"
 
@@ -291,8 +291,9 @@ def test_writers(spark, tmp_path):
     io.write_changed(o, c, str(tmp_path / "n"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {(1, "b"), (2, "y")}
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "n")).collect()] == [(1, "x", "b")]
-    io.write_staged(c, c.withColumn("to_id", F.lit("z")).withColumn("updated_at", F.lit("2")), str(tmp_path / "s"))
-    assert [r.to_id for r in spark.read.json(str(tmp_path / "s")).collect()] == ["z"]
+    io.write_staged(c, str(tmp_path / "s"))
+    io.write_staged(c.withColumn("to_id", F.lit("z")).withColumn("updated_at", F.lit("2")), str(tmp_path / "s"))
+    assert [r.to_id for r in snapshots.read(spark, str(tmp_path / "s"), "staged").collect()] == ["z"]
 
 
 def test_null_and_empty_inputs(spark):

@@ -16,9 +16,8 @@ def test_sql(spark, name):
     compare(spark, queries.queries()[name], queries.oracle_sql()[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(queries.oracle_sql())))
-def test_runs(spark, name):
-    assert queries.queries()[name](spark, SF).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(queries.queries()) == set(queries.oracle_sql())
 
 
 def test_entry(spark):
