@@ -87,12 +87,13 @@ def lifespan(c: Column) -> tuple[Column, Column]:
 
 
 def day_key(date: Column | None, year: Column | None = None, month: Column | None = None, day: Column | None = None) -> Column:
-    """X-16: the date, else year-month-day parts, else the first day of the year."""
+    """X-16: the date, else year, month and day if all three are there, else the first day of the year."""
     ways = []
     if date is not None:
         ways.append(date.cast("string").try_cast("timestamp").cast("date"))
     if year is not None and month is not None and day is not None:
-        ways.append(F.concat_ws("-", *(as_int(p).cast("string") for p in (year, month, day))).try_cast("date"))
+        parts = [as_int(p).cast("string") for p in (year, month, day)]
+        ways.append(F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date"))
     if year is not None:
         ways.append(F.concat(F.lpad(as_int(year).cast("string"), 4, "0"), F.lit("-01-01")).try_cast("date"))
     return F.coalesce(*ways)

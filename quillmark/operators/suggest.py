@@ -39,8 +39,8 @@ class Found(NamedTuple):
     candidates: DataFrame
 
 
-def _terms(df: DataFrame, key: str, weight: Column) -> DataFrame:
-    """``space, key, term, n``: term counts of ``df(key, pattern)``."""
+def terms_of(df: DataFrame, key: str, weight: Column) -> DataFrame:
+    """X-22: ``space, key, term, n``: term counts of ``df(key, pattern)``, each pattern counted ``weight`` times."""
     spaces = [("char", char_ngrams(F.col("pattern"))), ("word", word_ngrams(F.col("pattern")))]
     tagged = lambda s, terms: F.transform(terms, lambda x: F.struct(F.lit(s).alias("space"), x.alias("term")))
     each = F.explode(F.flatten(F.array(*(tagged(s, t) for s, t in spaces))))
@@ -60,7 +60,10 @@ def build_store(merged: DataFrame, province: str = "namens", include_generated:
     patterns = labelled.groupBy("delegate_id", "pattern").agg(F.count("*").alias("n"))
     years = labelled.groupBy("delegate_id").agg(F.min("j").alias("first_year"), F.max("j").alias("last_year"), F.mode(province, True).alias("provincie"))
     meta = written(years.withColumn("pid", F.monotonically_increasing_id()))
-    counts = written(_terms(patterns, "delegate_id", F.col("n")).join(meta.select("delegate_id", "pid"), "delegate_id"))
+    # Many persons share patterns, so each is cut into terms once.
+    cut = terms_of(patterns.select("pattern", F.col("pattern").alias("q")).distinct(), "q", F.lit(1)).select("q", "space", "term", F.col("n").alias("c"))
+    counts = patterns.join(meta.select("delegate_id", "pid"), "delegate_id").join(cut, F.col("pattern") == F.col("q"))
+    counts = written(counts.groupBy("space", "pid", "term").agg(F.sum(F.col("n") * F.col("c")).alias("n")))
     total = meta.count()  # one number
     idf = counts.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), F.count("*").alias("df"))
     idf = written(idf.withColumn("tid", F.monotonically_increasing_id()))
@@ -74,7 +77,7 @@ def build_store(merged: DataFrame, province: str = "namens", include_generated:
 
 def _asked_terms(patterns: DataFrame, store: Store, weights: dict[str, float]) -> DataFrame:
     """``qid, tid, space, df, top, wq`` of ``patterns(qid, pattern)``; the weight of the space is part of ``wq``."""
-    raw = _terms(patterns, "qid", F.lit(1)).join(store.terms, ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
+    raw = terms_of(patterns, "qid", F.lit(1)).join(store.terms, ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
     norms = raw.groupBy("space", "qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     share = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("space")]
     return raw.join(norms, ["space", "qid"]).select("qid", "tid", "space", "df", "top", F.round(share * F.col("w") / F.col("norm") * SCALE).cast("long").alias("wq"))

@@ -701,6 +701,155 @@ def score_description(t):
     return E.describe_scores(_scored(t)).select("label", "n", "min", "max")
 
 
+@_query("SELECT * FROM persons WHERE coalesce(regexp_matches(fullname, '(?i)ro'), false) OR coalesce(regexp_matches(delegate_id, '(?i)ro'), false)")
+def search_name(t):
+    return Q.search_name_or_id(t("persons"), "ro")
+
+
+@_query("SELECT row_id, namens, j FROM merged WHERE namens IN ('ASIA', 'EUROPE', 'unknown') AND j BETWEEN 1994 AND 1996", MERGED)
+def province_years(t):
+    return R.province_year_filter(_merged(t), ["ASIA", "EUROPE", "unknown"], 1994, 1996).select("row_id", "namens", "j")
+
+
+@_query("SELECT row_id, delegate_id, pattern FROM merged WHERE delegate_id = '25' UNION ALL SELECT NULL, delegate_id, pattern FROM persons WHERE delegate_id = '25' AND delegate_id NOT IN (SELECT delegate_id FROM merged)", MERGED)
+def person_rows(t):
+    return R.slice_or_person(_merged(t), t("persons"), "25").select("row_id", "delegate_id", "pattern")
+
+
+_SYNONYMS = """,
+synonyms AS (SELECT delegate_id, ARRAY(pattern, 'vau ' || pattern) AS patterns, 5 AS freq_a, 1 AS freq_b FROM persons WHERE cast(delegate_id AS int) % 3 = 0)"""
+
+
+@_query("SELECT delegate_id, CASE WHEN n_rows > 0 AND cast(delegate_id AS INTEGER) % 3 = 0 THEN greatest(n_patterns - 1, 1) WHEN n_rows > 0 THEN greatest(n_patterns, 1) ELSE 0 END AS n_patterns FROM summary", MERGED, FILLED, _SUMMARY)
+def patterns_without_ghosts(t):
+    return S.person_summary(_merged(t), t("persons"), t("synonyms", _SYNONYMS)).select("delegate_id", "n_patterns")
+
+
+@_query("SELECT m.delegate_id, m.pattern AS part, count(*) AS n, min(j) AS first_year, max(j) AS last_year, count(c.row_id) AS n_corrected FROM merged m LEFT JOIN (SELECT DISTINCT row_id FROM corrections) c ON m.row_id = c.row_id WHERE pattern IS NOT NULL GROUP BY ALL", MERGED)
+def unique_patterns(t):
+    return S.unique_patterns(_merged(t), t("corrections")).drop("mean_distance")
+
+
+@_query("SELECT pattern, label FROM (SELECT pattern, namens AS label, count(*) AS n FROM occurrences GROUP BY ALL) WHERE pattern IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY n DESC, label) = 1")
+def majority_labels(t):
+    return E.majority_label(t("occurrences").filter("pattern IS NOT NULL").select("pattern", F.col("namens").alias("label")))
+
+
+@_query("SELECT threshold, count(*) FILTER (score <= threshold) AS n FROM scored, (SELECT unnest([0.1::DOUBLE, 0.2, 0.4, 0.8]) AS threshold) GROUP BY threshold", MERGED, MODAL, f", {_SCORED}")
+def candidates_by_threshold(t):
+    return E.candidates_by_threshold(_scored(t), [0.1, 0.2, 0.4, 0.8])
+
+
+@_query("SELECT delegate_id, fullname FROM persons")
+def name_lookup(t):
+    return R.name_lookup(t("persons"))
+
+
+@_query("SELECT f.* FROM freq f WHERE NOT (pattern LIKE 'vau %' AND delegate_id IN (SELECT delegate_id FROM persons))", MERGED, MODAL)
+def without_dismissed(t):
+    found = S.pattern_frequency(_merged(t))
+    return C.without_dismissed(found, found.filter("pattern LIKE 'vau %'").join(t("persons").select("delegate_id"), "delegate_id", "left_semi"))
+
+
+_REVIEW = """,
+review AS (SELECT DISTINCT CASE WHEN row_id % 10 = 0 THEN 'never seen' ELSE pattern END AS pattern, delegate_id, '1' AS to_id, row_id % 3 <> 0 AS confirmed FROM occurrences WHERE row_id % 5 = 0 AND pattern IS NOT NULL AND delegate_id IS NOT NULL)"""
+
+
+@_query("SELECT DISTINCT x.row_id, r.to_id FROM occurrences x JOIN review r ON x.pattern = r.pattern AND x.delegate_id = r.delegate_id WHERE confirmed", _REVIEW)
+def confirmed_rows(t):
+    return C.confirmed_rows(t("occurrences"), t("review", _REVIEW)).select("row_id", "to_id")
+
+
+@_query("SELECT pattern, delegate_id FROM review r WHERE confirmed AND NOT EXISTS (SELECT 1 FROM occurrences x WHERE x.pattern = r.pattern AND x.delegate_id = r.delegate_id)", _REVIEW)
+def unmatched_review(t):
+    return C.unmatched_review(t("occurrences"), t("review", _REVIEW)).select("pattern", "delegate_id")
+
+
+_FALSE = """,
+truth AS (SELECT DISTINCT upper(pattern) || ' ' AS pattern, pattern LIKE 'vau %' AS label FROM occurrences WHERE pattern LIKE 'vau %' OR pattern LIKE 'l%'),
+rejected AS (SELECT DISTINCT pattern FROM occurrences WHERE pattern IS NOT NULL AND NOT pattern LIKE 'Lunae%')"""
+
+
+@_query("SELECT pattern, CASE WHEN pattern LIKE 'vau %' THEN 'false_negative' WHEN pattern LIKE 'l%' THEN 'right' ELSE 'unlabelled' END AS outcome FROM rejected", _FALSE)
+def false_negatives(t):
+    return E.false_negatives(t("rejected", _FALSE), t("truth", _FALSE)).select("pattern", "outcome")
+
+
+@_query(
+    "SELECT raw AS pattern, b.delegate_id, lp AS left_person, rp AS right_person, x.anchor AS left_anchor, y.anchor AS right_anchor FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY delegate_id, raw ORDER BY score, row_id) = 1) b LEFT JOIN anchors x ON lp = x.delegate_id LEFT JOIN anchors y ON rp = y.delegate_id",
+    MERGED, MODAL, CLEAN, CONCAT,
+)
+def concat_anchors(t):
+    m = written(_merged(t))
+    table = D.anchor_table(m)
+    return D.with_anchors(D.detect_concat(m, table)[0], table.anchors).select("pattern", "delegate_id", "left_person", "right_person", "left_anchor", "right_anchor")
+
+
+@_query("SELECT a.row_id, 'staged' AS tier, person AS to_id, o.delegate_id AS from_id, p.fullname AS name, 'suggestion' AS source FROM asked a JOIN ranked r ON a.row_id = r.row_id JOIN occurrences o ON a.row_id = o.row_id LEFT JOIN persons p ON p.delegate_id = person WHERE place = 1 AND score >= 0.8", MERGED, _SUGGESTED)
+def accepted_suggestions(t):
+    rows = R.unresolved(t("occurrences"))
+    found = written(G.suggest(rows, G.build_store(written(_merged(t)))))
+    return C.accept_suggestions(rows.select("row_id", "delegate_id"), found, t("persons"), 0.8).drop("updated_at")
+
+
+_DECISIONS = """,
+before AS (SELECT DISTINCT pattern, delegate_id, true AS valid FROM occurrences WHERE row_id % 4 = 0 AND pattern IS NOT NULL AND delegate_id IS NOT NULL),
+after AS (SELECT DISTINCT pattern, delegate_id, false AS valid FROM occurrences WHERE row_id % 6 = 0 AND pattern IS NOT NULL AND delegate_id IS NOT NULL)"""
+
+
+@_query("SELECT * FROM after UNION ALL SELECT * FROM before b WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.pattern = b.pattern AND a.delegate_id = b.delegate_id)", _DECISIONS)
+def decisions(t):
+    return C.add_decisions(t("before", _DECISIONS), t("after", _DECISIONS), ["pattern", "delegate_id"])
+
+
+def _parts(c: str) -> str:
+    """Prefix and core of a text in lower case."""
+    return f"(SELECT x AS {c}, coalesce(prefix, '') AS {c}_p, trim(regexp_replace(x, '{_PREFIX}', '')) AS {c}_c FROM (SELECT DISTINCT lower(trim({c})) AS x FROM named) LEFT JOIN canonical ON lower(regexp_extract(x, '{_PREFIX}', 1)) = variant)"
+
+
+_NORMALISED = "CASE WHEN {0}_p = '' THEN {0}_c WHEN {0}_c = '' THEN {0}_p ELSE {0}_p || ' ' || {0}_c END"
+#: Whole and core of each pattern and of its person's own.
+_NAMED = f"""{_CANONICAL},
+named AS (SELECT DISTINCT pattern AS a, pattern_p AS b FROM merged WHERE pattern IS NOT NULL AND pattern_p IS NOT NULL),
+left_parts AS (SELECT a, {_NORMALISED.format("a")} AS a_n FROM {_parts("a")}),
+right_parts AS (SELECT b, {_NORMALISED.format("b")} AS b_n FROM {_parts("b")}),
+cored AS (
+  SELECT n.a, n.b, a_n, b_n, trim(regexp_replace(a_n, '{_PREFIX}', '')) AS a_c, trim(regexp_replace(b_n, '{_PREFIX}', '')) AS b_c
+  FROM named n JOIN left_parts l ON lower(trim(n.a)) = l.a JOIN right_parts r ON lower(trim(n.b)) = r.b)"""
+
+
+@_query(
+    f"""SELECT a AS pattern, b AS own, least({_apart("a_n", "b_n")}, CASE WHEN a_c = '' OR b_c = '' THEN 1.0 ELSE {_apart("a_c", "b_c")} END, CASE WHEN a_c = '' THEN 1.0 ELSE {_apart("a_c", "b_n")} END, CASE WHEN b_c = '' THEN 1.0 ELSE {_apart("a_n", "b_c")} END) AS distance FROM cored""",
+    MERGED, _NAMED,
+)
+def prefix_distances(t):
+    names = _merged(t).filter("pattern IS NOT NULL AND pattern_p IS NOT NULL").select("pattern", F.col("pattern_p").alias("own")).distinct()
+    return names.withColumn("distance", N.prefix_distance(F.col("pattern"), F.col("own")))
+
+
+@_query("SELECT DISTINCT n.a AS pattern, a_n AS normalised, a_c AS core FROM cored n", MERGED, _NAMED)
+def prefix_normal_forms(t):
+    names = _merged(t).filter("pattern IS NOT NULL AND pattern_p IS NOT NULL").select("pattern").distinct()
+    low = F.lower(F.trim("pattern"))
+    return names.select("pattern", N.normalise_prefix(low).alias("normalised"), N.core(low).alias("core"))
+
+
+_DAYS = """,
+days AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN cast(date AS string) WHEN row_id % 3 = 1 THEN 'no day' END AS day, CASE WHEN row_id % 5 = 0 THEN NULL ELSE month(date) END AS m, day(date) AS d, j FROM occurrences)"""
+
+
+@_query("SELECT row_id, coalesce(try_cast(day AS DATE), try_cast(cast(j AS VARCHAR) || '-' || lpad(cast(m AS VARCHAR), 2, '0') || '-' || lpad(cast(d AS VARCHAR), 2, '0') AS DATE), try_cast(cast(j AS VARCHAR) || '-01-01' AS DATE)) AS day FROM days", _DAYS)
+def day_keys(t):
+    return t("days", _DAYS).select("row_id", X.day_key(F.col("day"), F.col("j"), F.col("m"), F.col("d")).alias("day"))
+
+
+@_query("SELECT space, term, count(DISTINCT pattern) AS n_patterns, sum(c)::BIGINT AS n FROM tf GROUP BY ALL", MERGED, _SUGGESTED)
+def ngram_counts(t):
+    known = _merged(t).filter("pattern IS NOT NULL AND try_cast(delegate_id AS double) > 0").select("pattern").union(R.unresolved(t("occurrences")).filter("pattern IS NOT NULL").select("pattern")).distinct()
+    terms = G.terms_of(known.withColumn("q", F.col("pattern")), "q", F.lit(1))
+    return terms.groupBy("space", "term").agg(F.count_distinct("q").alias("n_patterns"), F.sum("n").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in _FOUND.items()}
 
