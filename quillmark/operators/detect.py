@@ -17,6 +17,8 @@ from quillmark.operators.signals import ghost_patterns, modal_patterns, pattern_
 # Thresholds of the detectors.
 T_CONCAT, T_FRAGMENT, T_COMPOUND = 0.35, 0.15, 0.25
 MIN_LENGTH_RATIO, FRAGMENT_LENGTH, MIN_PATTERNS, WINDOW = 1.4, 0.75, 3, 2
+#: Edits under which nearest anchors are looked for by index, rising.
+EDITS = (0, 1, 3)
 
 
 class Anchors(NamedTuple):
@@ -222,19 +224,65 @@ def detect_all(merged: DataFrame, synonyms: DataFrame | None = None, scope: Data
     return (*detect_concat(merged, table, scope), detect_fragments(merged, table, scope))
 
 
+def edit_pairs(asked: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """``asked(..., kind, form, len)`` joined to ``known(kind, known, known_len)`` where at most ``most`` edits lie between the forms, with ``d``.
+
+    A known form is cut into ``most + 1`` segments. Edits can't touch all of them, so one stands unchanged in
+    the asked form, at most ``most`` places from where it was: the join is by length, segment and its text,
+    and candidates are verified. Known forms with fewer characters than segments are met by length.
+    """
+    cuts = most + 1
+    start = lambda i: F.floor(F.col("known_len") * i / cuts).cast("int")
+    piece = lambda i: F.struct(F.lit(i).alias("i"), F.substring("known", start(i) + 1, start(i + 1) - start(i)).alias("text"))
+    parts = known.filter(F.col("known_len") >= cuts).withColumn("s", F.explode(F.array(*(piece(i) for i in range(cuts)))))
+    parts = parts.select("kind", "known", "known_len", F.col("s.i").alias("i"), F.col("s.text").alias("text"))
+
+    def places(i: int) -> Column:
+        size = start(i + 1) - start(i)
+        low, high = F.greatest(start(i) - most, F.lit(0)), F.least(start(i) + most, F.col("len") - size)
+        at = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda p: F.struct(F.lit(i).alias("i"), F.substring(F.col("form"), p + 1, size).alias("text"))))
+
+    lengths = asked.withColumn("known_len", F.explode(F.sequence(F.greatest(F.col("len") - most, F.lit(0)), F.col("len") + most)))
+    grams = lengths.filter(F.col("known_len") >= cuts).withColumn("s", F.explode(F.flatten(F.array(*(places(i) for i in range(cuts))))))
+    grams = grams.select(*asked.columns, "known_len", F.col("s.i").alias("i"), F.col("s.text").alias("text"))
+    near = F.expr(f"levenshtein(form, known, {most}) >= 0")
+    on = lambda x, y, keys: [*(x[c] == y[c] for c in keys), near]
+    columns = [*asked.columns, "known", "known_len"]
+    met = grams.join(parts.select("*"), on(grams, parts, ["kind", "known_len", "i", "text"])).select(*(grams[c] for c in asked.columns), parts["known"], parts["known_len"])
+    small = known.filter(F.col("known_len") < cuts)
+    few = lengths.filter(F.col("known_len") < cuts)
+    met = met.unionByName(few.join(small, on(few, small, ["kind", "known_len"])).select(*(few[c] for c in asked.columns), small["known"], small["known_len"])).select(*columns).distinct()
+    return met.withColumn("d", F.levenshtein("form", "known"))
+
+
 def compound_scores(merged: DataFrame, anchors: DataFrame, within: float | None = None) -> DataFrame:
     """D-05: the least distance of each distinct pattern to any anchor, whole to whole or bare to bare.
 
-    A pattern meets only anchors of lengths that a distance under a bound allows; patterns that find none
-    are asked again under a wider bound, and the last bound allows all. With ``within`` the search ends
-    there, and farther patterns have null.
+    Patterns that are an anchor leave first, then those with an anchor a few edits away, found by
+    ``edit_pairs``: whatever was not found is k + 1 edits away or more, which is (k + 1) / (length + k + 1)
+    at least, so a pattern is settled once its best is no worse. The rest meets anchors of the lengths that
+    a distance under a bound allows, under wider and wider bounds; the last allows all. With ``within`` the
+    search ends there, and farther patterns have null.
     """
-    patterns = clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct()
-    patterns = written(patterns)
-    known = _forms(anchors.select("anchor").distinct(), "anchor", True).select("kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
-    known = written(known)
+    patterns = written(clean_rows(merged).select(normalise(F.col("pattern")).alias("pattern")).distinct())
+    known = written(_forms(anchors.select("anchor").distinct(), "anchor", True).select("kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct())
     bounds = [T_COMPOUND, 0.5, 0.75, 1.0] if within is None else [within]
     best, left = None, patterns
+
+    def settle(found: DataFrame) -> None:
+        nonlocal best, left
+        found = written(found)
+        best = found if best is None else best.unionByName(found)
+        left = written(left.join(found.select("pattern"), "pattern", "left_anti"))
+
+    for most in EDITS:
+        asked = _forms(left, "pattern", True)
+        pairs = edit_pairs(asked, known, most) if most else asked.join(known, (asked["kind"] == known["kind"]) & (asked["form"] == known["known"])).select(asked["pattern"], asked["len"], known["known_len"], F.lit(0).alias("d"))
+        longest = F.greatest("len", "known_len")
+        scores = pairs.groupBy("pattern").agg(F.min(F.when(longest == 0, F.lit(0.0)).otherwise(F.col("d") / longest)).alias("compound_score"))
+        other = asked.groupBy(F.col("pattern").alias("_p")).agg((F.lit(most + 1.0) / (F.max("len") + most + 1)).alias("_other"))
+        settle(scores.join(other, F.col("pattern") == F.col("_p")).filter(F.col("compound_score") <= F.col("_other")).select("pattern", "compound_score"))
     for bound in bounds:
         asked = _forms(left, "pattern", True)
         if bound < 1:
@@ -242,12 +290,9 @@ def compound_scores(merged: DataFrame, anchors: DataFrame, within: float | None
             asked = asked.withColumn("known_len", F.explode(F.sequence(F.least(low, high), F.greatest(low, high))))
         else:
             asked = asked.withColumn("known_len", F.explode(F.sequence(F.lit(0), F.lit(known.agg(F.max("known_len")).first()[0] or 0))))
-        found = _near(asked, known, ["known_len"], bound).groupBy("pattern").agg(F.min("s").alias("compound_score"))
-        best = found if best is None else best.unionByName(found)
-        if bound < bounds[-1]:
-            best = written(best)
-            left = written(left.join(best.select("pattern"), "pattern", "left_anti"))
-    return patterns.join(best, "pattern", "left")
+        settle(_near(asked, known, ["known_len"], bound).groupBy("pattern").agg(F.min("s").alias("compound_score")))
+    near = best if within is None else best.filter(F.col("compound_score") <= within)
+    return patterns.join(near, "pattern", "left")
 
 
 def suspicious_lengths(merged: DataFrame, table: Anchors, least: float = 1.5, invalid: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:

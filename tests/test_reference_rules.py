@@ -302,3 +302,33 @@ def test_supplement_is_read_by_ranges_of_the_ids(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(DELEGATE_ID,50)" in plan.upper().replace("GREATERTHANOREQUAL", "GreaterThanOrEqual") and "numPartitions=15" in plan
     assert io.read_supplement(spark, options, ids.limit(0)).count() == 0
+
+
+def test_edit_pairs_and_nearest_anchors(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    known, asked = {word(rng.randint(0, 9)) for _ in range(60)}, {word(rng.randint(0, 11)) for _ in range(60)}
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = following(row, i, x, b)
+        return row[-1]
+
+    def following(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    a = frame(spark, "kind string, form string, len int", *(("whole", x, len(x)) for x in asked))
+    k = frame(spark, "kind string, known string, known_len int", *(("whole", x, len(x)) for x in known))
+    for most in (1, 2, 3):
+        got = [(r["form"], r.known, r.d) for r in D.edit_pairs(a, k, most).collect()]
+        want = {(x, y, apart(x, y)) for x in asked for y in known if apart(x, y) <= most}
+        assert len(got) == len(set(got)) and set(got) == want
+    m = frame(spark, "row_id long, delegate_id string, pattern string, offset_ long", *((i, "1", x, 1) for i, x in enumerate(asked)))
+    anchors = frame(spark, "delegate_id string, anchor string", *((str(i), x) for i, x in enumerate(known)))
+    score = lambda x: min(apart(x, y) / max(len(x), len(y), 1) for y in known)
+    assert {r.pattern: r.compound_score for r in D.compound_scores(m, anchors).collect()} == {x: pytest.approx(score(x)) for x in asked}
+    assert {r.pattern: r.compound_score for r in D.compound_scores(m, anchors, within=0.3).collect()} == {x: pytest.approx(score(x)) if score(x) <= 0.3 else None for x in asked}
