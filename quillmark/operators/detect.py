@@ -18,7 +18,7 @@ from quillmark.operators.signals import ghost_patterns, modal_patterns, pattern_
 T_CONCAT, T_FRAGMENT, T_COMPOUND = 0.35, 0.15, 0.25
 MIN_LENGTH_RATIO, FRAGMENT_LENGTH, MIN_PATTERNS, WINDOW = 1.4, 0.75, 3, 2
 #: Edits under which nearest anchors are looked for by index, rising.
-EDITS = (0, 1, 3)
+EDITS = (0, 1)
 
 
 class Anchors(NamedTuple):
@@ -130,27 +130,60 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
     B: the left half is the person's own anchor; C: the right half is. Each half may be ``t_concat``
     away; the score is the mean. Ties: earliest split, then A before B before C, then the earlier row.
     """
-    rows = merged if scope is None else scope
+    ready = _prepared(merged, table, merged if scope is None else scope, t_concat, t_compound, window, ratio, [strip], compound_against)
+    return _judged(merged, ready, strip, t_concat)
+
+
+class _Ready(NamedTuple):
+    """What the scorers share: candidate rows without a neighbour and with one, who stands near, splits, and both scores of each (person, half)."""
+
+    lonely: DataFrame
+    rest: DataFrame
+    near: DataFrame
+    halves: DataFrame
+    scores: DataFrame
+
+
+def _reject(df: DataFrame, why: str) -> DataFrame:
+    return df.select("row_id", "delegate_id", F.col("raw").alias("pattern"), F.coalesce("anchor", F.lit("")).alias("anchor"), F.lit(why).alias("reason"))
+
+
+def _prepared(merged: DataFrame, table: Anchors, rows: DataFrame, t_concat: float, t_compound: float, window: int, ratio: float, strips: list[bool], compound_against: str) -> _Ready:
+    """One pass over candidates, neighbours and halves for all ``strips``; ``rest`` has ``compound_whole`` and ``compound_any``, ``scores`` has ``s_whole`` and ``s_any``."""
     table = table._replace(anchors=written(table.anchors), patterns=written(table.patterns), positions=written(table.positions.select("row_id", "date", "rank", "delegate_id")))
     candidates = written(concat_prefilter(rows, table.anchors, ratio))
     known = table.patterns.filter("pattern <> ''").select(F.col("delegate_id").alias("person"), F.col("pattern").alias("name"))
     near = _candidate_neighbours(candidates, table.positions, window, rows).join(known.select("person").distinct(), "person", "left_semi")
     near = written(near)
-    reject = lambda df, why: df.select("row_id", "delegate_id", F.col("raw").alias("pattern"), F.coalesce("anchor", F.lit("")).alias("anchor"), F.lit(why).alias("reason"))
-    lonely = reject(candidates.join(near.select("row_id"), "row_id", "left_anti"), "no_neighbors")
+    lonely = _reject(candidates.join(near.select("row_id"), "row_id", "left_anti"), "no_neighbors")
     rest = candidates.join(near.select("row_id").distinct(), "row_id", "left_semi")
 
     own = table.patterns.withColumnRenamed("pattern", "own_pattern")
     against = {"anchor": F.col("own_pattern") == F.col("anchor"), "other_patterns": F.col("own_pattern") != F.col("pattern"), "all": F.lit(True)}[compound_against]
-    compound = rest.select("delegate_id", "pattern", "anchor").distinct().join(own, "delegate_id").filter(against & (_least(F.col("pattern"), F.col("own_pattern"), strip) <= t_compound)).select("delegate_id", "pattern").distinct()
-    spared = reject(rest.join(compound, ["delegate_id", "pattern"], "left_semi"), "compound_name")
-    open_ = written(rest.join(compound, ["delegate_id", "pattern"], "left_anti"))
-
+    pairs = rest.select("delegate_id", "pattern", "anchor").distinct().join(own, "delegate_id").filter(against)
+    within = lambda strip: F.max(_least(F.col("pattern"), F.col("own_pattern"), strip) <= t_compound)
+    compound = pairs.groupBy("delegate_id", "pattern").agg(within(False).alias("compound_whole"), within(True).alias("compound_any"))
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("compound_whole", "compound_any")]
+    rest = written(rest.join(compound, ["delegate_id", "pattern"], "left").select(*rest.columns, *flags))
+    # What is compound by whole names is so by bare ones, too: the rows that are open to a scorer of whole names hold all others.
+    open_ = rest.filter("NOT compound_any" if strips == [True] else "NOT compound_whole")
     halves = written(_halves(open_.select("pattern").distinct()))
     asked = open_.select("row_id", "pattern").join(near, "row_id").select("pattern", "person").distinct().join(halves, "pattern")
-    pairs = _forms(asked.select("person", F.explode(F.array("left", "right")).alias("half")).distinct(), "half", strip)
-    forms = _forms(known, "name", strip).select("person", "kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
-    scores = _near(pairs, forms, ["person"], t_concat).groupBy("person", "half").agg(F.min("s").alias("s"))
+    both = any(strips)
+    flat = _forms(asked.select("person", F.explode(F.array("left", "right")).alias("half")).distinct(), "half", both)
+    forms = _forms(known, "name", both).select("person", "kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
+    scores = _near(flat, forms, ["person"], t_concat).groupBy("person", "half").agg(F.min(F.when(F.col("kind") == "whole", F.col("s"))).alias("s_whole"), F.min("s").alias("s_any"))
+    return _Ready(lonely, rest, near, halves, written(scores))
+
+
+def _judged(merged: DataFrame, ready: _Ready, strip: bool, t_concat: float) -> tuple[DataFrame, DataFrame]:
+    """(found, rejected) by one scorer."""
+    form = "any" if strip else "whole"
+    near, halves = ready.near, ready.halves
+    columns = [c for c in ready.rest.columns if not c.startswith("compound_")]
+    spared = _reject(ready.rest.filter(f"compound_{form}"), "compound_name")
+    open_ = written(ready.rest.filter(f"NOT compound_{form}").select(*columns))
+    scores = ready.scores.filter(F.col(f"s_{form}").isNotNull()).select("person", "half", F.col(f"s_{form}").alias("s"))
 
     sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("half")), F.struct(F.lit("r").alias("side"), F.col("right").alias("half")))).alias("x")
     flat = open_.select("row_id", "pattern").join(halves, "pattern").select("row_id", "split", sides).select("row_id", "split", "x.*")
@@ -178,8 +211,8 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
         F.col("x.b.left").alias("split_left"), F.col("x.b.right").alias("split_right"), F.col("x.b.lp").alias("left_person"), F.col("x.b.rp").alias("right_person"),
         F.bround("x.b.ls", 4).alias("left_score"), F.bround("x.b.rs", 4).alias("right_score"), F.coalesce("n_occurrences", F.lit(1)).alias("n_occurrences"),
     )
-    high = reject(open_.join(best.select("row_id"), "row_id", "left_anti"), "score_too_high")
-    every = lonely.unionByName(spared).unionByName(high)
+    high = _reject(open_.join(best.select("row_id"), "row_id", "left_anti"), "score_too_high")
+    every = ready.lonely.unionByName(spared).unionByName(high)
     first = every.groupBy("delegate_id", "pattern").agg(F.min(F.struct("row_id", "anchor", "reason")).alias("x"))
     return found, first.select("pattern", "delegate_id", "x.row_id", "x.anchor", "x.reason")
 
@@ -345,9 +378,10 @@ def best_split_scores(merged: DataFrame, table: Anchors, window: int = WINDOW) -
     return by_split.groupBy("row_id", "pattern").agg(F.min((F.col("l") + F.col("r")) / 2).alias("best"))
 
 
-def compare_scorers(merged: DataFrame, table: Anchors) -> tuple[DataFrame, DataFrame]:
-    """D-08: found pairs with whole names alone and with infixes stripped."""
-    return detect_concat(merged, table, strip=False)[0], detect_concat(merged, table, strip=True)[0]
+def compare_scorers(merged: DataFrame, table: Anchors, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """D-08: found pairs with whole names alone and with infixes stripped, from one pass that scores each half both ways."""
+    ready = _prepared(merged, table, merged if scope is None else scope, T_CONCAT, T_COMPOUND, WINDOW, MIN_LENGTH_RATIO, [False, True], "anchor")
+    return _judged(merged, ready, False, T_CONCAT)[0], _judged(merged, ready, True, T_CONCAT)[0]
 
 
 def pattern_counts(merged: DataFrame, table: Anchors, person: str) -> DataFrame:

@@ -542,6 +542,19 @@ def concat_candidates(t):
     return D.detect_concat(m, D.anchor_table(m))[0]
 
 
+#: The same by whole names alone.
+CONCAT_WHOLE = re.sub(r"trim\(regexp_replace\(([^,()]*)" + re.escape(_bare("@").split("@")[1]), r"\1", CONCAT)
+
+
+@_query(
+    f"""SELECT raw AS pattern, b.delegate_id, row_id, {_even("score")} AS score, kind AS "case" FROM (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY delegate_id, raw ORDER BY score, row_id) = 1) b""",
+    MERGED, MODAL, CLEAN, CONCAT_WHOLE,
+)
+def concat_whole_names(t):
+    m = written(_merged(t))
+    return D.compare_scorers(m, D.anchor_table(m))[0].select("pattern", "delegate_id", "row_id", "score", "case")
+
+
 @_query(
     """SELECT reason, count(*) AS n FROM (
   SELECT delegate_id, raw, arg_min(reason, row_id) AS reason FROM (

@@ -332,3 +332,21 @@ def test_edit_pairs_and_nearest_anchors(spark):
     score = lambda x: min(apart(x, y) / max(len(x), len(y), 1) for y in known)
     assert {r.pattern: r.compound_score for r in D.compound_scores(m, anchors).collect()} == {x: pytest.approx(score(x)) for x in asked}
     assert {r.pattern: r.compound_score for r in D.compound_scores(m, anchors, within=0.3).collect()} == {x: pytest.approx(score(x)) if score(x) <= 0.3 else None for x in asked}
+
+
+def test_both_scorers_in_one_pass_equal_two_runs(spark):
+    rng = random.Random(12)
+    names = ["van hoorn", "bempden", "de lange", "wassenaer", "ten broek", "lek"]
+    rows = []
+    for i in range(240):
+        person = i % 6
+        own, other = names[person], names[(person + 1) % 6]
+        text = own if i % 5 else f"{own} {other.split()[-1]}" if i % 2 else f"{rng.choice(['van', 'de', 'ten'])} {own} {other}"
+        rows.append((i, str(person), text, f"1780-01-{i // 12 + 1:02}", i, "delegate"))
+    m = frame(spark, "row_id long, delegate_id string, pattern string, date string, offset_ long, class string", *rows)
+    table = D.anchor_table(m)
+    whole, bare = D.compare_scorers(m, table)
+    key = lambda df: {tuple(r) for r in df.collect()}
+    assert key(whole) == key(D.detect_concat(m, table, strip=False)[0]) and key(bare) == key(D.detect_concat(m, table, strip=True)[0])
+    only = {r.only_in for r in E.scorer_difference(whole, bare, ["pattern", "delegate_id"]).collect()}
+    assert whole.count() and bare.count() and only <= {"a", "b"}
