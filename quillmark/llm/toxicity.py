@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillmark.llm import common
 from quillmark.llm.quality import text_bytes
 
-#: Classes of bytes in the language model: 0 is a word's edge, 1 to 26 are a to z, the others share five.
+#: Classes of code points in the language model: 0 is a word's edge, 1 to 26 are a to z, 27 digits, 28 all beyond ASCII.
 CLASSES = 32
 #: What a sign may stand for, the likeliest first.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "€": "e", "£": "l"}
@@ -48,7 +48,7 @@ def _byte_classes() -> np.ndarray:
         out[ord("a") + k] = out[ord("A") + k] = k + 1
     out[ord("0") : ord("9") + 1] = 27
     out[0xC2:0x100] = 28
-    out[0x80:0xA0], out[0xA0:0xB0], out[0xB0:0xC0] = 29, 30, 31
+    out[0x80:0xC0] = -1  # the first byte of a code point stands for it
     return out
 
 
@@ -61,7 +61,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in common.byte_slices(batch.column(0)):
             raw, offsets = text_bytes(batch.column(0).slice(a, b - a))
             c = np.insert(_CLASS[raw], offsets[1:], 0)
-            c = np.concatenate([[0, 0], c])
+            c = np.concatenate([[0, 0], c[c >= 0]])
             total += np.bincount(c[:-2] << 10 | c[1:-1] << 5 | c[2:], minlength=CLASSES**3)
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["code", "n"])
