@@ -39,6 +39,16 @@ _PATTERN = "|".join(f"(?P<{k}>{p})" for k, p in _FINDERS)
 _PATTERN = _PATTERN.replace(r"\d{4}([ -])\d{4}\N\d{4}\N", r"\d{4}(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)").replace(r"\d{4}([ -])\d{6}\M", r"\d{4}(?P<s6>[ -])\d{6}(?P=s6)")
 
 
+# The country codes of one and two digits in the numbering plan E.164; all others have three.
+_SHORT_CODES = """1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58
+60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98""".split()
+
+
+def _country(digits: str) -> str:
+    """The country code that an international number begins with."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in _SHORT_CODES), digits[:3])
+
+
 def luhn_digit(body: str) -> str:
     total = 0
     for i, c in enumerate(reversed(body)):
@@ -137,18 +147,27 @@ class Pseudonyms:
         return self._refill(value, body + luhn_digit(body))
 
     def _phone(self, value: str) -> str | None:
-        d = re.sub(r"\D", "", value)
-        if re.search(r"\d{3}\)?[ .-]?\d{3}[ .-]\d{4}$", value) and (len(d) == 10 or len(d) == 11 and d[0] == "1"):
-            head, rest = d[:-10], d[-10:]
-            if rest[0] in "01":
+        """Digits alone choose the format, so a number has one pseudonym in every layout.
+
+        Ten digits are a number of the North American plan, with or without its country code 1; other
+        numbers need a plus and keep their country code. A trunk zero in brackets stays and counts for
+        nothing. The first digits of area and exchange keep their class (0 and 1, or 2 to 9).
+        """
+        layout = value.replace("(0)", "(\0)") if value.startswith("+") else value
+        d = "".join(c for c in layout if c in _DIGITS)
+        code = _country(d) if value.startswith("+") else d[: len(d) - 10]
+        rest = d[len(code) :]
+        if code in ("", "1") and len(rest) == 10:
+            if rest[0] in "01" and not value.startswith("+"):
                 return None
-            exchange = _DIGITS[2:] if rest[3] in _DIGITS[2:] else _DIGITS
-            shape = [_DIGITS[2:], _DIGITS, _DIGITS, exchange] + [_DIGITS] * 6
-            return self._refill(value, head + self._mixed(rest, shape, f"nanp{len(exchange)}"))
-        if not 8 <= len(d) <= 15 or not value.startswith("+"):
+            kind = lambda c: _DIGITS[:2] if c in "01" else _DIGITS[2:]
+            shape = [kind(rest[0]), _DIGITS, _DIGITS, kind(rest[3])] + [_DIGITS] * 6
+            new = self._mixed(rest, shape, f"nanp{len(shape[0])}{len(shape[3])}")
+        elif value.startswith("+") and 8 <= len(d) <= 15:
+            new = self._mixed(rest, [_DIGITS] * len(rest), "phone" + code)
+        else:
             return None
-        head = re.match(r"\+(\d{1,3})", value)[1][:2]
-        return self._refill(value, head + self._mixed(d[len(head) :], [_DIGITS] * (len(d) - len(head)), "phone" + head))
+        return self._refill(layout, code + new).replace("\0", "0")
 
     def _ip(self, value: str) -> str | None:
         parts = value.split(".")

@@ -1,9 +1,11 @@
 import datetime as dt
+import itertools
 import random
 import re
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import compare
@@ -193,6 +195,118 @@ def test_every_format_is_permuted_within_itself(kind):
     assert moved >= 399
 
 
+LAYOUTS = [
+    ["+1 988 555 2485", "+19885552485", "988-555-2485", "(988) 555-2485", "(988)555-2485", "+1 (988) 555-2485", "1.988.555.2485", "+1-988-555-2485"],
+    ["+1 (139) 555-2766", "+11395552766", "+1 139 555 2766"],
+    ["+7 495 123-45-67", "+74951234567", "+7(495)1234567", "+7 495 1234567"],
+    ["+49 (0)30 1234567", "+49 30 1234567", "+49301234567", "+49-30-123-4567"],
+    ["+351 21 123 4567", "+351211234567", "+351 211 234 567"],
+    ["4111-1111-1111-1111", "4111 1111 1111 1111", "4111111111111111"],
+    ["3782 822463 10005", "3782-822463-10005", "378282246310005"],
+    ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+]
+
+
+@pytest.mark.parametrize("layouts", LAYOUTS)
+def test_equal_values_stay_equal_in_every_layout(layouts):
+    names, finder = pii.Pseudonyms(pii._key("key")), re.compile(pii._PATTERN)
+    new = set()
+    for value in layouts:
+        out, found = pii.pseudonymise(f"see {value} there", names, finder)
+        assert sum(found.values()) == 1 and out != f"see {value} there"
+        assert re.sub(r"\d", "9", out) == re.sub(r"\d", "9", f"see {value} there") and ("(0)" in value) == ("(0)" in out)
+        plain = re.sub("[^A-Z0-9]", "", out.replace("(0)", "").replace("see ", "").upper().replace("THERE", ""))
+        new.add(plain[1:] if len(plain) == 11 and plain[0] == "1" else plain)
+    assert len(new) == 1
+
+
+def test_dates_stay_equal_in_every_layout():
+    names = pii.Pseudonyms(pii._key("key"))
+    day = dt.date.fromisoformat(names("date", "2021-02-23"))
+    assert {names("date", v) for v in ("2021/02/23", "23.2.2021", "23.02.2021", "23/02/2021", "02/23/2021")} == {day.strftime(f) for f in ("%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y")}
+
+
+def test_phones_of_one_length_are_permuted_whole():
+    """All numbers of a short range: no two values meet, whatever their layout, and the code stays."""
+    names = pii.Pseudonyms(pii._key("key"))
+    new = {names("phone", f"+49 30 {n:04d}") for n in range(10_000)}
+    assert len(new) == 10_000 and all(re.fullmatch(r"\+49 \d\d \d{4}", v) for v in new)
+
+
+def _plain_findings(text):
+    """(kind, start, end) of personal data in ``text`` by trying every start, longest match first, with checks of its own."""
+    luhn = lambda s: sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    word = lambda c: c.isalnum() or c == "_"
+    kinds = [
+        ("email", r"[\w.%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", lambda v: v[0].isalnum(), "._+-%"),
+        ("ip", r"\d{1,3}(\.\d{1,3}){3}", lambda v: all(int(p) < 256 and str(int(p)) == p for p in v.split(".")) and 0 < int(v.split(".")[0]) < 224, "."),
+        ("date", r"\d{4}-\d\d-\d\d", lambda v: "1900" <= v[:4] < "2100" and "01" <= v[5:7] <= "12" and "01" <= v[8:] <= "31", "-"),
+        ("phone", r"\+\d[\d ().-]{8,18}\d", lambda v: 8 <= sum(c.isdigit() for c in v) <= 15, "+"),
+        ("card", r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}", lambda v: luhn(re.sub(r"\D", "", v)), ".-"),
+    ]
+    at, out = 0, []
+    while at < len(text):
+        for kind, pattern, valid, near in kinds:
+            m = re.compile(pattern, re.A).match(text, at)
+            before, after = text[at - 1 : at], text[m.end() : m.end() + 1] if m else ""
+            if m and not word(before or " ") and not word(after or " ") and before not in (*near,) and valid(m[0]):
+                out.append((kind, at, m.end()))
+                at = m.end() - 1
+                break
+        at += 1
+    return out
+
+
+def test_pii_query_equals_a_plain_search(spark):
+    """Every text of the small table: the same findings, each replaced, all else untouched."""
+    sf_dir = "/root/testdata/sf0.001"
+    before = {r.doc_id: r.text for r in common.table(spark, sf_dir, "documents").collect()}
+    names, total = pii.Pseudonyms(pii._key(queries.pii_key(spark))), Counter()
+    rows = queries.op4_pii(spark, sf_dir).collect()
+    assert len(rows) == len(before)
+    for r in rows:
+        text = before[r.doc_id] or ""
+        found = _plain_findings(text)
+        counts = Counter(k for k, _, _ in found)
+        assert {k: r[f"n_{k}"] for k in pii.KINDS} == {k: counts[k] for k in pii.KINDS}
+        for kind, a, b in reversed(found):
+            new = names(kind, text[a:b])
+            assert new and new != text[a:b]
+            text = text[:a] + new + text[b:]
+        assert text == (r.text or "")
+        total.update(counts)
+    assert {"email", "phone", "card", "ip"} <= set(total)
+
+
+def test_viterbi_equals_all_paths():
+    """Short lattices, every path scored whole under a model counted from text with letters beyond a to z."""
+    text = "la vérité a été dite par le président de la société où naïve élève a vu le château déjà"
+    rows = [pa.record_batch([pa.array([text, "grüße aus köln", None, "über die brücke"])], names=["text"])]
+    (cells,) = toxicity._trigrams(iter(rows))
+    n = np.zeros(toxicity.CLASSES**3)
+    n[cells.column(0).to_numpy()] = cells.column(1).to_numpy()
+    n = n.reshape((toxicity.CLASSES,) * 3)
+    assert n[:, 28, 1:27].sum() > 10 and n[:, :, 29:].sum() == 0  # steps from a letter like é to the next are counted
+    model = np.log((n + 0.01) / (n.sum(2, keepdims=True) + 0.01 * toxicity.CLASSES))
+    kind = lambda c: ord(c) - 96 if "a" <= c <= "z" else 27 if c.isdigit() else 28 if ord(c) > 127 else 0
+    decode = toxicity.Decoder(model)
+    rng = random.Random(3)
+    for _ in range(300):
+        token = "".join(rng.choice("aelnérüs013!|*") * rng.choice([1, 1, 1, 3]) for _ in range(rng.randint(1, 5)))
+        runs = [m[0] for m in re.finditer(r"(.)\1*", token)]
+        ways = []
+        for run in runs:
+            letters = [(c, toxicity.SIGN - 0.3 * k) for k, c in enumerate(toxicity.LEET.get(run[0], ""))] or [(run[0], 0.0)]
+            ways.append([(c * t, cost + (toxicity.REPEAT if t < len(run) else 0)) for c, cost in letters for t in ((1, 2) if len(run) > 2 and c.isalpha() else (len(run),))])
+        scored = []
+        for path in itertools.product(*ways):
+            word = "".join(p for p, _ in path)
+            c = [0, 0, *map(kind, word), 0]
+            scored.append((sum(x for _, x in path) + sum(model[i, j, k] for i, j, k in zip(c, c[1:], c[2:])), word))
+        best = max(scored)[0]
+        assert decode(token) in {w for s, w in scored if s > best - 1e-9}
+
+
 def test_a_small_domain_is_permuted_whole():
     """All dates of the format: the pseudonyms are all dates of the format again."""
     names = pii.Pseudonyms(pii._key("key"))
