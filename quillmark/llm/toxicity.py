@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmark.llm import common
+from quillmark.llm.minhash_dedup import shingle_sets
 from quillmark.llm.quality import text_bytes
 
 #: Classes of code points in the language model: 0 is a word's edge, 1 to 26 are a to z, 27 digits, 28 all beyond ASCII.
@@ -53,6 +54,8 @@ def _byte_classes() -> np.ndarray:
 
 
 _CLASS = _byte_classes()
+#: Keys that near copies of a text in the labelled sample are told by.
+COPY_KEYS = 4
 
 
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +76,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
     Each task counts its texts into 32768 cells and Spark adds the cells up; only the model, whose
     size the alphabet fixes, comes to the driver.
     """
+    common.small_batches(docs.sparkSession)
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     n = np.zeros(CLASSES**3)
     for row in counts.collect():
@@ -232,20 +236,19 @@ def _counter(model: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return count
 
 
-def _matcher(model: np.ndarray, lexicon: dict[str, float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The lexicon's entries that each text has."""
+def _matcher(model: np.ndarray, rank: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ranks that each text has, one for each token: that of its best entry."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = Decoder(model)
         for batch in batches:
             for a, b in common.byte_slices(batch.column(0)):
                 who, tokens, _ = restored_tokens(batch.column(0).slice(a, b - a), decode)
-                rows: list[set[str]] = [set() for _ in range(b - a)]
-                for f in features(tokens):
-                    for w, x in zip(who.tolist(), f.to_pylist(), strict=True):
-                        if x in lexicon:
-                            rows[w].add(x)
-                yield pa.record_batch([pa.array([sorted(r) for r in rows], pa.list_(pa.string()))], names=["entries"])
+                rows: list[set[int]] = [set() for _ in range(b - a)]
+                for w, *forms in zip(who.tolist(), *(f.to_pylist() for f in features(tokens)), strict=True):
+                    if known := [rank[x] for x in forms if x in rank]:
+                        rows[w].add(min(known))
+                yield pa.record_batch([pa.array([sorted(r) for r in rows], pa.list_(pa.int32()))], names=["ranks"])
 
     return match
 
@@ -261,12 +264,42 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 20_000, credit: int = 8) -> dict[str, float]:
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of the shingles of each text under each of COPY_KEYS mixings; none without words."""
+    for batch in batches:
+        for a, b in common.byte_slices(batch.column(0)):
+            h, n = shingle_sets(batch.column(0).slice(a, b - a))
+            filled = np.flatnonzero(n > 0)
+            starts = (np.cumsum(n) - n)[filled]
+            keys = np.zeros((len(n), COPY_KEYS), np.uint64)
+            for k in range(COPY_KEYS if len(filled) else 0):
+                keys[filled, k] = np.minimum.reduceat(common.mix64(h ^ np.uint64(k + 1)), starts)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COPY_KEYS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)), mask=pa.array(n == 0))
+            yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), lists], names=["text", "toxic", "h", "minima"])
+
+
+def _first_copies(sample: DataFrame) -> DataFrame:
+    """Of ``sample(text, toxic)``, the texts that are first, by hash, among all of their label that share a least shingle.
+
+    Two texts at similarity s share none of the keys with chance (1 - s) ** COPY_KEYS: 0.002 at 0.8.
+    """
+    distinct = sample.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"])
+    keyed = common.written(distinct.mapInArrow(_minima, "text string, toxic long, h long, minima array<long>"), "toxic_keyed")
+    each = keyed.select("h", "toxic", F.posexplode("minima").alias("k", "least"))
+    first = each.groupBy("k", "least", "toxic").agg(F.min("h").alias("first"))
+    later = each.join(first, ["k", "least", "toxic"]).filter("h <> first").select("h", "toxic").distinct()
+    kept = common.written(keyed.join(later, ["h", "toxic"], "left_anti").select("text", "toxic"), "toxic_sample")
+    common.forget(keyed)
+    return kept
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train: int = 20_000, credit: int = 3) -> dict[str, float]:
     """Entries and how surely a text with one is toxic, from about ``max_train`` labelled rows.
 
-    Only rows that aren't held out are read. Each toxic text gives credit to its ``credit`` surest
-    entries alone, and entries with little credit go: words that merely stand beside toxic ones, or
-    that many copies of one toxic text share, explain nothing by themselves.
+    Only rows that aren't held out are read. A token stands for its surest entry alone, so a beginning
+    that is only as sure as one of the words that have it explains nothing. Each toxic text gives credit
+    to the ``credit`` surest of its tokens, and entries with little credit go: words that merely stand
+    beside toxic ones, or that many copies of one toxic text share, explain nothing by themselves.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     rows = known.count()
@@ -274,17 +307,18 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, max_train
         known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / rows))
     # The sample is bounded by max_train rows of two numbers, so it is sent to every task.
     sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("text", F.col("toxic").cast("long").alias("toxic"))
-    # Copies count once, or one text with many copies would teach its odd words.
-    sample = common.written(sample.filter("text IS NOT NULL").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).select("text", "toxic"), "toxic_sample")
+    # Copies and near copies count once, or one text with many would teach its odd words.
+    sample = _first_copies(sample.filter("text IS NOT NULL"))
     counts = sample.mapInArrow(_counter(model), "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     likely = counts.filter("pos >= 3 AND pos >= neg").collect()  # of a bounded sample
     surety = {r["feature"]: lower_bound(r["pos"], r["neg"]) for r in likely}
     surety = {f: p for f, p in surety.items() if p >= 0.4}
     size = {r["feature"]: r["pos"] for r in likely}
+    order = sorted(surety, key=lambda f: (-surety[f], -size[f], len(f), f))
     given: Counter[str] = Counter()
-    for row in sample.filter("toxic = 1").mapInArrow(_matcher(model, surety), "entries array<string>").collect():
-        best = sorted(row["entries"], key=lambda f: (-surety[f], -size[f], len(f), f))
-        given.update(best[:credit])
+    ranks = {f: k for k, f in enumerate(order)}
+    for row in sample.filter("toxic = 1").mapInArrow(_matcher(model, ranks), "ranks array<int>").collect():
+        given.update(order[k] for k in row["ranks"][:credit])
     return {f: surety[f] for f, n in given.items() if n >= max(2, 0.1 * size[f])}
 
 
