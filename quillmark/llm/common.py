@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: White space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -65,12 +67,23 @@ def forget(*frames: DataFrame) -> None:
             drop_folder(df.sparkSession, path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send rows to workers in Arrow batches of about 4 MB, unless the session sets a size itself.
+
+    Spark's own bound is 64 MB, held outside the heap while a batch is filled and once more in the
+    worker, for each task at once. Operators cut their batches to less anyway.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``mapInArrow`` over all columns, which ``run`` returns in their order; names with dots are no hindrance."""
+    small_batches(df.sparkSession)
     names = df.columns
     places = df.toDF(*(f"c{i}" for i in range(len(names))))
     again = lambda batches: (pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names) for b in run(batches))
@@ -81,7 +94,10 @@ def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def byte_slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """(start, stop) of runs of rows with about ``most`` bytes of text each, one row at least."""
+    """(start, stop) of runs of rows with about ``most`` bytes of text each, one row at least.
+
+    After the last one Arrow gives freed memory back, which idle workers would keep beside the busy ones.
+    """
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0
     for i, n in enumerate(sizes.tolist()):
@@ -91,6 +107,7 @@ def byte_slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
