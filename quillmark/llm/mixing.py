@@ -50,8 +50,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
     its values in the next steps, so capped and open cells settle together.
 
     Targets without cells are passed over (the rest are scaled up), values without a target keep no
-    weight. Each step divides by the sum over one dimension's value: a window over cells, of which
-    there are few for any number of documents. ``SWEEPS`` sweeps are one plan without a write between.
+    weight. Each step adds the weights up by one dimension's value, map-side first, and joins the sums
+    back, so a value that most cells share is no single task. A sweep is written before the next one
+    begins; there are few cells for any number of documents.
     """
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
     for d, t in targets.items():
@@ -61,15 +62,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS,
         state = state.join(share, F.col(d) == F.col("k"), "left").drop("k")
     state = common.written(state, "targets")
     most = None if budget is None else budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
-    for turn in range(sweeps):
-        if turn and turn % SWEEPS == 0:
-            state = common.written(state, "raking")
+    for _ in range(sweeps):
+        before = state
         for d in targets:
-            sums = state.withColumn("s", F.sum("weight").over(Window.partitionBy(d)))
+            sums = state.groupBy(F.col(d).alias("k")).agg(F.sum("weight").alias("s"))
             factor = F.when(F.col("s") > 0, F.coalesce(f"share_{d}", F.lit(0.0)) / F.col("s")).otherwise(0.0)
             weight = F.col("weight") * factor
-            state = sums.withColumn("weight", weight if not most else F.least(weight, F.col("tokens") / F.lit(float(most)))).drop("s")
-    return common.written(state.select(*DIMENSIONS, "docs", "tokens", "weight"), "raked")
+            capped = weight if not most else F.least(weight, F.col("tokens") / F.lit(float(most)))
+            state = state.join(sums, F.col(d) == F.col("k")).withColumn("weight", capped).drop("k", "s")
+        state = common.written(state, "raking")
+        common.forget(before)
+    return state.select(*DIMENSIONS, "docs", "tokens", "weight")
 
 
 def calibrated(raked: DataFrame, budget: float = BUDGET, refill: bool = True) -> DataFrame:
@@ -111,7 +114,9 @@ def _cell_probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None,
     cells = common.written(cells, "cells")
     chosen = {d: (targets or {}).get(d) for d in DIMENSIONS}
     raked = rake(cells, {d: tempered(cells, d) if t is None else t for d, t in chosen.items()}, sweeps, budget)
-    return common.written(calibrated(raked, budget, refill=False).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
+    drawn = common.written(calibrated(raked, budget, refill=False).select(*(F.col(d).alias(f"c_{d}") for d in DIMENSIONS), "probability"), "drawn")
+    common.forget(cells)
+    return drawn
 
 
 def _cells(rows: DataFrame) -> DataFrame:
