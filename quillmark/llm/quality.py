@@ -30,8 +30,9 @@ MEASURES = {
 REACH = 3
 #: ... and by this much at least, as most clean texts of a group have the same value (mostly 0).
 LEAST_MARGIN = {"word_length": 150, "symbols": 30, "dup_lines": 300, "repeats": 150, "stutter": 150}
-#: Groups of fewer documents take the fences of their language, and those the fences of all.
-LEAST_DOCS = 100
+#: A group's quartiles are drawn towards its language's as if these many documents of it stood at the
+#: language's quartiles, and a language's likewise towards those of all; so small groups lean on more.
+PRIOR_DOCS = 100
 
 _WORDS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_stutter long"
 
@@ -158,30 +159,32 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), least(1).alias("q1"), least(3).alias("q3"))
 
 
-def fences(sketch: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
+def fences(sketch: DataFrame, prior_docs: int = PRIOR_DOCS, reach: int = REACH) -> DataFrame:
     """``lang, source, measure, low, high``: what lies outside is an outlier in its group."""
     own = _quartiles(sketch, ["lang", "source"])
     by_lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.col("docs").alias("l_docs"), F.col("q1").alias("l_q1"), F.col("q3").alias("l_q3"))
     of_all = _quartiles(sketch, []).select(F.col("measure").alias("a_measure"), F.col("q1").alias("a_q1"), F.col("q3").alias("a_q3"))
     both = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(of_all, F.col("measure") == F.col("a_measure"))
-    pick = lambda q: F.when(F.col("docs") >= least_docs, F.col(q)).when(F.col("l_docs") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    margin = F.greatest(F.lit(reach) * (F.col("u3") - F.col("u1")), F.create_map(*(F.lit(x) for kv in LEAST_MARGIN.items() for x in kv))[F.col("measure")])
+    prior = F.lit(float(prior_docs))
+    drawn = lambda n, q, r: (F.col(n) * F.col(q) + prior * r) / (F.col(n) + prior)
+    pick = lambda q: drawn("docs", q, drawn("l_docs", f"l_{q}", F.col(f"a_{q}")))
+    margin = F.greatest(F.lit(float(reach)) * (F.col("u3") - F.col("u1")), F.create_map(*(F.lit(x) for m, n in LEAST_MARGIN.items() for x in (m, float(n))))[F.col("measure")])
     picked = both.select("lang", "source", "measure", pick("q1").alias("u1"), pick("q3").alias("u3"))
     return picked.select("lang", "source", "measure", (F.col("u1") - margin).alias("low"), (F.col("u3") + margin).alias("high"))
 
 
-def judge(docs: DataFrame, least_docs: int = LEAST_DOCS, reach: int = REACH) -> DataFrame:
+def judge(docs: DataFrame, prior_docs: int = PRIOR_DOCS, reach: int = REACH) -> DataFrame:
     """Measures and verdict of each document: ``kept`` is false if the base rules fail or any measure is an outlier.
 
     Result: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
     A null text counts as empty (no words, so it fails the base rules). Null languages and sources are
-    groups of their own; groups with few documents take the fences of the language or of all. A group
-    without any document that passes the base rules keeps none. Ties and repeated rows are judged row
+    groups of their own; the fewer documents a group has, the more its fences lean on those of its
+    language and of all. A group without any document that passes the base rules keeps none. Ties and repeated rows are judged row
     by row. Empty tables give no rows; other columns are not read.
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = common.written(measures(docs).withColumn("base_failed", failed), "measures")
-    limits = fences(sketches(measured), least_docs, reach)
+    limits = fences(sketches(measured), prior_docs, reach)
     wide = limits.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")))
     wide = wide.withColumnRenamed("lang", "w_lang").withColumnRenamed("source", "w_source")
     rows = measured.join(wide, F.col("lang").eqNullSafe(F.col("w_lang")) & F.col("source").eqNullSafe(F.col("w_source")), "left")
@@ -205,6 +208,7 @@ def oracle_sql() -> str:
   FROM (SELECT {k}, sum(n) OVER ({part} ORDER BY bucket) AS upto, sum(n) OVER ({part}) AS docs, bucket
         FROM (SELECT {k}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {k})"""
 
+    drawn = lambda t, q, r: f"({t}.docs::DOUBLE * {t}.{q} + {float(PRIOR_DOCS)}::DOUBLE * {r}) / ({t}.docs::DOUBLE + {float(PRIOR_DOCS)}::DOUBLE)"
     base = "doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, n_stutter"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -228,8 +232,7 @@ sketch AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0))
 {quartiles("own", "lang, source")}, {quartiles("by_lang", "lang")}, {quartiles("of_all", "")},
 picked AS (
   SELECT o.lang, o.source, o.measure,
-    CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q1 WHEN l.docs >= {LEAST_DOCS} THEN l.q1 ELSE a.q1 END AS u1,
-    CASE WHEN o.docs >= {LEAST_DOCS} THEN o.q3 WHEN l.docs >= {LEAST_DOCS} THEN l.q3 ELSE a.q3 END AS u3
+    {drawn("o", "q1", drawn("l", "q1", "a.q1"))} AS u1, {drawn("o", "q3", drawn("l", "q3", "a.q3"))} AS u3
   FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN of_all a ON o.measure = a.measure),
 limits AS (SELECT lang AS l_lang, source AS l_source, measure, u1 - greatest({REACH} * (u3 - u1), {margin}) AS low, u3 + greatest({REACH} * (u3 - u1), {margin}) AS high FROM picked)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept
