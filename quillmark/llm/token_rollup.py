@@ -2,7 +2,8 @@
 
 A batch is a set of signed rows: +1 for an inserted document, -1 for a deleted one, both for a revised
 count. It is added up before it is stored, and stored once: a batch id that is already committed is
-left as it is, so a job that is run again after a failure changes nothing.
+left as it is, so a job that is run again after a failure changes nothing. ``compact`` folds committed
+batches into a base, which keeps their ids, so readers open one table and the batches since.
 """
 
 from __future__ import annotations
@@ -40,9 +41,29 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _names(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """What follows ``prefix`` in the names of the folders in ``folder``."""
+    p, files = _path(spark, folder)
+    if not files.exists(p):
+        return []
+    names = (x.getPath().getName() for x in files.listStatus(p))
+    return sorted(n[len(prefix) :] for n in names if n.startswith(prefix))
+
+
+def _base(spark: SparkSession, folder: str) -> str | None:
+    """The newest base, if there is one."""
+    found = _names(spark, folder, "base=")
+    return f"{folder}/base={found[-1]}" if found else None
+
+
+def _folded(spark: SparkSession, base: str | None) -> set[str]:
+    """Ids of the batches in a base: a short string for each commit there ever was, no rows of data."""
+    return {r[0] for r in spark.read.schema("id string").parquet(f"{base}/ids").collect()} if base else set()
+
+
 def is_committed(spark: SparkSession, folder: str, batch_id: str) -> bool:
     p, files = _path(spark, f"{folder}/batch={batch_id}")
-    return files.exists(p)
+    return files.exists(p) or batch_id in _folded(spark, _base(spark, folder))
 
 
 def commit(signed: DataFrame, folder: str, batch_id: str) -> bool:
@@ -83,16 +104,60 @@ def _renamed(spark: SparkSession, source, target) -> bool:  # noqa: ANN001
     return True
 
 
-def totals(spark: SparkSession, folder: str) -> DataFrame:
-    """The sums of all committed batches; keys whose documents are all gone are left out."""
-    p, files = _path(spark, folder)
-    if not files.exists(p):
-        return spark.createDataFrame([], SCHEMA)
-    rows = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
+def _sums(spark: SparkSession, folder: str, base: str | None, batches: list[str]) -> DataFrame:
+    paths = [f"{base}/sums"] * (base is not None) + [f"{folder}/batch={x}" for x in batches]
+    if not paths:
+        return spark.range(0).select(*(F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in SCHEMA.split(", ")))
+    rows = spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(*paths)
     sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
     return sums.filter(" OR ".join(f"{c} <> 0" for c in SUMS))
 
 
+def totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The sums of all committed batches; keys whose documents are all gone are left out.
+
+    Read are the newest base and the batches that are not in it.
+    """
+    base = _base(spark, folder)
+    folded = _folded(spark, base)
+    return _sums(spark, folder, base, [x for x in _names(spark, folder, "batch=") if x not in folded])
+
+
+def compact(spark: SparkSession, folder: str) -> bool:
+    """Fold all committed batches into a new base; False if there was nothing to fold or another base came first.
+
+    The base is written beside the rollup and takes the next number by a rename that fails if that is
+    taken, so of two jobs that compact at once one wins and the other's work is dropped. Batches stay
+    where they are until ``vacuum``; a batch whose id is in the base counts once, also if a slow writer
+    commits it again later.
+    """
+    base = _base(spark, folder)
+    folded = _folded(spark, base)
+    new = [x for x in _names(spark, folder, "batch=") if x not in folded]
+    if not new:
+        return False
+    pending = common.new_folder(spark, "pending")
+    _sums(spark, folder, base, new).write.parquet(f"{pending}/sums")
+    ids = spark.range(1).select(F.explode(F.split(F.lit("/".join(sorted(folded | set(new)))), "/")).alias("id"))  # no name holds a slash
+    ids.coalesce(1).write.parquet(f"{pending}/ids")
+    source, files = _path(spark, pending)
+    number = int(base.rpartition("=")[2]) + 1 if base else 1
+    target, _ = _path(spark, f"{folder}/base={number:012d}")
+    if _renamed(spark, files.makeQualified(source), files.makeQualified(target)):
+        return True
+    common.drop_folder(spark, pending)
+    return False
+
+
+def vacuum(spark: SparkSession, folder: str) -> None:
+    """Delete folded batches and all bases but the newest; run it when nobody reads an older base any more."""
+    base = _base(spark, folder)
+    for x in sorted(_folded(spark, base) & set(_names(spark, folder, "batch="))):
+        common.drop_folder(spark, f"{folder}/batch={x}")
+    for x in _names(spark, folder, "base=")[:-1]:
+        common.drop_folder(spark, f"{folder}/base={x}")
+
+
 def document_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, source, lang, text_key, n_chars`` and a count for each of ``TOKENIZERS``; null text is empty."""
     text = F.coalesce("text", F.lit(""))
@@ -107,7 +172,8 @@ def by_tokenizer(counts: DataFrame) -> DataFrame:
 
 
 def maintain(docs: DataFrame, folder: str) -> DataFrame:
-    """The life of a corpus in three batches, each committed twice, and the totals that remain.
+    """The life of a corpus in three batches, each committed twice, and the totals that remain. The
+    first two are folded into a base before the third comes.
 
     ``load`` inserts every document with an estimate (a fourth of its characters, tokenizer
     ``estimate@1``); ``recount`` replaces the estimates by exact counts of both tokenizers; ``dedup``
@@ -125,6 +191,8 @@ def maintain(docs: DataFrame, folder: str) -> DataFrame:
     for batch_id, signed in (("load", inserts(estimate)), ("recount", revisions(estimate, exact)), ("dedup", deletes(copies))):
         commit(signed, folder, batch_id)
         commit(signed, folder, batch_id)  # as after a retry: changes nothing
+        if batch_id == "recount":
+            compact(spark, folder)
     return totals(spark, folder)
 
 

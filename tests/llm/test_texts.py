@@ -27,7 +27,7 @@ def plain_measures(text):
 
 
 def test_quality_measures(docs, corpus, empty):
-    rows = quality.judge(docs, least_docs=3).collect()
+    rows = quality.judge(docs, prior_docs=3).collect()
     want = Counter((i, *(m := plain_measures(t)), m[0] < 10 or 100 * m[4] > 20 * m[0]) for i, t in corpus)
     assert Counter(tuple(r)[:7] for r in rows) == want
     assert all(not r.kept for r in rows if r.base_failed)
@@ -42,6 +42,17 @@ def test_sketches_merge(docs):
     assert key(both) == key(quality.sketches(measured))
 
 
+def test_fences_move_smoothly_with_the_size_of_a_group(spark):
+    """Sources whose documents all have word length 900, in a language of 10000 documents at 500: no step at any size."""
+    rows = [("en", f"s{n}", "word_length", 900, n) for n in (1, 50, 99, 100, 101, 400)] + [("en", "big", "word_length", 500, 10000)]
+    sketch = spark.createDataFrame(rows, "lang string, source string, measure string, bucket long, n long")
+    low = {r.source: r.low for r in quality.fences(sketch).collect()}
+    for n in (1, 50, 99, 100, 101, 400):
+        assert low[f"s{n}"] == pytest.approx((900 * n + 500 * 100) / (n + 100) - 150)
+    assert low["big"] == pytest.approx(350)
+    assert low["s99"] < low["s100"] < low["s101"] < low["s99"] + 5
+
+
 def test_bucket_error(spark):
     rows = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id and r.id - r.b <= r.id / 32 for r in rows)
@@ -79,6 +90,32 @@ def test_signed_rows_cancel(spark):
     assert [tuple(r) for r in token_rollup.totals(spark, folder).collect()] == [("s", "l", "a", 1, 6, 9)]
 
 
+def test_compaction(spark, monkeypatch):
+    """Totals stay the same through folding and deletion; folded ids stay committed; late repeats count once."""
+    folder = common.new_folder(spark, "rollup")
+    assert not token_rollup.compact(spark, folder) and token_rollup.totals(spark, folder).count() == 0
+    c = spark.createDataFrame([(1, "s", "l", "a", 5, 9), (2, None, "l", "a", 7, 9)], "doc_id long, source string, lang string, tokenizer string, n_tokens long, n_chars long")
+    totals = lambda: {tuple(r) for r in token_rollup.totals(spark, folder).collect()}
+    both, more = {("s", "l", "a", 1, 5, 9), (None, "l", "a", 1, 7, 9)}, {("s", "l", "a", 2, 10, 18), (None, "l", "a", 1, 7, 9)}
+    token_rollup.commit(token_rollup.inserts(c), folder, "1")
+    assert token_rollup.compact(spark, folder) and not token_rollup.compact(spark, folder) and totals() == both
+    token_rollup.commit(token_rollup.inserts(c.filter("doc_id = 1")), folder, "2")
+    assert totals() == more
+    with ThreadPoolExecutor(3) as pool:
+        assert sorted(pool.map(lambda _: token_rollup.compact(spark, folder), range(3)))[1:] in ([False, True], [True, True])
+    assert totals() == more
+    token_rollup.vacuum(spark, folder)
+    assert token_rollup._names(spark, folder, "batch=") == [] and len(token_rollup._names(spark, folder, "base=")) == 1 and totals() == more
+    assert not token_rollup.commit(token_rollup.inserts(c), folder, "1") and totals() == more
+    with monkeypatch.context() as m:  # a writer that looked before the batch was folded
+        m.setattr(token_rollup, "is_committed", lambda *_: False)
+        token_rollup.commit(token_rollup.inserts(c), folder, "1")
+    assert totals() == more and not token_rollup.compact(spark, folder)
+    token_rollup.commit(token_rollup.deletes(c), folder, "3")
+    token_rollup.commit(token_rollup.deletes(c.filter("doc_id = 1")), folder, "4")
+    assert totals() == set() and token_rollup.compact(spark, folder) and totals() == set()
+
+
 def test_two_writers_of_one_batch(spark, monkeypatch):
     """Both find the batch missing; one commits, the other is told so, and the batch counts once."""
     folder = common.new_folder(spark, "rollup")
