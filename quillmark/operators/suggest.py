@@ -1,4 +1,4 @@
-"""Persons proposed for unresolved rows: n-gram similarity by an inverted index, with year and province gates."""
+"""Persons proposed for unresolved rows: n-gram similarity by inverted indexes of blocks of persons, with year and province gates."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import math
 from fractions import Fraction
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,24 +21,21 @@ WEIGHTS = {"char": 0.6, "word": 0.4}
 
 #: Weights are whole numbers of so many parts, so a score is the same whatever order its products are added in.
 SCALE = 1 << 28
-#: Postings of the rarest terms of a pattern from which the first bound comes, and persons that are scored for it beyond those asked for.
-SEED_POSTINGS, SEED_PERSONS = 300, 5
+#: Persons and patterns of one task of a search, about.
+PERSONS, PATTERNS = 8192, 8192
 
 
 class Store(NamedTuple):
-    """D-09: ``index(tid, pid, w)``, ``terms(tid, space, term, idf, df, top)`` (df: persons who have it, top: the largest weight) and ``meta`` by person, with ``pid``."""
+    """D-09: ``persons(pid, delegate_id, first_year, last_year, provincie, tids, ws)``: each person's terms and their weights in parts of ``SCALE``; ``terms(tid, space, term, idf, df)`` (df: persons who have it) and ``meta`` by person, with ``pid``."""
 
-    index: DataFrame
+    persons: DataFrame
     terms: DataFrame
     meta: DataFrame
 
-
-class Found(NamedTuple):
-    """What ``retrieve`` returns: ``best`` by question, and how far the search went: ``touched`` and ``candidates(qid, pid)``."""
-
-    best: DataFrame
-    touched: DataFrame
-    candidates: DataFrame
+    @property
+    def index(self) -> DataFrame:
+        """``tid, pid, w``."""
+        return self.persons.select("pid", F.explode(F.arrays_zip("tids", "ws")).alias("x")).select("x.tids", "pid", F.col("x.ws").cast("long").alias("w")).withColumnRenamed("tids", "tid")
 
 
 def terms_of(df: DataFrame, key: str, weight: Column) -> DataFrame:
@@ -60,93 +59,131 @@ def build_store(merged: DataFrame, province: str = "namens", include_generated:
     patterns = labelled.groupBy("delegate_id", "pattern").agg(F.count("*").alias("n"))
     years = labelled.groupBy("delegate_id").agg(F.min("j").alias("first_year"), F.max("j").alias("last_year"), F.mode(province, True).alias("provincie"))
     meta = written(years.withColumn("pid", F.monotonically_increasing_id()))
-    # Many persons share patterns, so each is cut into terms once.
-    cut = terms_of(patterns.select("pattern", F.col("pattern").alias("q")).distinct(), "q", F.lit(1)).select("q", "space", "term", F.col("n").alias("c"))
-    counts = patterns.join(meta.select("delegate_id", "pid"), "delegate_id").join(cut, F.col("pattern") == F.col("q"))
-    counts = written(counts.groupBy("space", "pid", "term").agg(F.sum(F.col("n") * F.col("c")).alias("n")))
+    # Many persons share patterns, so each is cut into terms once, and terms travel as numbers.
+    cut = written(terms_of(patterns.select("pattern", F.col("pattern").alias("q")).distinct(), "q", F.lit(1)))
+    ids = written(cut.select("space", "term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    packed = cut.join(ids, ["space", "term"]).groupBy("q").agg(F.collect_list(F.struct("tid", F.col("n").alias("c"))).alias("cut"))
+    theirs = patterns.join(meta.select("delegate_id", "pid"), "delegate_id").join(packed, F.col("pattern") == F.col("q")).select("pid", "n", "cut")
+    counts = theirs.repartition("pid").select("pid", "n", F.explode("cut").alias("x")).groupBy("pid", "x.tid").agg(F.sum(F.col("n") * F.col("x.c")).alias("n"))
+    counts = written(counts)
     total = meta.count()  # one number
-    idf = counts.groupBy("space", "term").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), F.count("*").alias("df"))
-    idf = written(idf.withColumn("tid", F.monotonically_increasing_id()))
-    raw = counts.join(idf, ["space", "term"]).select("tid", "space", "pid", ((1 + F.ln("n")) * F.col("idf")).alias("w"))
-    norms = raw.groupBy("space", "pid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    index = written(raw.join(norms, ["space", "pid"]).select("tid", "pid", F.round(F.col("w") / F.col("norm") * SCALE).cast("long").alias("w")))
-    terms = written(idf.join(index.groupBy("tid").agg(F.max("w").alias("top")), "tid"))
-    forget(counts, idf)
-    return Store(index, terms, meta)
+    df = counts.groupBy("tid").agg((F.ln(F.lit(1.0 + total) / (1 + F.count("*"))) + 1).alias("idf"), F.count("*").alias("df"))
+    terms = written(ids.join(df, "tid"))
+    raw = counts.join(terms.select("tid", "space", "idf"), "tid").select("pid", F.struct("tid", "space", ((1 + F.ln("n")) * F.col("idf")).alias("w")).alias("t"))
+    norm = lambda s: F.sqrt(F.sum(F.when(F.col("t.space") == s, F.col("t.w") * F.col("t.w")))).alias(s)
+    whole = raw.groupBy("pid").agg(F.collect_list("t").alias("t"), *(norm(s) for s in WEIGHTS))
+    share = lambda x: F.round(x["w"] / F.when(x["space"] == "char", F.col("char")).otherwise(F.col("word")) * SCALE).cast("int")
+    whole = whole.select("pid", F.transform("t", lambda x: x["tid"]).alias("tids"), F.transform("t", share).alias("ws"))
+    persons = written(meta.join(whole, "pid").select("pid", "delegate_id", "first_year", "last_year", "provincie", "tids", "ws"))
+    forget(cut, ids, counts)
+    return Store(persons, terms, meta)
 
 
 def _asked_terms(patterns: DataFrame, store: Store, weights: dict[str, float]) -> DataFrame:
-    """``qid, tid, space, df, top, wq`` of ``patterns(qid, pattern)``; the weight of the space is part of ``wq``."""
+    """``qid, tid, wq`` of ``patterns(qid, pattern)``; the weight of the space is part of ``wq``."""
     raw = terms_of(patterns, "qid", F.lit(1)).join(store.terms, ["space", "term"]).withColumn("w", (1 + F.ln("n")) * F.col("idf"))
     norms = raw.groupBy("space", "qid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     share = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("space")]
-    return raw.join(norms, ["space", "qid"]).select("qid", "tid", "space", "df", "top", F.round(share * F.col("w") / F.col("norm") * SCALE).cast("long").alias("wq"))
+    return raw.join(norms, ["space", "qid"]).select("qid", "tid", F.round(share * F.col("w") / F.col("norm") * SCALE).cast("long").alias("wq"))
 
 
 def pattern_scores(patterns: DataFrame, store: Store, weights: dict[str, float] | None = None) -> DataFrame:
-    """S-J31: ``pattern, delegate_id, score`` of distinct patterns with every person who shares a term; ``retrieve`` finds the best without all of them."""
+    """S-J31: ``pattern, delegate_id, score`` of distinct patterns with every person who shares a term; ``retrieve`` keeps only the best of them."""
     ids = written(patterns.select("pattern").distinct().withColumn("qid", F.monotonically_increasing_id()))
     sums = _asked_terms(ids, store, weights or WEIGHTS).join(store.index, "tid").groupBy("qid", "pid").agg(F.sum(F.col("wq") * F.col("w")).alias("s"))
     return sums.join(ids, "qid").join(store.meta.select("pid", "delegate_id"), "pid").select("pattern", "delegate_id", (F.col("s") / float(SCALE) ** 2).alias("score"))
 
 
-def _eligible(pairs: DataFrame, questions: DataFrame, meta: DataFrame, tolerance: int) -> DataFrame:
-    """The questions of each pair's pattern that the pair's person may answer."""
-    both = pairs.join(questions, "qid").join(meta.select("pid", "delegate_id", "first_year", "last_year", F.col("provincie").alias("_prov")), "pid")
-    year = F.nullif(F.col("_year"), F.lit("")).cast("int")
-    out = F.coalesce((year < F.col("first_year") - tolerance) | (year > F.col("last_year") + tolerance), F.lit(False))
-    return both.filter(~out & ((F.col("_gate") == "") | F.coalesce(F.col("_gate") == F.col("_prov"), F.lit(False)))).drop("first_year", "last_year", "_prov")
-
-
-def _top(answers: DataFrame, k: int, score: str) -> DataFrame:
-    """The ``k`` best answers of each question with their place; tasks drop the rest of theirs before the shuffle."""
-    w = Window.partitionBy("qid", "_year", "_gate").orderBy(F.col(score).desc(), "delegate_id")
-    return answers.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-
-def retrieve(questions: DataFrame, patterns: DataFrame, store: Store, k: int, least: float, tolerance: int, weights: dict[str, float] | None = None) -> Found:
-    """The ``k`` persons with the highest scores, ``least`` or more, of each question ``(qid, _year, _gate)``: exact, by upper bounds.
-
-    A pattern's terms are ordered from the rarest on. What a term and all more common ones can still add
-    is bounded by the sum of weight times largest weight, and by the lengths of the two vectors. First a
-    few persons from the rarest terms are scored, which gives each question a score that the ``k`` best
-    must reach. Only terms whose bound reaches it are looked up in the index (common terms hardly ever
-    are); sums of weights are never negative, so these partial sums raise the bar again. Persons whose
-    partial sum and bound together stay under it are out, and the common terms are looked up only for
-    the others, by term and person.
+def _best_in_block(k: int, bar: int, tolerance: int):
+    """The ``k`` best persons of a block for each question of a block, both as tables; weights are whole numbers, so sums are exact."""
+
+    def longs(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+        return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def run(persons: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple[int, str, str, np.ndarray, np.ndarray]] = []
+        if persons.num_rows and asked.num_rows:
+            # By id, so that of equal scores the one that stands first counts.
+            persons = persons.sort_by("delegate_id")
+            names = persons["delegate_id"].to_pylist()
+            first, last = (np.array([np.nan if x is None else x for x in persons[c].to_pylist()], float) for c in ("first_year", "last_year"))
+            places = np.array(persons["provincie"].to_pylist(), object)
+            tids, starts = longs(persons["tids"])
+            owner = np.repeat(np.arange(len(names)), np.diff(starts))
+            order = np.argsort(tids, kind="stable")
+            owner, weight = owner[order], longs(persons["ws"])[0][order]
+            terms, begin = np.unique(tids[order], return_index=True)
+            end = np.append(begin[1:], len(order))
+            masks: dict[tuple[str, str], bytes] = {}
+            open_: dict[bytes, np.ndarray] = {}
+
+            def mask_of(year: str, gate: str) -> bytes:
+                if (year, gate) not in masks:
+                    fits = np.ones(len(names), bool)
+                    if year:
+                        fits &= ~((int(year) < first - tolerance) | (int(year) > last + tolerance))
+                    if gate:
+                        fits &= places == gate
+                    masks[year, gate] = key = fits.tobytes()
+                    open_[key] = fits
+                return masks[year, gate]
+
+            words, bounds = longs(asked["tids"])
+            shares = longs(asked["wqs"])[0]
+            for i, (qid, questions) in enumerate(zip(asked["qid"].to_pylist(), asked["questions"].to_pylist(), strict=True)):
+                mine = words[bounds[i] : bounds[i + 1]]
+                at = np.minimum(np.searchsorted(terms, mine), len(terms) - 1) if len(terms) else mine[:0]
+                sums = np.zeros(len(names), np.int64)
+                for j in np.flatnonzero(terms[at] == mine) if len(terms) else ():
+                    span = slice(begin[at[j]], end[at[j]])
+                    sums[owner[span]] += weight[span] * shares[bounds[i] + j]
+                some = np.flatnonzero(sums >= bar)
+                done: dict[bytes, np.ndarray] = {}
+                for q in questions:
+                    key = mask_of(q["_year"], q["_gate"])
+                    if key not in done:
+                        fit = some[open_[key][some]]
+                        if len(fit) > k:
+                            s = sums[fit]
+                            least = np.partition(s, len(s) - k)[len(s) - k]
+                            above = fit[s > least]
+                            fit = np.concatenate([above, fit[s == least][: k - len(above)]])
+                        done[key] = fit
+                    if len(done[key]):
+                        found.append((qid, q["_year"], q["_gate"], done[key], sums[done[key]]))
+        n = [len(x[3]) for x in found]
+        who = np.concatenate([x[3] for x in found]) if found else np.zeros(0, np.int64)
+        score = np.concatenate([x[4] for x in found]) if found else np.zeros(0, np.int64)
+        spread = lambda c, kind: pa.array([x[c] for x in found], kind).take(pa.array(np.repeat(np.arange(len(found)), n)))
+        ids = pa.array(names if found else [], pa.string()).take(pa.array(who))
+        return pa.table({"qid": spread(0, pa.int64()), "_year": spread(1, pa.string()), "_gate": spread(2, pa.string()), "delegate_id": ids, "s": pa.array(score)})
+
+    return run
+
+
+def retrieve(questions: DataFrame, patterns: DataFrame, store: Store, k: int, least: float, tolerance: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """The ``k`` persons with the highest scores, ``least`` or more, of each question ``(qid, _year, _gate)``, with ``s`` and ``place``: exact.
+
+    Persons and patterns are dealt into blocks of bounded size; each block of persons meets each block of
+    patterns in one task, which looks the terms up in an index of its persons, adds the products up and
+    returns only the ``k`` best of each question. So scores of pairs are never shuffled or written; what is
+    shuffled are the blocks and ``k`` rows of each question and block.
     """
-    by_rarity = Window.partitionBy("qid").orderBy(F.col("df").desc(), F.col("tid").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    length = lambda s: F.sqrt(F.sum(F.when(F.col("space") == s, F.col("wq").cast("double") * F.col("wq")).otherwise(0.0)).over(by_rarity))
-    summed = F.sum(F.col("wq").cast("double") * F.col("top")).over(by_rarity)
-    # Rounded weights may be a little longer than SCALE, and doubles a little short.
-    straight = sum((length(s) for s in WEIGHTS), F.lit(0.0)) * SCALE
-    reach = F.ceil(F.least(summed, straight) * 1.0001).cast("long")
-    first = Window.partitionBy("qid").orderBy("df", "tid")
-    asked = _asked_terms(patterns, store, weights or WEIGHTS)
-    asked = written(asked.withColumn("reach", reach).withColumn("read", F.sum("df").over(first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(first)))
+    n_persons = max(1, math.ceil(store.meta.count() / PERSONS))  # two numbers
+    n_patterns = max(1, math.ceil(patterns.count() / PATTERNS))
     bar = max(1, math.ceil(Fraction(str(least)) * SCALE**2))
-    product = F.sum(F.col("wq") * F.col("w"))
-
-    seeds = asked.filter((F.col("read") <= SEED_POSTINGS) | (F.col("nth") == 1)).join(store.index, "tid").groupBy("qid", "pid").agg(product.alias("s"))
-    seeds = written(_top(_eligible(seeds, questions, store.meta, tolerance), k + SEED_PERSONS, "s").select("qid", "_year", "_gate", "pid", "delegate_id"))
-    whole = seeds.select("qid", "pid").distinct().join(asked.select("qid", "tid", "wq"), "qid").join(store.index, ["tid", "pid"]).groupBy("qid", "pid").agg(product.alias("s"))
-    reached = _top(seeds.join(whole, ["qid", "pid"]), k, "s").groupBy("qid", "_year", "_gate").agg(F.greatest(F.min(F.when(F.col("place") == k, F.col("s"))), F.lit(bar)).alias("bar"))
-    bars = written(questions.join(reached, ["qid", "_year", "_gate"], "left").withColumn("bar", F.coalesce("bar", F.lit(bar))))
-    lowest = bars.groupBy("qid").agg(F.min("bar").alias("bar"))
-
-    split = written(asked.join(lowest, "qid").withColumn("rare", F.col("reach") >= F.col("bar")))
-    left = split.groupBy("qid", "bar").agg(F.coalesce(F.max(F.when(~F.col("rare"), F.col("reach"))), F.lit(0)).alias("left"))
-    touched = split.filter("rare").join(store.index, "tid").groupBy("qid", "pid").agg(product.alias("part"))
-    touched = written(touched.join(left, "qid").filter(F.col("part") + F.col("left") >= F.col("bar")).drop("bar"))
-    open_ = _eligible(touched, bars, store.meta, tolerance)
-    raised = _top(open_, k, "part").filter(F.col("place") == k).select("qid", "_year", "_gate", F.col("part").alias("raised"))
-    open_ = written(open_.join(raised, ["qid", "_year", "_gate"], "left").filter(F.col("part") + F.col("left") >= F.greatest("bar", F.coalesce("raised", F.lit(0)))))
-    candidates = open_.select("qid", "pid", "part").distinct()
-    rest = candidates.join(split.filter("NOT rare").select("qid", "tid", "wq"), "qid").join(store.index, ["tid", "pid"]).groupBy("qid", "pid").agg(product.alias("more"))
-    scored = open_.join(rest, ["qid", "pid"], "left").withColumn("s", F.col("part") + F.coalesce("more", F.lit(0))).filter(F.col("s") >= bar)
-    best = written(_top(scored, k, "s").select("qid", "_year", "_gate", "delegate_id", "s", "place"))
-    forget(asked, seeds, bars, split)
-    return Found(best, touched, candidates)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    terms = _asked_terms(patterns, store, weights or WEIGHTS).groupBy("qid").agg(F.collect_list(F.struct("tid", "wq")).alias("t"))
+    terms = terms.select("qid", F.col("t.tid").alias("tids"), F.col("t.wq").alias("wqs"))
+    gates = questions.groupBy("qid").agg(F.collect_list(F.struct("_year", "_gate")).alias("questions"))
+    asked = written(terms.join(gates, "qid"))
+    left = store.persons.withColumn("pb", F.pmod(F.xxhash64("pid"), F.lit(n_persons)).cast("int")).withColumn("qb", every(n_patterns))
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_patterns)).cast("int")).withColumn("pb", every(n_persons))
+    blocks = left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb"))
+    found = blocks.applyInArrow(_best_in_block(k, bar, tolerance), "qid long, _year string, _gate string, delegate_id string, s long")
+    w = Window.partitionBy("qid", "_year", "_gate").orderBy(F.col("s").desc(), "delegate_id")
+    return written(found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k))
 
 
 def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, tolerance: int = 5, province: str = "namens") -> DataFrame:
@@ -162,7 +199,7 @@ def suggest(rows: DataFrame, store: Store, k: int = 3, least: float = 0.1, toler
     asked = rows.select("row_id", "pattern", F.coalesce(as_int(F.col("j")).cast("string"), F.lit("")).alias("_year"), where_.alias("_gate"))
     patterns = written(asked.filter("pattern IS NOT NULL").select("pattern").distinct().withColumn("qid", F.monotonically_increasing_id()))
     numbered = written(asked.join(patterns, "pattern", "left").select("row_id", "qid", "_year", "_gate"))
-    best = retrieve(numbered.filter("qid IS NOT NULL").select("qid", "_year", "_gate").distinct(), patterns, store, k, least, tolerance).best
+    best = retrieve(numbered.filter("qid IS NOT NULL").select("qid", "_year", "_gate").distinct(), patterns, store, k, least, tolerance)
     of = lambda i, c: F.max(F.when(F.col("place") == i, F.col(c)))
     cols = [x for i in range(1, k + 1) for x in (of(i, "delegate_id").alias(f"person_{i}"), F.bround(of(i, "s") / float(SCALE) ** 2, 3).alias(f"score_{i}"))]
     answers = numbered.join(best.groupBy("qid", "_year", "_gate").agg(*cols), ["qid", "_year", "_gate"], "left")

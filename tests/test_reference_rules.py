@@ -350,3 +350,20 @@ def test_both_scorers_in_one_pass_equal_two_runs(spark):
     assert key(whole) == key(D.detect_concat(m, table, strip=False)[0]) and key(bare) == key(D.detect_concat(m, table, strip=True)[0])
     only = {r.only_in for r in E.scorer_difference(whole, bare, ["pattern", "delegate_id"]).collect()}
     assert whole.count() and bare.count() and only <= {"a", "b"}
+
+
+def test_retrieval_over_many_blocks(spark, monkeypatch):
+    """Small blocks of persons and patterns give what one block gives, and only the best of each are ever written."""
+    rng = random.Random(9)
+    name = lambda: " ".join(rng.choice(["dam", "hoorn", "lek", "berg"]) for _ in range(2))
+    schema = "row_id long, delegate_id string, pattern string, j int, namens string"
+    m = frame(spark, schema, *((i, str(i % 150 + 1), name(), 1700 + i % 3 * 20, rng.choice(["Holland", "Utrecht"])) for i in range(450)))
+    asked = frame(spark, schema, *((1000 + i, "-1", name(), rng.choice([1699, 1745, None]), rng.choice(["Holland", "x"])) for i in range(50)))
+    store = G.build_store(m)
+    want = sorted(tuple(r) for r in G.suggest(asked, store).collect())
+    kept, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: kept.append(write(df)) or kept[-1])
+    monkeypatch.setattr(G, "PERSONS", 16)
+    monkeypatch.setattr(G, "PATTERNS", 4)
+    assert sorted(tuple(r) for r in G.suggest(asked, store).collect()) == want
+    assert max(df.count() for df in kept) <= 3 * 50
