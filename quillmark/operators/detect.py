@@ -11,7 +11,7 @@ from quillmark.functions.columns import distance, length_ratio, normalise, patte
 from quillmark.functions.names import is_infix_only, is_session_header, strip_infix
 from quillmark.functions.steps import written
 from quillmark.operators.registry import first_per_key
-from quillmark.operators.sequence import cooccurrence, day_positions, neighbours
+from quillmark.operators.sequence import day_positions, ever_near, neighbours
 from quillmark.operators.signals import ghost_patterns, modal_patterns, pattern_frequency
 
 # Thresholds of the detectors.
@@ -346,15 +346,19 @@ def neighbour_evidence(suspects: DataFrame, table: Anchors, window: int = 5) ->
     without an anchor nearer than 1 it is 1 and nobody is named. Ties: the smaller id. ``review_order``
     (T-05) sorts the result. ``n_near`` is how many persons were ever seen near, with or without an anchor.
     """
-    edges = cooccurrence(table.positions, window).select(F.col("a").alias("delegate_id"), F.col("b").alias("near"))
-    edges = written(edges.join(suspects.select("delegate_id").distinct(), "delegate_id", "left_semi"))
+    edges = written(ever_near(table.positions, suspects, window))
     anchors = table.anchors.filter("anchor <> ''").select(F.col("delegate_id").alias("near"), F.col("anchor").alias("near_anchor"))
     h = word_halves(normalise(F.col("pattern")))
     halves = written(suspects.select("delegate_id", "pattern", "ratio", h.alias("h")).select("delegate_id", "pattern", "ratio", "h.left", "h.right"))
-    both = halves.filter(F.col("right") != "").select("delegate_id", "right").distinct().join(edges, "delegate_id").join(anchors, "near")
-    whole, bare = distance(F.col("right"), F.col("near_anchor")), distance(strip_infix(F.col("right")), strip_infix(F.col("near_anchor")))
-    score = F.when(strip_infix(F.col("right")) == "", whole).otherwise(F.least(whole, bare))
-    best = both.withColumn("s", score).filter("s < 1").groupBy("delegate_id", "right").agg(F.min(F.struct("s", "near", "near_anchor")).alias("b"))
+    # Of persons with equal anchors the one with the smallest id counts; infixes are stripped once for each text, not for each pair.
+    known = edges.join(anchors, "near").repartition("delegate_id").groupBy("delegate_id", "near_anchor").agg(F.min("near").alias("near"))
+    known = known.withColumn("bare_anchor", strip_infix(F.col("near_anchor")))
+    asked = halves.filter(F.col("right") != "").select("delegate_id", "right").distinct().withColumn("bare", strip_infix(F.col("right")))
+    whole, bare = distance(F.col("right"), F.col("near_anchor")), distance(F.col("bare"), F.col("bare_anchor"))
+    once = (F.col("bare") == "") | ((F.col("bare") == F.col("right")) & (F.col("bare_anchor") == F.col("near_anchor")))
+    scored = asked.join(known, "delegate_id").withColumn("s", F.when(once, whole).otherwise(F.least(whole, bare)))
+    # The bound comes after the minimum: before it, each distance would be taken twice.
+    best = scored.groupBy("delegate_id", "right").agg(F.min(F.struct("s", "near", "near_anchor")).alias("b")).filter("b.s < 1")
     counts = edges.groupBy("delegate_id").agg(F.count("*").alias("n_near"))
     full = halves.join(best, ["delegate_id", "right"], "left").join(counts, "delegate_id", "left")
     return full.select(
