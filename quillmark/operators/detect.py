@@ -103,12 +103,15 @@ def _near(asked: DataFrame, known: DataFrame, on: list[str], within: float) -> D
     return both.withColumn("d", F.expr("levenshtein(form, known, most)")).filter("d >= 0").withColumn("s", F.when(longest == 0, F.lit(0.0)).otherwise(F.col("d") / longest)).filter(F.col("s") <= within)
 
 
-def _halves(patterns: DataFrame) -> DataFrame:
-    """Each pattern with its splits into two halves of three characters or more."""
+def _sides(df: DataFrame) -> DataFrame:
+    """``df`` with the two halves of ``pattern`` at ``split``."""
     p = F.col("pattern")
-    cut = patterns.select("pattern", F.explode(split_points(p)).alias("split"))
-    sides = cut.select("pattern", "split", F.trim(F.substring(p, F.lit(1), F.col("split"))).alias("left"), F.trim(F.substring(p, F.col("split") + 1, F.length(p))).alias("right"))
-    return sides.filter((F.length("left") >= 3) & (F.length("right") >= 3))
+    return df.withColumn("left", F.trim(F.substring(p, F.lit(1), F.col("split")))).withColumn("right", F.trim(F.substring(p, F.col("split") + 1, F.length(p))))
+
+
+def _halves(df: DataFrame) -> DataFrame:
+    """Each row with the splits of its ``pattern`` into two halves of three characters or more."""
+    return _sides(df.withColumn("split", F.explode(split_points(F.col("pattern"))))).filter((F.length("left") >= 3) & (F.length("right") >= 3))
 
 
 def _candidate_neighbours(candidates: DataFrame, positions: DataFrame, window: int, scope: DataFrame) -> DataFrame:
@@ -125,7 +128,7 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
 
     ``found``: the best split; ``rejected``: the reason of the pattern's first row that has one. Each
     half is scored against the known patterns of each neighbour, whole against whole and bare against
-    bare, once for each half and neighbour and not for each row; only the best neighbour of a half
+    bare, once for each pattern and neighbour and not for each row; only the best neighbour of a half
     counts (ties: the one that stands first). Case A: the best neighbours of the two halves differ;
     B: the left half is the person's own anchor; C: the right half is. Each half may be ``t_concat``
     away; the score is the mean. Ties: earliest split, then A before B before C, then the earlier row.
@@ -135,12 +138,11 @@ def detect_concat(merged: DataFrame, table: Anchors, scope: DataFrame | None = N
 
 
 class _Ready(NamedTuple):
-    """What the scorers share: candidate rows without a neighbour and with one, who stands near, splits, and both scores of each (person, half)."""
+    """What the scorers share: candidate rows without a neighbour and with one, who stands near the latter, and the halves of each (pattern, person) that are near, with both scores."""
 
     lonely: DataFrame
     rest: DataFrame
     near: DataFrame
-    halves: DataFrame
     scores: DataFrame
 
 
@@ -167,30 +169,55 @@ def _prepared(merged: DataFrame, table: Anchors, rows: DataFrame, t_concat: floa
     rest = written(rest.join(compound, ["delegate_id", "pattern"], "left").select(*rest.columns, *flags))
     # What is compound by whole names is so by bare ones, too: the rows that are open to a scorer of whole names hold all others.
     open_ = rest.filter("NOT compound_any" if strips == [True] else "NOT compound_whole")
-    halves = written(_halves(open_.select("pattern").distinct()))
-    asked = open_.select("row_id", "pattern").join(near, "row_id").select("pattern", "person").distinct().join(halves, "pattern")
-    both = any(strips)
-    flat = _forms(asked.select("person", F.explode(F.array("left", "right")).alias("half")).distinct(), "half", both)
-    forms = _forms(known, "name", both).select("person", "kind", F.col("form").alias("known"), F.col("len").alias("known_len")).distinct()
-    scores = _near(flat, forms, ["person"], t_concat).groupBy("person", "half").agg(F.min(F.when(F.col("kind") == "whole", F.col("s"))).alias("s_whole"), F.min("s").alias("s_any"))
-    return _Ready(lonely, rest, near, halves, written(scores))
+    met = written(open_.select("row_id", "pattern").join(near, "row_id"))
+    return _Ready(lonely, rest, met, written(_near_halves(met, known, t_concat)))
+
+
+def _near_halves(met: DataFrame, known: DataFrame, within: float) -> DataFrame:
+    """``person, pattern, hits(split, side, s_whole, s_any)``: the halves of each pattern that are near a name of the person, whole or in any form.
+
+    A pattern is cut once and meets a person once and by name; its halves part only then, inside the task,
+    and what is too far apart goes no further. So halves without a hit are never shuffled.
+    """
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("half")), F.struct(F.lit("r").alias("side"), F.col("right").alias("half")))).alias("x")
+    cut = _halves(met.select("pattern").distinct()).select("pattern", "split", sides).select("pattern", F.struct("split", "x.side", "x.half", strip_infix(F.col("x.half")).alias("bare")).alias("h"))
+    cut = written(cut.groupBy(F.col("pattern").alias("_p")).agg(F.collect_list("h").alias("halves")))
+    names = known.select("person", "name", strip_infix(F.col("name")).alias("bare_name"))
+    pairs = met.select("person", "pattern").distinct().join(names, "person")
+    # Few bytes are much work here, so the pairs are dealt to all tasks, a crowded person's too.
+    pairs = pairs.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "person", "pattern", "name")
+    flat = pairs.join(cut, F.col("pattern") == F.col("_p")).select("person", "pattern", "name", "bare_name", F.explode("halves").alias("h")).select("person", "pattern", "name", "bare_name", "h.*")
+
+    def edits(a: str, b: str) -> Column:
+        """Edits between two texts, negative or null if that is too many; texts whose lengths alone make it so aren't compared."""
+        longest = F.greatest(F.length(a), F.length(b))
+        most = F.floor(within * longest + 1e-9).cast("int")
+        return F.when(F.abs(F.length(a) - F.length(b)) <= within * longest, F.call_function("levenshtein", F.col(a), F.col(b), most))
+
+    def share(d: str, a: str, b: str) -> Column:
+        s = F.when(F.col(d) >= 0, F.col(d) / F.greatest(F.length(a), F.length(b)))
+        return F.when(s <= within, s)
+
+    # Where nothing was stripped, the bare texts are the whole ones and need no second comparison.
+    stripped = (F.col("bare") != F.col("half")) | (F.col("bare_name") != F.col("name"))
+    bare = F.when(stripped & (F.length("bare") > 0) & (F.length("bare_name") > 0), edits("bare", "bare_name"))
+    near = flat.withColumn("d_whole", edits("half", "name")).withColumn("d_bare", bare).filter("d_whole >= 0 OR d_bare >= 0")
+    scored = near.withColumn("s_whole", share("d_whole", "half", "name")).withColumn("s_any", F.least("s_whole", share("d_bare", "bare", "bare_name"))).filter("s_any IS NOT NULL")
+    hits = scored.select("person", "pattern", "split", "side", "s_whole", "s_any").repartition("person", "pattern").groupBy("person", "pattern", "split", "side").agg(F.min("s_whole").alias("s_whole"), F.min("s_any").alias("s_any"))
+    return hits.groupBy("person", "pattern").agg(F.collect_list(F.struct("split", "side", "s_whole", "s_any")).alias("hits"))
 
 
 def _judged(merged: DataFrame, ready: _Ready, strip: bool, t_concat: float) -> tuple[DataFrame, DataFrame]:
     """(found, rejected) by one scorer."""
     form = "any" if strip else "whole"
-    near, halves = ready.near, ready.halves
     columns = [c for c in ready.rest.columns if not c.startswith("compound_")]
     spared = _reject(ready.rest.filter(f"compound_{form}"), "compound_name")
     open_ = written(ready.rest.filter(f"NOT compound_{form}").select(*columns))
-    scores = ready.scores.filter(F.col(f"s_{form}").isNotNull()).select("person", "half", F.col(f"s_{form}").alias("s"))
-
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("half")), F.struct(F.lit("r").alias("side"), F.col("right").alias("half")))).alias("x")
-    flat = open_.select("row_id", "pattern").join(halves, "pattern").select("row_id", "split", sides).select("row_id", "split", "x.*")
-    best_near = flat.join(near, "row_id").join(scores, ["person", "half"]).groupBy("row_id", "split", "side").agg(F.min(F.struct("s", "delta", "person")).alias("n"))
-    one = lambda side: F.max(F.when(F.col("side") == side, F.col("n")))
-    by_split = best_near.groupBy("row_id", "split").agg(one("l").alias("l"), one("r").alias("r"))
-    by_split = by_split.join(open_, "row_id").join(halves, ["pattern", "split"])
+    hits = ready.near.join(ready.scores, ["person", "pattern"]).select("row_id", "delta", "person", F.explode("hits").alias("h"))
+    hits = hits.select("row_id", "h.split", "h.side", F.struct(F.col(f"h.s_{form}").alias("s"), "delta", "person").alias("n")).filter("n.s IS NOT NULL")
+    one = lambda side: F.min(F.when(F.col("side") == side, F.col("n")))
+    by_split = hits.repartition("row_id").groupBy("row_id", "split").agg(one("l").alias("l"), one("r").alias("r"))
+    by_split = _sides(by_split.join(open_, "row_id"))
     # A split without any neighbour can't be a candidate: all three cases need one.
     own_score = lambda c: F.when(F.coalesce("anchor", F.lit("")) == "", F.lit(1.0)).otherwise(_least(F.col(c), F.col("anchor"), strip))
     flat = by_split.withColumn("own_l", own_score("left")).withColumn("own_r", own_score("right"))

@@ -367,3 +367,15 @@ def test_retrieval_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(G, "PATTERNS", 4)
     assert sorted(tuple(r) for r in G.suggest(asked, store).collect()) == want
     assert max(df.count() for df in kept) <= 3 * 50
+
+
+def test_halves_without_a_hit_are_not_kept(spark):
+    """Of all halves of a pattern only those near a neighbour's name are written; co-occurrence is what the windows give."""
+    rows = [(1, "1", "dam", "1780-01-01"), (2, "1", "dam van hoorn", "1780-01-02"), (3, "2", "van hoorn", "1780-01-02"), (4, "3", "zuylekom", "1780-01-02")]
+    m = frame(spark, "row_id long, delegate_id string, pattern string, date string, offset_ long, class string", *((i, d, p, t, i, "delegate") for i, d, p, t in rows))
+    table = D.anchor_table(m)
+    ready = D._prepared(m, table, m, D.T_CONCAT, D.T_COMPOUND, D.WINDOW, D.MIN_LENGTH_RATIO, [True], "anchor")
+    hits = {(r.person, h.split, h.side) for r in ready.scores.collect() for h in r.hits}
+    assert hits and {p for p, _, _ in hits} == {"2"} and ("2", 4, "r") in {(p, s + 1 if s == 3 else s, x) for p, s, x in hits}
+    near = {tuple(r) for r in W.ever_near(table.positions, frame(spark, "delegate_id string", ("2",)), 5).collect()}
+    assert near == {("2", "1"), ("2", "3")}
