@@ -215,14 +215,24 @@ def _logits(p: dict[str, np.ndarray], codes: np.ndarray, n: np.ndarray) -> np.nd
 
 
 def _platt(logit: np.ndarray, label: np.ndarray, count: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the calibrated log odds by Newton steps, towards smoothed labels; each score stands ``count`` times."""
+    """Slope and offset of the calibrated log odds, towards smoothed labels; each score stands ``count`` times.
+
+    Newton steps are halved until the loss falls: whole ones run away where the classes are far apart.
+    """
     n1 = count[label == 1].sum()
     t = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (count.sum() - n1 + 2))
-    x = np.stack([logit, np.ones_like(logit)], axis=1)
-    line = np.array([1.0, 0.0])
-    for _ in range(30):
+    x, prior = np.stack([logit, np.ones_like(logit)], axis=1), np.array([1.0, 0.0])
+    loss = lambda w: float((count * (np.logaddexp(0, x @ w) - t * (x @ w))).sum() + 5e-7 * ((w - prior) ** 2).sum())
+    line = prior
+    for _ in range(100):
         q = 1 / (1 + np.exp(-np.clip(x @ line, -35, 35)))
-        line = line - np.linalg.solve((x * (count * q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (count * (q - t)) + 1e-6 * (line - [1.0, 0.0]))
+        step = np.linalg.solve((x * (count * q * (1 - q))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (count * (q - t)) + 1e-6 * (line - prior))
+        now = loss(line)
+        while not loss(line - step) < now and np.abs(step).max() > 1e-12:
+            step = step / 2
+        if np.abs(step).max() <= 1e-12:
+            break
+        line = line - step
     return float(line[0]), float(line[1])
 
 

@@ -322,6 +322,14 @@ def test_model_rests_on_all_findings(spark, monkeypatch):
     assert plain > 3000 and sum(n for (_, label, _), n in seen[0].items() if not label) == plain + (plain + 1) // 2
 
 
+def test_line_of_scores_far_apart():
+    logit, label, count = np.array([-30.0, -22.0, 18.0, 25.0]), np.array([0.0, 0.0, 1.0, 1.0]), np.array([40_000.0, 60_000.0, 50.0, 950.0])
+    slope, offset = secret_scan._platt(logit, label, count)
+    q, t = 1 / (1 + np.exp(-(slope * logit + offset))), np.where(label == 1, 1001 / 1002, 1 / 100_002)
+    assert 0 < slope < 2 and np.all((q > 0.5) == (label == 1))
+    assert abs((count * (q - t)).sum()) < 1e-3 and abs((count * (q - t) * logit).sum()) < 1e-2
+
+
 def test_rounds_use_every_group():
     for groups in (1, 2, 5, 64, 1000):
         rounds = secret_scan._rounds(groups)
